@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, tokenio
 from .common import table
 
 
@@ -13,8 +13,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenio.write_token_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return tokenio.read_token_shards(spark, path)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op10_wavelet_tokens": op10_wavelet_tokens,
 }
 
 ORACLES: dict[str, str] = {}
