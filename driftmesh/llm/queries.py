@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, tokenio
+from . import bpe, langid, simhash, tokenio
 from .common import table
 
 
@@ -19,6 +19,15 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_tokens", "ids_crc32", "lossless")
+
+
 def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenio.write_token_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return tokenio.read_token_shards(spark, path)
@@ -26,6 +35,8 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_language_id": op4_language_id,
+    "op9_merge_dropout": op9_merge_dropout,
     "op10_wavelet_tokens": op10_wavelet_tokens,
 }
 
