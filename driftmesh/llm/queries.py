@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, simhash, tokenio
+from . import bpe, langid, secrets, simhash, tokenio
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit_model(docs))
+
+
 def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return got.select("doc_id", "n_tokens", "ids_crc32", "lossless")
@@ -36,6 +41,7 @@ def op10_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
     "op9_merge_dropout": op9_merge_dropout,
     "op10_wavelet_tokens": op10_wavelet_tokens,
 }
