@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, secrets, simhash, tokenio
+from . import bpe, decontam, langid, secrets, simhash, tokenio
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit_model(docs))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return got.select("doc_id", "n_tokens", "ids_crc32", "lossless")
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op9_merge_dropout": op9_merge_dropout,
     "op10_wavelet_tokens": op10_wavelet_tokens,
 }
