@@ -1,7 +1,7 @@
 """Token-id output: encoded documents in wavelet-matrix shards, read back from their files.
 
-A shard is one row of a Parquet file: the ids of a run of documents as a wavelet matrix, that is one
-bit-plane per bit of an id, each plane stably partitioned by the bits above it. Planes are packed and
+A shard is one row of a Parquet file: the ids of a run of documents as a wavelet matrix over the shard's
+own alphabet, that is one bit-plane per bit of an id's rank in it, each plane stably partitioned by the bits above it. Planes are packed and
 compressed with zstandard; rank samples every 512 bits are rebuilt when a shard is opened.
 """
 
@@ -25,7 +25,7 @@ from .common import new_path, shuffle_parts
 
 MAGIC = b"WMX1"
 SHARD_TOKENS = 1 << 18
-CACHE_PIECES = 600_000
+CACHE_PIECES = 900_000
 
 
 class WaveletMatrix:
@@ -33,17 +33,18 @@ class WaveletMatrix:
 
     STEP = 512
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.zeros, self.planes = n, zeros, planes
+    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
+        self.n, self.alphabet, self.zeros, self.planes = n, alphabet, zeros, planes
         self.levels = len(planes)
         self._ranks: list[np.ndarray | None] = [None] * self.levels
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        x = np.asarray(ids, np.uint32)
-        levels = max(1, int(x.max()).bit_length()) if len(x) else 1
-        if levels <= 16:
-            x = x.astype(np.uint16)
+        x = np.asarray(ids)
+        there = np.bincount(x) > 0
+        alphabet = np.flatnonzero(there).astype(np.uint32)
+        levels = max(1, (len(alphabet) - 1).bit_length())
+        x = (np.cumsum(there) - 1).astype(np.uint16 if levels <= 16 else np.uint32)[x]
         zeros, planes = [], []
         for b in range(levels - 1, -1, -1):
             bit = (x >> x.dtype.type(b) & x.dtype.type(1)).astype(bool)
@@ -51,7 +52,7 @@ class WaveletMatrix:
             low = x[~bit]
             zeros.append(len(low))
             x = np.concatenate((low, x[bit]))
-        return cls(len(ids), zeros, planes)
+        return cls(len(ids), alphabet, zeros, planes)
 
     def bits(self, level: int) -> np.ndarray:
         return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
@@ -92,11 +93,15 @@ class WaveletMatrix:
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             got = got << 1 | bit
-        return got
+        return int(self.alphabet[got])
+
+    def _symbol(self, value: int) -> int:
+        at = int(np.searchsorted(self.alphabet, value))
+        return at if at < len(self.alphabet) and self.alphabet[at] == value else -1
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
-        lo, hi = 0, end
-        if value >> self.levels:
+        lo, hi, value = 0, end, self._symbol(value)
+        if value < 0:
             return 0, 0
         for level in range(self.levels):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
@@ -119,7 +124,7 @@ class WaveletMatrix:
         lo, hi = self._range(value, self.n)
         if not 0 <= k < hi - lo:
             raise IndexError(k)
-        i = lo + k
+        i, value = lo + k, self._symbol(value)
         for level in range(self.levels - 1, -1, -1):
             bit = value >> (self.levels - 1 - level) & 1
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
@@ -138,27 +143,29 @@ class WaveletMatrix:
             up[~bit] = x[:z]
             up[bit] = x[z:] | kind(1 << (self.levels - 1 - level))
             x = up
-        return x
+        return self.alphabet[x]
 
     def to_bytes(self) -> bytes:
         c = zstandard.ZstdCompressor(level=1)
         packed = [c.compress(p.tobytes()) for p in self.planes]
-        head = struct.pack("<4sQB", MAGIC, self.n, self.levels)
-        return b"".join((head, *(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed)), *packed))
+        names = c.compress(self.alphabet.astype("<u4").tobytes())
+        head = struct.pack("<4sQBQ", MAGIC, self.n, self.levels, len(names))
+        return b"".join((head, names, *(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed)), *packed))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, n, levels = struct.unpack_from("<4sQB", data)
+        magic, n, levels, size = struct.unpack_from("<4sQBQ", data)
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
-        at, d = 13, zstandard.ZstdDecompressor()
+        at, d = 21 + size, zstandard.ZstdDecompressor()
+        alphabet = np.frombuffer(d.decompress(data[21:at]), "<u4")
         heads = [struct.unpack_from("<QQ", data, at + 16 * k) for k in range(levels)]
         at += 16 * levels
         planes = []
         for _, size in heads:
             planes.append(np.frombuffer(d.decompress(data[at : at + size]), np.uint8))
             at += size
-        return cls(n, [z for z, _ in heads], planes)
+        return cls(n, alphabet, [z for z, _ in heads], planes)
 
 
 @lru_cache(1)
@@ -188,17 +195,18 @@ class WaveletMatrix:
 
     STEP = 512
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.zeros, self.planes = n, zeros, planes
+    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
+        self.n, self.alphabet, self.zeros, self.planes = n, alphabet, zeros, planes
         self.levels = len(planes)
         self._ranks: list[np.ndarray | None] = [None] * self.levels
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        x = np.asarray(ids, np.uint32)
-        levels = max(1, int(x.max()).bit_length()) if len(x) else 1
-        if levels <= 16:
-            x = x.astype(np.uint16)
+        x = np.asarray(ids)
+        there = np.bincount(x) > 0
+        alphabet = np.flatnonzero(there).astype(np.uint32)
+        levels = max(1, (len(alphabet) - 1).bit_length())
+        x = (np.cumsum(there) - 1).astype(np.uint16 if levels <= 16 else np.uint32)[x]
         zeros, planes = [], []
         for b in range(levels - 1, -1, -1):
             bit = (x >> x.dtype.type(b) & x.dtype.type(1)).astype(bool)
@@ -206,7 +214,7 @@ class WaveletMatrix:
             low = x[~bit]
             zeros.append(len(low))
             x = np.concatenate((low, x[bit]))
-        return cls(len(ids), zeros, planes)
+        return cls(len(ids), alphabet, zeros, planes)
 
     def bits(self, level: int) -> np.ndarray:
         return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
@@ -247,11 +255,15 @@ class WaveletMatrix:
             ones = self._rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             got = got << 1 | bit
-        return got
+        return int(self.alphabet[got])
+
+    def _symbol(self, value: int) -> int:
+        at = int(np.searchsorted(self.alphabet, value))
+        return at if at < len(self.alphabet) and self.alphabet[at] == value else -1
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
-        lo, hi = 0, end
-        if value >> self.levels:
+        lo, hi, value = 0, end, self._symbol(value)
+        if value < 0:
             return 0, 0
         for level in range(self.levels):
             a, b = self._rank1(level, lo), self._rank1(level, hi)
@@ -274,7 +286,7 @@ class WaveletMatrix:
         lo, hi = self._range(value, self.n)
         if not 0 <= k < hi - lo:
             raise IndexError(k)
-        i = lo + k
+        i, value = lo + k, self._symbol(value)
         for level in range(self.levels - 1, -1, -1):
             bit = value >> (self.levels - 1 - level) & 1
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
@@ -293,27 +305,29 @@ class WaveletMatrix:
             up[~bit] = x[:z]
             up[bit] = x[z:] | kind(1 << (self.levels - 1 - level))
             x = up
-        return x
+        return self.alphabet[x]
 
     def to_bytes(self) -> bytes:
         c = zstandard.ZstdCompressor(level=1)
         packed = [c.compress(p.tobytes()) for p in self.planes]
-        head = struct.pack("<4sQB", MAGIC, self.n, self.levels)
-        return b"".join((head, *(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed)), *packed))
+        names = c.compress(self.alphabet.astype("<u4").tobytes())
+        head = struct.pack("<4sQBQ", MAGIC, self.n, self.levels, len(names))
+        return b"".join((head, names, *(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed)), *packed))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, n, levels = struct.unpack_from("<4sQB", data)
+        magic, n, levels, size = struct.unpack_from("<4sQBQ", data)
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
-        at, d = 13, zstandard.ZstdDecompressor()
+        at, d = 21 + size, zstandard.ZstdDecompressor()
+        alphabet = np.frombuffer(d.decompress(data[21:at]), "<u4")
         heads = [struct.unpack_from("<QQ", data, at + 16 * k) for k in range(levels)]
         at += 16 * levels
         planes = []
         for _, size in heads:
             planes.append(np.frombuffer(d.decompress(data[at : at + size]), np.uint8))
             at += size
-        return cls(n, [z for z, _ in heads], planes)
+        return cls(n, alphabet, [z for z, _ in heads], planes)
 
 
 @lru_cache(1)
@@ -360,13 +374,31 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._reset()
-
-    def _reset(self) -> None:
         self.at, self.known, self.used = _Index(), 0, 0
-        self.first, self.sizes, self.odd = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.first, self.sizes, self.odd, self.uses = (np.zeros(1 << 16, kind) for kind in (np.int64, np.int64, bool, np.int64))
         self.flat = np.zeros(1 << 18, np.uint16)
 
+    def _evict(self) -> None:
+        """Forget the pieces that were met once; if that frees little, all."""
+        keep = np.flatnonzero(self.uses[: self.known] > 1)
+        if len(keep) > CACHE_PIECES // 2:
+            keep = keep[:0]
+        pieces = list(self.at)
+        self.at = _Index(zip(map(pieces.__getitem__, keep.tolist()), range(len(keep))))
+        self.flat = self._gather(keep)
+        sizes = self.sizes[keep]
+        self.first, self.sizes, self.odd, self.uses = np.cumsum(sizes) - sizes, sizes, self.odd[keep], np.ones(len(keep), np.int64)
+        self.known, self.used = len(keep), len(self.flat)
+        if not len(keep):
+            self.first, self.sizes, self.odd, self.uses = (np.zeros(1 << 16, kind) for kind in (np.int64, np.int64, bool, np.int64))
+            self.flat = np.zeros(1 << 18, np.uint16)
+
+    def _gather(self, idx: np.ndarray) -> np.ndarray:
+        """The ids of pieces one after another."""
+        sizes = self.sizes[idx]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.first[idx] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
     def _learn(self) -> None:
         """Encode the pieces that the index has got since the last call."""
         new = list(islice(reversed(self.at), len(self.at) - self.known))[::-1]
@@ -377,11 +409,12 @@ class PieceEncoder:
             n, sizes = self.known, np.fromiter(map(len, ids), np.int64, len(ids))
             got = np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes.sum()))
             while n + len(ids) > len(self.first):
-                self.first, self.sizes, self.odd = (np.resize(x, 2 * len(x)) for x in (self.first, self.sizes, self.odd))
+                self.first, self.sizes, self.odd, self.uses = (np.resize(x, 2 * len(x)) for x in (self.first, self.sizes, self.odd, self.uses))
             while self.used + len(got) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
             self.first[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
             self.sizes[n : n + len(ids)] = sizes
+            self.uses[n : n + len(ids)] = 0
             self.odd[n : n + len(ids)] = [bad(p) is not None for p in part]
             self.flat[self.used : self.used + len(got)] = got
             self.used += len(got)
@@ -389,7 +422,7 @@ class PieceEncoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > CACHE_PIECES:
-            self._reset()
+            self._evict()
         pieces, counts = [], []
         for t in texts:
             p = _PIECES.findall(t)
@@ -397,9 +430,8 @@ class PieceEncoder:
             pieces += p
         idx = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
-        sizes = self.sizes[idx]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.first[idx] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.uses[: self.known] += np.bincount(idx, minlength=self.known)
+        ends, ids = np.cumsum(self.sizes[idx]), self._gather(idx)
         places = np.cumsum([0, *counts])
         cuts = np.concatenate(([0], ends))[places]
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
