@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, secrets, simhash, tokenio
+from . import bpe, decontam, langid, repeats, secrets, simhash, tokenio
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit_model(docs))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op6_repeated_strings": op6_repeated_strings,
     "op7_decontamination": op7_decontamination,
     "op9_merge_dropout": op9_merge_dropout,
     "op10_wavelet_tokens": op10_wavelet_tokens,
