@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, repeats, secrets, simhash, tokenio
+from . import ann, bpe, decontam, langid, repeats, resharding, secrets, simhash, tokenio
 from .common import table
 
 
@@ -41,6 +42,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(24))
+    path, _ = resharding.reshard(docs, old, 24, 24)
+    schema = "doc_id long, text string, size long, slot long, shard int"
+    return spark.read.schema(schema).parquet(path).select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     return got.select("doc_id", "n_tokens", "ids_crc32", "lossless")
@@ -58,6 +75,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_repeated_strings": op6_repeated_strings,
     "op7_decontamination": op7_decontamination,
+    "op8_resharding": op8_resharding,
     "op9_merge_dropout": op9_merge_dropout,
     "op10_wavelet_tokens": op10_wavelet_tokens,
 }
