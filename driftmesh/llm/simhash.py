@@ -49,15 +49,15 @@ def fingerprint(text: str | None, n_words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` per row; ``fp`` holds the 64 bits in a signed long. Null and empty texts get 0."""
+    """``(doc_id, x, fp)`` per row: a hash of the text, and the 64 bits in a signed long. Null and empty texts get 0."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             fps = np.fromiter((fingerprint(t, n_words) for t in pdf["t"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": pdf["x"], "fp": fps.view(np.int64)})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return picked.mapInPandas(run, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("t"))
+    return picked.mapInPandas(run, "doc_id long, x long, fp long")
 
 
 @lru_cache(1)
@@ -197,6 +197,13 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     )
 
 
+def _named(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, root)`` of all distinct fingerprints, root the component's smallest fingerprint."""
+    distinct = cut(fps.groupBy("fp").agg(F.count("*").alias("n")), "simhash").select("fp")
+    comp = components(fingerprint_links(distinct, max_bits)).withColumnRenamed("node", "fp")
+    return distinct.join(comp, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -206,16 +213,28 @@ def near_duplicates(
     names a component unless its component has no other id. Repeated rows stay repeated. Only the id and text
     columns are read, so other columns can't clash.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, n_words), "simhash")
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs")), "simhash")
-    comp = components(fingerprint_links(distinct, max_bits))
-    named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    fps = cut(fingerprints(docs, id_col, text_col, n_words).select("doc_id", "fp"), "simhash")
+    named = cut(_named(fps, max_bits), "simhash")
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    lowest = first.join(named, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     mapped = cut(named.join(lowest, "root").select("fp", "component_id"), "simhash")
     return fps.join(mapped, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate component: that with the smallest id (nulls last).
+
+    Of rows with equal id and text one stays. All columns are kept; they may have any names but ``__id`` and ``__x``.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col, n_words), "simhash")
+    named = _named(fps, max_bits)
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")
+    one = fps.groupBy("fp").agg(F.min(least).alias("one")).join(named, "fp").groupBy("root").agg(F.min("one").alias("one"))
+    kept = cut(one.select(F.col("one.doc_id").alias("__id"), F.col("one.x").alias("__x")), "simhash")
+    rows = docs.withColumn("__x", F.xxhash64(text_col))
+    same = rows[id_col].cast("long").eqNullSafe(kept["__id"]) & (rows["__x"] == kept["__x"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__x"]).drop("__x")
+
+
 def hex_of(fp) -> F.col:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
