@@ -3,7 +3,7 @@
 Text is escaped as the model asks (a dummy prefix, spaces as U+2581) and cut before each word; the
 pieces of the models in use never span such a cut, which is checked when a model is loaded. A word's merges run from an
 agenda ordered by piece score, then by place. Whenever a merge is taken from the agenda, a keyed
-hash of (seed, variant, left piece, right piece, place) may skip it, which leaves it out of that
+hash of (seed, variant, merged piece, left part's length, place) may skip it, which leaves it out of that
 word's segmentation. A word's variant comes from the document's key and the word's number in the text, so one word is
 segmented in several ways across and within texts, and a segmentation can be computed once per
 (word, variant) and kept. With dropout 0 the pieces are the library's own.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
+LONG_WORD = 48
+_NONE = -1e30
+_MASK = (1 << 64) - 1
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -36,7 +40,7 @@ class Dropout:
 
     rate: float = 0.1
     seed: int = 1
-    variants: int = 4
+    variants: int = 3
 
 
 class MergeModel:
@@ -60,14 +64,61 @@ class MergeModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the model has pieces that span words")
         self.skip_below = int(dropout.rate * 2**64)
-        self.cache: dict[tuple[str, int], bytes] = {}
-
-    def _skipped(self, variant: int, left: str, right: str, place: int) -> bool:
-        d = self.dropout
-        return xxhash.xxh64_intdigest(f"{variant}\t{place}\t{left}\t{right}", d.seed) < self.skip_below
+        self.keys = [xxhash.xxh64_intdigest(str(k), dropout.seed) for k in range(dropout.variants + 1)]
+        self.drawn: list[dict[int, bool]] = [{} for _ in self.keys]  # at most pieces times 2 ** 16 short keys, in fact few
+        # two generations of segmented words, for each variant and (last) without dropout
+        self.cache, self.cached = [{} for _ in range(dropout.variants + 1)], 0
+        self.old: list[dict[str, bytes]] = [{} for _ in range(dropout.variants + 1)]
+
+    def _skipped(self, variant: int, piece: int, left: int, place: int) -> bool:
+        """Keyed hash of (seed, variant), the merged piece's id, its left part's length and its place."""
+        named = piece << 16 | place << 8 | left if place < 256 and left < 256 else -1
+        if (got := self.drawn[variant].get(named)) is not None:
+            return got
+        x = (self.keys[variant] ^ (piece * 0x9E3779B97F4A7C15 + (place << 8 | left) * 0xC2B2AE3D27D4EB4F)) & _MASK
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _MASK
+        got = (x ^ x >> 31) & _MASK < self.skip_below
+        if named >= 0:
+            self.drawn[variant][named] = got
+        return got
 
     def word(self, word: str, variant: int, dropped: bool = True) -> list[int]:
         """Ids of one escaped word."""
+        parts = self._merged_short(word, variant, dropped) if len(word) <= LONG_WORD else self._merged_long(word, variant, dropped)
+        out = []
+        for p in parts:
+            i = self.ids.get(p)
+            if i is None:
+                out += [self.byte_ids[b] for b in p.encode()]
+            else:
+                out.append(i)
+        return out
+
+    def _merged_short(self, word: str, variant: int, dropped: bool) -> list[str]:
+        """The agenda as a list of pair scores: the best is the first of the largest."""
+        parts, at, scores = list(word), list(range(len(word))), self.scores
+        dropped = dropped and self.skip_below > 0
+        score = [scores.get(a + b, _NONE) for a, b in zip(word, word[1:])]
+        while score:
+            best = max(score)
+            if best == _NONE:
+                break
+            i = score.index(best)
+            left = parts[i]
+            whole = left + parts[i + 1]
+            if dropped and self._skipped(variant, self.ids[whole], len(left), at[i]):
+                score[i] = _NONE
+                continue
+            parts[i] = whole
+            del parts[i + 1], at[i + 1], score[i]
+            if i:
+                score[i - 1] = scores.get(parts[i - 1] + whole, _NONE)
+            if i < len(score):
+                score[i] = scores.get(whole + parts[i + 1], _NONE)
+        return parts
+
+    def _merged_long(self, word: str, variant: int, dropped: bool) -> list[str]:
+        """The agenda as a heap over a linked list, for words of any length."""
         parts: list[str | None] = list(word)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -85,7 +136,7 @@ class MergeModel:
             _, i, left, right = heapq.heappop(agenda)
             if parts[i] != left or after[i] >= n or parts[after[i]] != right:
                 continue
-            if dropped and self.skip_below and self._skipped(variant, left, right, i):
+            if dropped and self.skip_below and self._skipped(variant, self.ids[left + right], len(left), i):
                 continue
             j = after[i]
             parts[i], parts[j] = left + right, None
@@ -95,12 +146,7 @@ class MergeModel:
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        out = []
-        for p in parts:
-            if p is not None:
-                i = self.ids.get(p)
-                out += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-        return out
+        return [p for p in parts if p is not None]
 
     def escape(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -112,16 +158,19 @@ class MergeModel:
             return np.empty(0, np.int32)
         v = self.dropout.variants
         at = int(xxhash.xxh64_intdigest(str(key), self.dropout.seed) % v)
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if self.cached > CACHE_WORDS:
+            self.old, self.cache, self.cached = self.cache, [{} for _ in range(v + 1)], 0
         got = []
         for k, w in enumerate(words, at):
-            named = (w, k % v) if dropped else (w, -1)
-            ids = cache.get(named)
+            slot = k % v if dropped else v
+            ids = self.cache[slot].get(w)
             if ids is None:
-                ids = np.array(self.word(w, k % v, dropped), np.int32).tobytes()
-                cache[named] = ids
+                ids = self.old[slot].get(w)
+                if ids is None:
+                    x = self.word(w, slot, dropped)
+                    ids = struct.pack(f"{len(x)}i", *x)
+                self.cache[slot][w] = ids
+                self.cached += 1
             got.append(ids)
         return np.frombuffer(b"".join(got), np.int32)
 
