@@ -65,7 +65,7 @@ class MergeModel:
             raise ValueError("the model has pieces that span words")
         self.skip_below = int(dropout.rate * 2**64)
         self.keys = [xxhash.xxh64_intdigest(str(k), dropout.seed) for k in range(dropout.variants + 1)]
-        self.drawn: list[dict[int, bool]] = [{} for _ in self.keys]  # at most pieces times 2 ** 16 short keys, in fact few
+        self.drawn: list[dict[int, bool]] = [{} for _ in self.keys]
         # two generations of segmented words, for each variant and (last) without dropout
         self.cache, self.cached = [{} for _ in range(dropout.variants + 1)], 0
         self.old: list[dict[str, bytes]] = [{} for _ in range(dropout.variants + 1)]
@@ -160,6 +160,7 @@ class MergeModel:
         at = int(xxhash.xxh64_intdigest(str(key), self.dropout.seed) % v)
         if self.cached > CACHE_WORDS:
             self.old, self.cache, self.cached = self.cache, [{} for _ in range(v + 1)], 0
+            self.drawn = [{} if len(d) > 300_000 else d for d in self.drawn]
         got = []
         for k, w in enumerate(words, at):
             slot = k % v if dropped else v
