@@ -24,15 +24,34 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/driftmesh/{tag}-{uuid.uuid4().hex}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
-    Cuts the lineage, and lets later stages start again from the files when an executor is lost.
+    Cuts the lineage, and lets later stages start again from the files when an executor is lost. Shuffle
+    files of the write are given up at its end, where Spark can do so.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEAN_UP, None)
+    try:
+        if was is not None:
+            spark.conf.set(CLEAN_UP, "true")
+        df.write.parquet(path)
+    finally:
+        if was is not None:
+            spark.conf.set(CLEAN_UP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def free(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` has written, once nothing reads them any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

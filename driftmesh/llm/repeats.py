@@ -6,10 +6,11 @@ hash is the least of ``length - gram + 1`` neighbouring ones, the last of equal
 ``length`` bytes have their least place at the same offset, so
 
 1. sampled grams are sorted and named; a string whose sampled gram is unique is unique;
-2. names recurse to larger contexts: samples whose whole surroundings (all bytes of all strings that
-   they stand for) are equal are one name, and one sample of each name stays for the rest;
-3. the remaining strings are merged by (offset in the sample, hash of all their bytes), partially
-   aggregated before the shuffle, and adjacent equal ones mark their bytes.
+2. names recurse to contexts: samples whose whole surroundings (all bytes of all strings that they stand
+   for) are equal get one name, and one sample of each name stays for the rest;
+3. where a gram has several names, a sample's strings are merged in blocks of ever fewer neighbouring
+   offsets, down to one. A block drops out if its core (the bytes that all its strings have) is unique, and is
+   settled if its own surroundings have an equal; only the others are cut further.
 
 Exact copies of whole texts are named first of all. Strings are told apart by 128 hashed bits.
 """
@@ -18,16 +19,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 LENGTH = 400
-GRAM = 176
+GRAM = 128
+BLOCKS = (32, 8, 1)
 TILE = 1 << 20
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _TABLES = [np.random.default_rng(s).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (1, 2)]
@@ -91,13 +94,13 @@ def _sliding_last_min(x: np.ndarray, w: int) -> np.ndarray:
     return (mask - (least & mask)).astype(np.int64)
 
 
-def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text's bytes: for each sample its gram's hash, and the strings (first, last start) it stands for.
+def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of one text's bytes: for each sample its gram's hash and place, and the strings (first, last start) it stands for.
 
     Runs of strings with the same sample are contiguous. Texts are read in tiles that overlap by ``length - 1``.
     """
     h = _hasher(0)
-    hashes, first, last = [], [], []
+    hashes, place, first, last = [], [], [], []
     n, w = len(data) - length + 1, length - gram + 1
     for at in range(0, max(0, n), TILE):
         tile = data[at : at + TILE + length - 1]
@@ -105,12 +108,13 @@ def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
         least = _sliding_last_min(g, w)
         new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         hashes.append(g[least[new]])
+        place.append(at + least[new])
         first.append(at + new)
         last.append(at + np.append(new[1:], len(least)) - 1)
     if not hashes:
         e = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), e, e
-    return np.concatenate(hashes), np.concatenate(first), np.concatenate(last)
+        return np.empty(0, np.uint64), e, e, e
+    return np.concatenate(hashes), np.concatenate(place), np.concatenate(first), np.concatenate(last)
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -136,10 +140,10 @@ def _samples_of(length: int, gram: int):
         held, size = [], 0
         for pdf in frames:
             for k1, k2, t in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"].tolist()):
-                h, first, last = samples(_bytes(t), length, gram)
+                h, place, first, last = samples(_bytes(t), length, gram)
                 if not len(h):
                     continue
-                held.append(pd.DataFrame({"k1": k1, "k2": k2, "h": h.view(np.int64), "first": first, "last": last}))
+                held.append(pd.DataFrame({"k1": k1, "k2": k2, "h": h.view(np.int64), "g": place, "first": first, "last": last}))
                 size += len(h)
                 if size > 20_000:
                     yield pd.concat(held)
@@ -150,33 +154,38 @@ def _samples_of(length: int, gram: int):
     return run
 
 
-def _contexts_of(length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for k1, k2, t, rs in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"].tolist(), pdf["runs"]):
-                raw = (t or "").encode()
-                for r in rs:
-                    a, b = int(r["first"]), int(r["last"])
-                    d = hashlib.blake2b(raw[a : b + length], digest_size=16).digest()
-                    rows.append((k1, k2, int(r["h"]), a, b, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            yield pd.DataFrame(rows, columns=["k1", "k2", "h", "first", "last", "c1", "c2"])
+def _digest(*parts: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+_BLOCK = "k1 long, k2 long, g int, lo int, hi int, c1 long, c2 long, r1 long, r2 long"
 
-    return run
 
+def _blocks_of(length: int, width: int, whole: int):
+    """Blocks of ``width`` offsets of each given block: the names of their surroundings and of their cores.
+
+    An offset is a sample's place less a string's start; blocks are aligned to it, so equal strings fall
+    into equal blocks even where a text's end cuts one short. ``whole`` is the number of offsets there are.
+    """
 
-def _strings_of(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h1, h2 = _hasher(0), _hasher(1)
         for pdf in frames:
-            for k1, k2, t, rs in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"].tolist(), pdf["runs"]):
-                data, parts = _bytes(t), []
-                for r in rs:
-                    a, b = int(r["first"]), int(r["last"])
-                    piece = data[a : b + length]
-                    parts.append((h1.strings(h1.prefix(piece), length), h2.strings(h2.prefix(piece), length), np.arange(a, b + 1)))
-                x, y, at = (np.concatenate(p) for p in zip(*parts))
-                yield pd.DataFrame({"h1": x.view(np.int64), "h2": y.view(np.int64), "k1": k1, "k2": k2, "at": at})
+            rows = []
+            for k1, k2, t, blocks in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"].tolist(), pdf["blocks"]):
+                raw = (t or "").encode()
+                for b in blocks:
+                    g, lo, hi = int(b["g"]), int(b["lo"]), int(b["hi"])
+                    for q in range(lo // width, hi // width + 1):
+                        x, y = max(lo, q * width), min(hi, (q + 1) * width - 1)
+                        top = min((q + 1) * width, whole) - 1
+                        ctx = _digest(raw[g - y : g - x + length], b"%d:%d" % (x, y))
+                        core = _digest(raw[g - q * width : g - top + length], b"%d" % q) if width > 1 else ctx
+                        rows.append((k1, k2, g, x, y, *ctx, *core))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=["k1", "k2", "g", "lo", "hi", "c1", "c2", "r1", "r2"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["k1", "k2", "g", "lo", "hi", "c1", "c2", "r1", "r2"])
 
     return run
 
@@ -214,32 +223,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     long_enough = rows.where(F.octet_length("t") >= length)
 
     # 1: a sampled gram that stands in one place only names no repeat
-    sampled = cut(long_enough.select("k1", "k2", "t").mapInPandas(_samples_of(length, gram), "k1 long, k2 long, h long, first int, last int"), "repeats")
+    sampled = cut(long_enough.select("k1", "k2", "t").mapInPandas(_samples_of(length, gram), "k1 long, k2 long, h long, g int, first int, last int"), "repeats")
     met = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    runs = (
+    blocks = (
         sampled.join(met, "h", "left_semi")
         .groupBy(*KEY)
-        .agg(F.collect_set(F.struct("h", "first", "last")).alias("runs"))
+        .agg(F.collect_set(F.struct("g", (F.col("g") - F.col("last")).alias("lo"), (F.col("g") - F.col("first")).alias("hi"))).alias("blocks"))
     )
     distinct = long_enough.groupBy(*KEY).agg(F.first("t").alias("t"), F.count("*").alias("copies"))
-    texts = cut(distinct.join(runs, KEY), "repeats")
-
-    # 2: the surroundings of each sample, by name
-    ctx = cut(texts.select("k1", "k2", "t", "runs").mapInPandas(_contexts_of(length), "k1 long, k2 long, h long, first int, last int, c1 long, c2 long"), "repeats")
-    names = cut(
-        ctx.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")), "repeats"
-    )
-    whole = ctx.join(names.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select(*KEY, "first", "last")
-
-    # 3: strings of one sample of each name, where a gram has several
-    mixed = names.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    todo = names.join(mixed, "h", "left_semi").select("one.*").groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    strings = cut(texts.select("k1", "k2", "t").join(todo, KEY).mapInPandas(_strings_of(length), "h1 long, h2 long, k1 long, k2 long, at int"), "repeats")
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    single = strings.join(twice, ["h1", "h2"], "left_semi").select(*KEY, F.col("at").alias("first"), F.col("at").alias("last"))
+    texts = cut(distinct.join(blocks, KEY), "repeats")
+    free(sampled)
+
+    # 2 and 3: names of ever smaller blocks of strings; the widest block's core is the gram
+    whole = length - gram + 1
+    todo, found = texts.select(*KEY, "t", "blocks"), []
+    for width in (whole, *(w for w in BLOCKS if w < whole)):
+        named = cut(todo.mapInPandas(_blocks_of(length, width, whole), _BLOCK), "repeats")
+        names = cut(
+            named.groupBy("r1", "r2", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "g", "lo", "hi")).alias("one")), "repeats"
+        )
+        equal = named.join(names.where("n > 1").select("r1", "r2", "c1", "c2"), ["r1", "r2", "c1", "c2"], "left_semi")
+        found.append(equal.select(*KEY, (F.col("g") - F.col("hi")).alias("first"), (F.col("g") - F.col("lo")).alias("last")))
+        if width > 1:
+            mixed = names.groupBy("r1", "r2").agg(F.count("*").alias("m")).where("m > 1").select("r1", "r2")
+            left = names.join(mixed, ["r1", "r2"], "left_semi").select("one.*")
+            left = left.groupBy(*KEY).agg(F.collect_list(F.struct("g", "lo", "hi")).alias("blocks"))
+            todo = texts.select(*KEY, "t").join(left, KEY)
 
     copied = texts.where("copies > 1").select(*KEY, F.lit(0).alias("first"), (F.octet_length("t") - length).alias("last"))
-    marks = whole.unionByName(single).unionByName(copied).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    marks = reduce(DataFrame.unionByName, found, copied).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kept = cut(
         texts.select("k1", "k2", "t").join(marks, KEY).mapInPandas(_kept_of(length), "k1 long, k2 long, removed long, n_spans long, kept string, spans array<long>"),
         "repeats",
