@@ -182,13 +182,14 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             fps = pdf["fp"].to_numpy(np.int64)
-            for at in range(0, len(fps), 4096):
-                rows, keys = golay_keys(fps[at : at + 4096].view(np.uint64))
-                yield pd.DataFrame({"key": keys, "fp": fps[at : at + 4096][rows]})
+            for at in range(0, len(fps), 1024):
+                rows, keys = golay_keys(fps[at : at + 1024].view(np.uint64))
+                yield pd.DataFrame({"key": keys, "fp": fps[at : at + 1024][rows]})
 
     spark = distinct.sparkSession
     n = shuffle_parts(spark)
-    keys = distinct.select("fp").mapInPandas(keyed, "key long, fp long")
+    # a small table in few files makes hundreds of rows of keys for each of its own: deal it out first
+    keys = distinct.select("fp").repartition(2 * n, "fp").mapInPandas(keyed, "key long, fp long")
     return (
         keys.repartition(4 * n, "key")
         .sortWithinPartitions("key", "fp")
