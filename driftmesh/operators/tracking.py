@@ -116,7 +116,7 @@ def events(edges: DataFrame, nodes: DataFrame | None = None, t0: int | None = No
     if nodes is not None:
         span = nodes.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
         ends = ends.unionByName(nodes.where(F.col("t") < span.hi).select("t", (F.col("label") * 2).alias("node")))
-        ends = ends.unionByName(nodes.where(F.col("t") > span.lo).select(F.col("t") - 1, (F.col("label") * 2 + 1).alias("node")))
+        ends = ends.unionByName(nodes.where(F.col("t") > span.lo).select((F.col("t") - 1).alias("t"), (F.col("label") * 2 + 1).alias("node")))
     ends = materialize(ends.distinct(), "events")
     roots = components(edges.select(left.alias("a"), right.alias("b")), ends.select("node"))
     side = ends.join(roots, "node").select("t", "root", (F.col("node") % 2 == 0).alias("is_left"), F.floor(F.col("node") / 2).alias("label"))

@@ -46,7 +46,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias("id"),
         (F.row_number().over(order) - 1).cast("long").alias("seq"),
-        (F.unix_micros("ts") / 1e6 - 1704067200).alias("t"),
+        (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01', CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"),
         F.col("value").alias("x"),
         (F.ascii("event_type") % 3).alias("type"),
         (F.col("event_id") % 4 == 0).alias("ordinal"),
