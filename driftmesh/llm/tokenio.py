@@ -168,168 +168,6 @@ class WaveletMatrix:
         return cls(n, alphabet, [z for z, _ in heads], planes)
 
 
-@lru_cache(1)
-def _unsafe() -> re.Pattern:
-    """Characters that ``re`` may class otherwise than the tokenizer's own split."""
-    old = unicodedata.ucd_3_2_0
-    spans: list[list[int]] = []
-    for cp in range(0x3000):
-        ch = chr(cp)
-        kind = old.category(ch)
-        word, digit, space = ch.isalnum(), ch.isdecimal(), ch.isspace()
-        white = cp in (0x20, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) or 9 <= cp <= 13 or 0x2000 <= cp <= 0x200A
-        same = kind == unicodedata.category(ch) and (word and not digit) == (kind[0] == "L") and digit == (kind[0] == "N") and space == white
-        if same and kind not in ("Cn", "Cs"):
-            if spans and spans[-1][1] == cp - 1:
-                spans[-1][1] = cp
-            else:
-                spans.append([cp, cp])
-    return re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans) + "]")
-
-
-_PIECES = 600_000
-
-
-class WaveletMatrix:
-    """Sequence of unsigned ids with access, rank, select and count through rank-indexed bit-planes."""
-
-    STEP = 512
-
-    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.alphabet, self.zeros, self.planes = n, alphabet, zeros, planes
-        self.levels = len(planes)
-        self._ranks: list[np.ndarray | None] = [None] * self.levels
-
-    @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        x = np.asarray(ids)
-        there = np.bincount(x) > 0
-        alphabet = np.flatnonzero(there).astype(np.uint32)
-        levels = max(1, (len(alphabet) - 1).bit_length())
-        x = (np.cumsum(there) - 1).astype(np.uint16 if levels <= 16 else np.uint32)[x]
-        zeros, planes = [], []
-        for b in range(levels - 1, -1, -1):
-            bit = (x >> x.dtype.type(b) & x.dtype.type(1)).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
-            low = x[~bit]
-            zeros.append(len(low))
-            x = np.concatenate((low, x[bit]))
-        return cls(len(ids), alphabet, zeros, planes)
-
-    def bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-
-    def _samples(self, level: int) -> np.ndarray:
-        if self._ranks[level] is None:
-            ones = np.bitwise_count(self.planes[level]).astype(np.int64)
-            step = self.STEP // 8
-            pad = np.concatenate((ones, np.zeros(-len(ones) % step, np.int64)))
-            self._ranks[level] = np.concatenate(([0], np.cumsum(pad.reshape(-1, step).sum(axis=1))))
-        return self._ranks[level]
-
-    def _rank1(self, level: int, i: int) -> int:
-        """Ones among the first ``i`` bits of a plane."""
-        block = i // self.STEP
-        got = int(self._samples(level)[block])
-        at, end = block * self.STEP // 8, i // 8
-        got += int(np.bitwise_count(self.planes[level][at:end]).sum(dtype=np.int64))
-        if i % 8:
-            got += (int(self.planes[level][end]) & ((1 << i % 8) - 1)).bit_count()
-        return got
-
-    def _select(self, level: int, bit: int, k: int) -> int:
-        """Place of the ``k``-th (from 0) bit of that value in a plane."""
-        s = self._samples(level)
-        blocks = s if bit else np.minimum(np.arange(len(s)) * self.STEP, self.n) - s
-        block = int(np.searchsorted(blocks, k, side="right")) - 1
-        lo = block * self.STEP
-        part = np.unpackbits(self.planes[level][lo // 8 : (lo + self.STEP) // 8], bitorder="little")
-        return lo + int(np.flatnonzero(part == bit)[k - int(blocks[block])])
-
-    def access(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        got = 0
-        for level in range(self.levels):
-            bit = int(self.planes[level][i // 8]) >> (i % 8) & 1
-            ones = self._rank1(level, i)
-            i = self.zeros[level] + ones if bit else i - ones
-            got = got << 1 | bit
-        return int(self.alphabet[got])
-
-    def _symbol(self, value: int) -> int:
-        at = int(np.searchsorted(self.alphabet, value))
-        return at if at < len(self.alphabet) and self.alphabet[at] == value else -1
-
-    def _range(self, value: int, end: int) -> tuple[int, int]:
-        lo, hi, value = 0, end, self._symbol(value)
-        if value < 0:
-            return 0, 0
-        for level in range(self.levels):
-            a, b = self._rank1(level, lo), self._rank1(level, hi)
-            if value >> (self.levels - 1 - level) & 1:
-                lo, hi = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                lo, hi = lo - a, hi - b
-        return lo, hi
-
-    def rank(self, value: int, i: int) -> int:
-        """How often ``value`` is among the first ``i`` ids."""
-        lo, hi = self._range(value, i)
-        return hi - lo
-
-    def count(self, value: int) -> int:
-        return self.rank(value, self.n)
-
-    def select(self, value: int, k: int) -> int:
-        """Place of the ``k``-th (from 0) ``value``."""
-        lo, hi = self._range(value, self.n)
-        if not 0 <= k < hi - lo:
-            raise IndexError(k)
-        i, value = lo + k, self._symbol(value)
-        for level in range(self.levels - 1, -1, -1):
-            bit = value >> (self.levels - 1 - level) & 1
-            i = self._select(level, bit, i - self.zeros[level] if bit else i)
-        return i
-
-    def occurrences(self, value: int) -> Iterator[int]:
-        return (self.select(value, k) for k in range(self.count(value)))
-
-    def decode(self) -> np.ndarray:
-        """All ids in order, plane by plane from the last."""
-        kind = np.uint16 if self.levels <= 16 else np.uint32
-        x = np.zeros(self.n, kind)
-        for level in range(self.levels - 1, -1, -1):
-            bit, z = self.bits(level), self.zeros[level]
-            up = np.empty(self.n, kind)
-            up[~bit] = x[:z]
-            up[bit] = x[z:] | kind(1 << (self.levels - 1 - level))
-            x = up
-        return self.alphabet[x]
-
-    def to_bytes(self) -> bytes:
-        c = zstandard.ZstdCompressor(level=1)
-        packed = [c.compress(p.tobytes()) for p in self.planes]
-        names = c.compress(self.alphabet.astype("<u4").tobytes())
-        head = struct.pack("<4sQBQ", MAGIC, self.n, self.levels, len(names))
-        return b"".join((head, names, *(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed)), *packed))
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        magic, n, levels, size = struct.unpack_from("<4sQBQ", data)
-        if magic != MAGIC:
-            raise ValueError("not a wavelet-matrix shard")
-        at, d = 21 + size, zstandard.ZstdDecompressor()
-        alphabet = np.frombuffer(d.decompress(data[21:at]), "<u4")
-        heads = [struct.unpack_from("<QQ", data, at + 16 * k) for k in range(levels)]
-        at += 16 * levels
-        planes = []
-        for _, size in heads:
-            planes.append(np.frombuffer(d.decompress(data[at : at + size]), np.uint8))
-            at += size
-        return cls(n, alphabet, [z for z, _ in heads], planes)
-
-
 @lru_cache(1)
 def _unsafe() -> re.Pattern:
     """Characters that ``re`` may class otherwise than the tokenizer's own split."""
@@ -373,7 +211,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids above 65535 need wider shards")
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.at, self.known, self.used = _Index(), 0, 0
         self.first, self.sizes, self.odd, self.uses = (np.zeros(1 << 16, kind) for kind in (np.int64, np.int64, bool, np.int64))
         self.flat = np.zeros(1 << 18, np.uint16)
