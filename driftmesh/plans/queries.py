@@ -199,7 +199,7 @@ _field_query(
 )
 _field_query(
     "cross_product3d",
-    "SELECT t, j, i, f * j * 3 - f * 2 * (f - 1) AS cx, f * 2 * i - f * 3 * 1 AS cy, (f - 1) - j * i AS cz FROM field",
+    "SELECT t, j, i, f * j * 3 - f * 2 * (f - 1) AS cx, f * 2 - i * f * 3 AS cy, i * (f - 1) - j AS cz FROM field",
     lambda f: f.withColumns({"one": F.lit(1).cast("long"), "fm": F.col("f") - 1, "f2": F.col("f") * 2, "f3": F.col("f") * 3}).select("t", "j", "i", *[c.alias(n) for n, c in zip(("cx", "cy", "cz"), D.cross(("i", "j", "f2"), ("one", "fm", "f3")))]),
 )
 query("acceleration3d")(lambda spark, d: D.acceleration(S.abc_flow(spark, 12, 12, 12)).select("t", "k", "j", "i", _r("ax").alias("ax"), _r("ay").alias("ay"), _r("az").alias("az")))
@@ -309,7 +309,7 @@ def cp3d_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _abc(spark: SparkSession) -> DataFrame:
-    return S.abc_flow(spark, 10, 10, 10).withColumn("t", F.explode(F.array(F.lit(0), F.lit(1))).cast("long"))
+    return S.abc_flow(spark, 10, 10, 10).withColumn("t", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
 
 
 query("critical_lines")(lambda spark, d: X.critical_lines(_abc(spark), (10, 10, 10), 2))
@@ -378,8 +378,8 @@ def _traj_query(name: str, body: str | None, make, *ctes: str) -> None:
 
 _traj_query(
     "curve_stats",
-    "SELECT id, COUNT(*) AS n, ROUND(MIN(t), 3) AS tmin, ROUND(MAX(t), 3) AS tmax, ROUND(MIN(x), 6) AS min_x, ROUND(MAX(x), 6) AS max_x, ROUND(MAX(x) - MIN(x), 6) AS persistence_x, CASE WHEN MIN(type) = MAX(type) THEN MIN(type) ELSE 0 END AS consistent_type FROM traj GROUP BY id",
-    lambda t: C.statistics(t).select("id", "n", _r("tmin", 3).alias("tmin"), _r("tmax", 3).alias("tmax"), *[_r(c).alias(c) for c in ("min_x", "max_x", "persistence_x")], "consistent_type"),
+    "SELECT id, COUNT(*) AS n, ROUND(MIN(t), 6) AS tmin, ROUND(MAX(t), 6) AS tmax, ROUND(MIN(x), 6) AS min_x, ROUND(MAX(x), 6) AS max_x, ROUND(MAX(x) - MIN(x), 6) AS persistence_x, CASE WHEN MIN(type) = MAX(type) THEN MIN(type) ELSE 0 END AS consistent_type FROM traj GROUP BY id",
+    lambda t: C.statistics(t).select("id", "n", _r("tmin").alias("tmin"), _r("tmax").alias("tmax"), *[_r(c).alias(c) for c in ("min_x", "max_x", "persistence_x")], "consistent_type"),
 )
 _traj_query(
     "curve_velocity",
@@ -423,8 +423,8 @@ _traj_query(
 )
 _traj_query(
     "curve_reorder",
-    "SELECT id, MAX(seq) OVER (PARTITION BY id) - seq AS seq, ROUND(-t, 3) AS t FROM traj",
-    lambda t: C.reorder(t.withColumn("t", -F.col("t")).withColumn("timestep", F.floor("t"))).select("id", "seq", _r("t", 3).alias("t")),
+    "SELECT id, MAX(seq) OVER (PARTITION BY id) - seq AS seq, ROUND(-t, 6) AS t FROM traj",
+    lambda t: C.reorder(t.withColumn("t", -F.col("t")).withColumn("timestep", F.floor("t"))).select("id", "seq", _r("t").alias("t")),
 )
 _traj_query(
     "curve_unwrap",
@@ -467,13 +467,13 @@ def nearest_neighbor(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "piecewise_lerp",
     """WITH knots AS (SELECT n_nationkey * 400.0 - 1000 AS x, n_nationkey * n_nationkey * 1.5 AS y FROM nation), w AS (SELECT *, lead(x) OVER (ORDER BY x) AS nx, lead(y) OVER (ORDER BY x) AS ny FROM knots)
-    SELECT c_custkey AS key, ROUND(CASE WHEN c_acctbal < (SELECT MIN(x) FROM knots) THEN (SELECT arg_min(y, x) FROM knots) WHEN nx IS NULL THEN y ELSE y + (c_acctbal - x) / (nx - x) * (ny - y) END, 6) AS yi
+    SELECT c_custkey AS key, ROUND(CASE WHEN c_acctbal < (SELECT MIN(x) FROM knots) THEN (SELECT arg_min(y, x) FROM knots) WHEN nx IS NULL THEN y ELSE y + (c_acctbal - x) / (nx - x) * (ny - y) END, 8) AS yi
     FROM customer LEFT JOIN w ON c_acctbal >= x AND (c_acctbal < nx OR nx IS NULL)""",
 )
 def piecewise_lerp(spark: SparkSession, d: str) -> DataFrame:
     knots = spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") * 400.0 - 1000).alias("x"), (F.col("n_nationkey") * F.col("n_nationkey") * 1.5).alias("y"))
     keys = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("xi"))
-    return U.lerp_lookup(keys, knots).select("key", _r("yi").alias("yi"))
+    return U.lerp_lookup(keys, knots).select("key", _r("yi", 8).alias("yi"))
 
 
 @query(
