@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 350_000
+CACHE_WORDS = 150_000
+BLOCK_CHARS = 1_000_000
 LONG_WORD = 48
+WIDTHS = (6, 9, 13, 20, LONG_WORD)
 _NONE = -1e30
 _MASK = (1 << 64) - 1
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -63,24 +65,125 @@ class MergeModel:
             raise ValueError("the model has no byte pieces; decoding would lose characters")
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the model has pieces that span words")
-        self.skip_below = int(dropout.rate * 2**64)
+        self.skip_below = min(int(dropout.rate * 2**64), _MASK)
         self.keys = [xxhash.xxh64_intdigest(str(k), dropout.seed) for k in range(dropout.variants + 1)]
-        self.drawn: list[dict[int, bool]] = [{} for _ in self.keys]
         # two generations of segmented words, for each variant and (last) without dropout
-        self.cache, self.cached = [{} for _ in range(dropout.variants + 1)], 0
-        self.old: list[dict[str, bytes]] = [{} for _ in range(dropout.variants + 1)]
+        self.cache: list[dict[str, bytes]] = [{} for _ in self.keys]
+        self.old: list[dict[str, bytes]] = [{} for _ in self.keys]
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """Symbols (pieces, then characters that are none), and for each mergeable pair of them the whole and its score."""
+        symbols = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p}):
+            symbols.setdefault(c, len(self.pieces) + len(symbols))
+        self.chars = np.array(sorted(map(ord, (s for s in symbols if len(s) == 1))), np.uint32)
+        self.char_symbols = np.array([symbols[chr(c)] for c in self.chars.tolist()], np.int64)
+        found = [
+            (symbols[p[:k]] << 20 | symbols[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols
+        ]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.pairs, self.wholes = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
+        self.pair_scores = np.array([self.scores[self.pieces[i]] for i in self.wholes.tolist()])
 
     def _skipped(self, variant: int, piece: int, left: int, place: int) -> bool:
         """Keyed hash of (seed, variant), the merged piece's id, its left part's length and its place."""
-        named = piece << 16 | place << 8 | left if place < 256 and left < 256 else -1
-        if (got := self.drawn[variant].get(named)) is not None:
-            return got
         x = (self.keys[variant] ^ (piece * 0x9E3779B97F4A7C15 + (place << 8 | left) * 0xC2B2AE3D27D4EB4F)) & _MASK
         x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _MASK
-        got = (x ^ x >> 31) & _MASK < self.skip_below
-        if named >= 0:
-            self.drawn[variant][named] = got
-        return got
+        return (x ^ x >> 31) & _MASK < self.skip_below
+
+    def _skips(self, variant: int, piece: np.ndarray, left: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """``_skipped`` for many merges."""
+        at = place.astype(np.uint64) << np.uint64(8) | left.astype(np.uint64)
+        x = np.uint64(self.keys[variant]) ^ (piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at * np.uint64(0xC2B2AE3D27D4EB4F))
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ x >> np.uint64(31)) < np.uint64(self.skip_below)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Wholes and scores of symbol pairs; score ``_NONE`` where they don't merge."""
+        key = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        ok = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
+        return self.wholes[at], np.where(ok, self.pair_scores[at], _NONE)
+
+    def _merged_block(self, words: list[str], width: int, variant: int, dropped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols left of each word (rows padded with -1), their places and number; one agenda a row, all rows step together."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
+        n = len(words)
+        inside = np.arange(width) < lens[:, None]
+        done = np.full((n, width), -1, np.int32)
+        done[inside] = np.where(self.chars[at] == points, self.char_symbols[at], -2)
+        sizes, row = lens.copy(), np.arange(n)
+        sym, place, span = done.copy(), np.tile(np.arange(width, dtype=np.int16), (n, 1)), np.ones((n, width), np.int16)
+        begin = place.copy()
+        to, score = self._pair(sym[:, :-1], sym[:, 1:])
+        cols = np.arange(width)
+        while len(row):
+            k = np.arange(len(row))
+            i = score.argmax(axis=1)
+            live = score[k, i] > _NONE
+            if not live.all():
+                out = ~live
+                done[row[out]], begin[row[out]] = sym[out], place[out]
+                row, sym, place, span, to, score, i = (x[live] for x in (row, sym, place, span, to, score, i))
+                k = np.arange(len(row))
+                if not len(row):
+                    break
+            whole = to[k, i]
+            merge = k
+            if dropped and self.skip_below:
+                skip = self._skips(variant, whole, span[k, i], place[k, i])
+                score[k[skip], i[skip]] = _NONE
+                merge = k[~skip]
+                if not len(merge):
+                    continue
+            j, m = i[merge], len(merge)
+            new = span[merge, j] + span[merge, j + 1]
+            after = np.minimum(cols + (cols > j[:, None]), width - 1)
+            for x, last in ((sym, -1), (place, 0), (span, 0)):
+                y = np.take_along_axis(x[merge], after, 1)
+                y[:, -1] = last
+                x[merge] = y
+            sym[merge, j], span[merge, j] = whole[merge], new
+            after = np.minimum(cols[:-1] + (cols[:-1] >= j[:, None]), width - 2)
+            for x, last in ((to, 0), (score, _NONE)):
+                y = np.take_along_axis(x[merge], after, 1)
+                y[:, -1] = last
+                x[merge] = y
+            sizes[row[merge]] -= 1
+            for side, r, c in ((0, merge[j > 0], j[j > 0] - 1), (1, merge[j < width - 1], j[j < width - 1])):
+                to[r, c], score[r, c] = self._pair(sym[r, c], sym[r, c + 1])
+        return done, begin, sizes
+
+    def words(self, words: list[str], variant: int, dropped: bool = True) -> list[bytes]:
+        """Ids of many escaped words, as the bytes of 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        by: dict[int, list[int]] = {w: [] for w in WIDTHS}
+        width = [next(w for w in WIDTHS if n <= w) for n in range(LONG_WORD + 1)]
+        for k, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                ids = self.word(w, variant, dropped)
+                out[k] = struct.pack(f"{len(ids)}i", *ids)
+            else:
+                by[width[len(w)]].append(k)
+        for size, places in by.items():
+            for lo in range(0, len(places), 4096):
+                part = places[lo : lo + 4096]
+                sym, begin, n = self._merged_block([words[k] for k in part], size, variant, dropped)
+                there = np.arange(size) < n[:, None]
+                flat = sym[there].astype(np.int32).tobytes()
+                ends = np.cumsum(n) * 4
+                odd = ((sym >= len(self.pieces)) | (sym < 0)) & there
+                for k, a, b in zip(part, (ends - 4 * n).tolist(), ends.tolist()):
+                    out[k] = flat[a:b]
+                for k in np.flatnonzero(odd.any(axis=1)).tolist():  # characters that have no piece are spelled in bytes
+                    ids = []
+                    for x, at in zip(sym[k, : n[k]].tolist(), begin[k].tolist()):
+                        ids += [x] if 0 <= x < len(self.pieces) else [self.byte_ids[b] for b in words[part[k]][at].encode()]
+                    out[part[k]] = struct.pack(f"{len(ids)}i", *ids)
+        return out
 
     def word(self, word: str, variant: int, dropped: bool = True) -> list[int]:
         """Ids of one escaped word."""
@@ -153,27 +256,34 @@ class MergeModel:
 
     def encode(self, text: str, key: int, dropped: bool = True) -> np.ndarray:
         """Ids of a whole text; ``key`` (a document's own number) chooses its words' variants."""
-        words = _WORDS.findall(self.escape(text))
-        if not words:
-            return np.empty(0, np.int32)
+        return self.encode_all([text], [key], dropped)[0]
+
+    def encode_all(self, texts: list[str], keys: list[int], dropped: bool = True) -> list[np.ndarray]:
+        """``encode`` of each text; the words that aren't known yet are segmented together."""
         v = self.dropout.variants
-        at = int(xxhash.xxh64_intdigest(str(key), self.dropout.seed) % v)
-        if self.cached > CACHE_WORDS:
-            self.old, self.cache, self.cached = self.cache, [{} for _ in range(v + 1)], 0
-            self.drawn = [{} if len(d) > 300_000 else d for d in self.drawn]
-        got = []
-        for k, w in enumerate(words, at):
-            slot = k % v if dropped else v
-            ids = self.cache[slot].get(w)
-            if ids is None:
-                ids = self.old[slot].get(w)
-                if ids is None:
-                    x = self.word(w, slot, dropped)
-                    ids = struct.pack(f"{len(x)}i", *x)
-                self.cache[slot][w] = ids
-                self.cached += 1
-            got.append(ids)
-        return np.frombuffer(b"".join(got), np.int32)
+        if sum(map(len, self.cache)) > CACHE_WORDS:
+            self.old, self.cache = self.cache, [{} for _ in range(v + 1)]
+        split, need = [], [set() for _ in range(v + 1)]
+        for text, key in zip(texts, keys):
+            words = _WORDS.findall(self.escape(text))
+            at = int(xxhash.xxh64_intdigest(str(key), self.dropout.seed) % v)
+            slots = [((at + k) % v if dropped else v) for k in range(v)]
+            for k, slot in enumerate(slots):
+                need[slot].update(words[k::v])
+            split.append((words, slots))
+        for slot, (wanted, cache, old) in enumerate(zip(need, self.cache, self.old)):
+            new = wanted.difference(cache)
+            known = new.intersection(old)
+            cache.update((w, old[w]) for w in known)
+            new = sorted(new - known, key=len)
+            cache.update(zip(new, self.words(new, slot, dropped)))
+        out = []
+        for words, slots in split:
+            got = [b""] * len(words)
+            for k, slot in enumerate(slots):
+                got[k::v] = map(self.cache[slot].__getitem__, words[k::v])
+            out.append(np.frombuffer(b"".join(got), np.int32))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that gave ``ids``, whatever merges were skipped."""
@@ -193,6 +303,15 @@ def model(path: str, dropout: Dropout) -> MergeModel:
     return _models[path, dropout]
 
 
+def _in_blocks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of whole rows of some ``BLOCK_CHARS`` characters of ``t``."""
+    ends = np.cumsum(pdf["t"].str.len().to_numpy(np.int64)) // BLOCK_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(pdf)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield pdf.iloc[a:b]
+
+
 def encode(docs: DataFrame, model_path: str, dropout: Dropout = Dropout(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids, n_tokens, ids_crc32, lossless)`` per row, in one pass without a shuffle.
 
@@ -204,20 +323,16 @@ def encode(docs: DataFrame, model_path: str, dropout: Dropout = Dropout(), id_co
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(model_path, dropout)
         for pdf in frames:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                ids, same = [], []
-                for name, text in zip(part["doc_id"].tolist(), part["t"].tolist()):
-                    got = m.encode(text, 0 if pd.isna(name) else int(name))
-                    ids.append(got)
-                    same.append(m.decode(got) == text)
+            for part in _in_blocks(pdf):
+                texts = part["t"].tolist()
+                ids = m.encode_all(texts, [0 if pd.isna(i) else int(i) for i in part["doc_id"].tolist()])
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64"),
                         "ids": ids,
                         "n_tokens": list(map(len, ids)),
                         "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids],
-                        "lossless": same,
+                        "lossless": [m.decode(i) == t for i, t in zip(ids, texts)],
                     }
                 )
 
