@@ -111,16 +111,20 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Spanning edges of the link graph of one bucket's distinct fingerprints."""
-    root = np.arange(len(fps))
-    out = []
-    for i in range(1, len(fps)):
-        near = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= max_bits)
-        for r in np.unique(root[near]):
-            j = near[root[near] == r][0]
-            out.append((i, int(j)))
-            root[root == r] = i
-        root[i] = i
+    """Spanning edges of the link graph of one bucket's distinct fingerprints.
+
+    Each fingerprint reached is compared with those not reached yet alone, so a tight group takes few passes.
+    """
+    left, out = np.arange(len(fps)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(fps[left] ^ fps[i]) <= max_bits
+            hit = left[near].tolist()
+            out += [(i, j) for j in hit]
+            queue += hit
+            left = left[~near]
     return out
 
 
