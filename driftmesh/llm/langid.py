@@ -21,6 +21,7 @@ BUCKETS = 1 << 16
 SAMPLE_DOCS = 150  # expected labelled documents a language
 SAMPLE_CHARS = 3000  # of each sampled document, for training alone
 CACHE_WORDS = 200_000
+BLOCK_CHARS = 700_000  # of texts that are scored together
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -148,7 +149,7 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
             got, at, size = [], 0, 0
             for k, t in enumerate(texts):
                 size += len(t or "")
-                if size > 2_000_000 or k + 1 == len(texts):
+                if size > BLOCK_CHARS or k + 1 == len(texts):
                     got.append(m.shares(texts[at : k + 1]))
                     at, size = k + 1, 0
             s = np.concatenate(got) if got else np.zeros((0, max(1, len(m.langs))))
