@@ -44,7 +44,7 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 MAX_DIFF = 0.2
-SHORTLIST = 3
+SHORTLIST = 6
 _HINT = re.compile(
     r"licen[sc]ed?\b|public license|permission is hereby|free software|redistribution and use|creative commons|cc by", re.IGNORECASE
 )
@@ -65,8 +65,8 @@ class Scanner:
         for name, texts in templates.items():
             for k, t in enumerate(texts):
                 d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.entries.append((name, k, _words(t), zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_dict_id=False)))
-        self.longest = max(len(w) for _, _, w, _ in self.entries)
+                self.entries.append((name, k, _words(t), len(t), zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_dict_id=False)))
+        self.longest = max(len(w) for _, _, w, *_ in self.entries)
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Spans around license words, overlapping ones as one."""
@@ -80,11 +80,18 @@ class Scanner:
                 out.append([a, b])
         return [(a, b) for a, b in out]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of the block's compressed size saved, template) from the largest saving."""
-        raw = block.lower().encode()
-        alone = len(self.plain.compress(raw))
-        saved = [((alone - len(c.compress(raw))) / alone, k) for k, (*_, c) in enumerate(self.entries)]
+    def ranked(self, text: str, start: int, end: int) -> list[tuple[float, int]]:
+        """(share of the compressed size saved, template) from the largest saving, for a hint at ``start`` to ``end``.
+
+        Each template is tried on as much text around the hint as it is long itself, so that what stands
+        beside a short notice doesn't drown it.
+        """
+        saved, alone = [], {}
+        for k, (*_, size, c) in enumerate(self.entries):
+            raw = text[max(0, start - size) : end + size].lower().encode()
+            if raw not in alone:
+                alone[raw] = len(self.plain.compress(raw))
+            saved.append(((alone[raw] - len(c.compress(raw))) / alone[raw], k))
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
     def confirm(self, words: list[tuple[int, int, str]], entry: int) -> tuple[int, float, int, int] | None:
@@ -106,11 +113,9 @@ class Scanner:
         if not text:
             return out
         for a, b in self.blocks(text):
-            # a block is as long as the longest template; near each hint try the shortlisted ones
             for m in _HINT.finditer(text, a, b):
-                lo, hi = max(a, m.start() - 120), min(b, m.end() + 200)
                 found = []
-                for saving, k in self.ranked(text[lo:hi])[: 2 * SHORTLIST]:
+                for saving, k in self.ranked(text, m.start(), m.end())[:SHORTLIST]:
                     reach = 12 * len(self.entries[k][2]) + 40
                     s, e = max(a, m.start() - reach), min(b, m.end() + reach)
                     words = [(s + w.start(), s + w.end(), w[0]) for w in _WORD.finditer(text[s:e].lower())] if text.isascii() else _placed(text, s, e)
