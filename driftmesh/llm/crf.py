@@ -56,7 +56,10 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, lens: np.ndarray) -> n
         live = np.searchsorted(-size[order], -np.arange(CHUNK), side="left")
         for t in range(int(size[order[0]])):
             n = live[t]
-            x = (m[:n] @ a) * e[start[order[:n]] + t][:, None, :]
+            step = np.broadcast_to(a, (n, k, k))
+            if t == 0:  # nothing stands before a chain's first token
+                step = np.where((piece[order[:n]] == 0)[:, None, None], np.eye(k), step)
+            x = (m[:n] @ step) * e[start[order[:n]] + t][:, None, :]
             m[:n] = x / x.sum(axis=(1, 2), keepdims=True)
         whole = np.zeros((len(chain), k, k))
         whole[order] = m
@@ -70,13 +73,13 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, lens: np.ndarray) -> n
             tail[at] = x / x.sum(axis=1, keepdims=True)
 
     order = np.argsort(-size, kind="stable")
-    start, size, head, tail = start[order], size[order], head[order], tail[order]
+    start, size, head, tail, opens = start[order], size[order], head[order], tail[order], (piece[order] == 0)[:, None]
     steps = int(size[0])
     live = np.searchsorted(-size, -np.arange(steps), side="left")
     x = head.copy()
     for t in range(steps):
         n = live[t]
-        y = (x[:n] @ a) * e[start[:n] + t]
+        y = (x[:n] @ a if t else np.where(opens, x, x @ a)) * e[start[:n] + t]
         x[:n] = y / y.sum(axis=1, keepdims=True)
         out[start[:n] + t] = x[:n]
     x = tail.copy()
@@ -158,7 +161,7 @@ def _pairs(emit: np.ndarray, trans: np.ndarray, lens: np.ndarray) -> np.ndarray:
     x = np.full((len(size), k), 1 / k)
     for t in range(int(size[0])):
         m = live[t]
-        y = (x[:m] @ a) * e[start[:m] + t]
+        y = (x[:m] @ a if t else x) * e[start[:m] + t]
         fwd[start[:m] + t] = x[:m] = y / y.sum(axis=1, keepdims=True)
     x = np.ones((len(size), k))
     for t in range(int(size[0]) - 1, -1, -1):
