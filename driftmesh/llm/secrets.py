@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -222,12 +221,13 @@ def fit(texts: list[str], seed: int = 5, n_made: int = 3000) -> SecretModel:
 
 def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
     """Fit on at most ``SAMPLE_DOCS`` texts, the first by a hash of their ids, ``SAMPLE_CHARS`` of each."""
-    picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null and t <> ''")
-    rows = picked.select(F.xxhash64("i", "t").alias("h"), F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    picked = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).where("t <> ''")
+    # the bound first, from hashes alone: else each task would send as many texts as are wanted in all
+    least = picked.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()
+    rows = picked.where(F.col("h") <= least[-1].h).orderBy("h", "t").limit(SAMPLE_DOCS).collect() if least else []
     return fit([r.t for r in rows])
 
 
-@lru_cache(1)
 def _sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 
