@@ -1,0 +1,214 @@
+"""Operators on small tables, against brute force: nulls, empty texts, ties, repeated rows, clashing columns, no rows."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from driftmesh.llm import ann, bpe, decontam, langid, licenses, repeats, resharding, secrets, simhash, tokenio
+from tests.conftest import DATA
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, h int, t string, k1 long"
+
+
+def words(rng, n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+VOCAB = [a + b + c for a in "ptkmns" for b in "aeiou" for c in ("ra", "lo", "n", "sti")]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(7)
+    base = words(rng, 220)
+    texts = [None, "", " \n", "one", "one two", base, base, base + " tail", base.replace(" ", "  ", 1), words(rng, 150) + " " + base[:700], "é" * 900, "ab" * 600]
+    texts += [words(rng, 60) for _ in range(12)]
+    got = [(k, t, ("xx", "yy", None)[k % 3], None if k % 4 else "s", None, 1, "z", 5) for k, t in enumerate(texts)]
+    return got + [(None, base, None, None, None, None, None, None), (3, "one", None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def brute_repeats(texts, n):
+    data = [(t or "").encode() for t in texts]
+    seen = {}
+    for d in data:
+        for i in range(len(d) - n + 1):
+            seen[d[i : i + n]] = seen.get(d[i : i + n], 0) + 1
+    out = []
+    for d in data:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - n + 1):
+            if seen[d[i : i + n]] > 1:
+                gone[i : i + n] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int)))) == 1)
+        out.append((len(d), int(gone.sum()), len(edge), hashlib.sha256(bytes(b for b, g in zip(d, gone) if not g)).hexdigest()))
+    return out
+
+
+def test_simhash(docs, none, rows):
+    got = [tuple(r) for r in simhash.near_duplicates(docs).collect()]
+    fps = [simhash.fingerprint(r[1]) for r in rows]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 4:
+                comp = [comp[a] if c == comp[b] else c for c in comp]
+    least = {c: min((r[0] for r, d in zip(rows, comp) if d == c and r[0] is not None), default=None) for c in comp}
+    want = [(r[0], f - (1 << 64) if f >> 63 else f, least[c]) for r, f, c in zip(rows, fps, comp)]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept) == sorted(set(least.values()))
+    assert simhash.near_duplicates(none).count() == simhash.keep_one(none).count() == 0
+
+
+def test_repeats(docs, none, rows):
+    got = repeats.remove_repeats(docs, length=100).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats([r[1] for r in rows], 100))
+    assert repeats.remove_repeats(none).count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 6)).round(1)
+    x[7] = x[8]
+    data = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    data += [(400, None, 1), (401, [0.0] * 6, 1), (402, [float("nan")] * 6, 1), (403, [None] * 6, 1), (404, [1.0], 1), (None, [1.0] * 6, 1)]
+    got = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>, leaf int"), target=1.0).collect()
+    hit = 0
+    for q in range(0, 400, 20):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        s = np.array([(x[q] * v).sum() for v in x])
+        order = [k for k in np.lexsort((np.arange(400), -s)) if k != q][:20]
+        assert [r["rank"] for r in mine] == list(range(1, 21))
+        assert all(r.score == s[r.vec_id] for r in mine)
+        hit += len({r.vec_id for r in mine} & set(order))
+    assert hit >= 0.9 * 400
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.nearest(empty).count() == 0
+
+
+def test_recall_on_the_table(spark):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{DATA}/embeddings.parquet")
+    names, x = np.array(t["vec_id"]), np.array(t["embedding"].to_pylist(), float)
+    got = {}
+    for r in ann.nearest(spark.read.parquet(f"{DATA}/embeddings.parquet")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = total = 0
+    for k in np.flatnonzero(names % 20 == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        best = set(names[np.argsort(-s)[:20]].tolist())
+        found, total = found + len(best & got[names[k]]), total + len(best)
+    assert found >= 0.9 * total
+
+
+def test_language(spark, docs, none, rows):
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    m = langid.fit_model(real)
+    got = langid.predict(real, m).join(real.select("doc_id", "lang"), "doc_id").where(langid.held_out() & F.col("lang").isNotNull())
+    right = got.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
+    assert right > 0.9
+    small = langid.identify(docs).collect()
+    assert len(small) == len(rows) and all(r.lang_pred == "und" and r.score == 0 for r in small if r.doc_id in (0, 1, 2))
+    assert langid.identify(none).count() == 0
+
+
+def test_secrets(docs, none, rows):
+    m = secrets.fit_model(docs)
+    got = secrets.scan(docs, m, redact="#").collect()
+    assert len(got) == len(rows) and all(r.redacted is None for r in got if r.doc_id == 0)
+    assert secrets.scan(none, secrets.fit_model(none)).count() == 0
+    text = "the key = ghp_" + "a1B2c3D4" * 4 + "xY9z and that"
+    assert any(k == 3 for _, k, _ in m.scan(text))
+
+
+def test_decontamination(spark, none):
+    rng = random.Random(3)
+    item = words(rng, 40)
+    edited = " ".join(w if k % 9 else "other" for k, w in enumerate(item.split()))
+    items = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "too short", 0)], "item_id long, text string, doc_id int")
+    texts = [words(rng, 80) + " " + item + " " + words(rng, 80), words(rng, 30) + " " + edited, words(rng, 200), None, "", words(rng, 9)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, item int")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()) == [(0, 1), (1, 1)]
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, items).collect()) == [2, 3, 4, 5]
+    assert decontam.find_leaks(none, items).count() == 0
+    assert decontam.drop_leaks(docs, items.where("item_id < 0")).count() == len(texts)
+
+
+def test_resharding(spark, docs, none, rows):
+    path, flow = resharding.reshard(docs, F.col("doc_id") % 3, 3, 4)
+    got = spark.read.parquet(path).collect()
+    assert sorted(str(r.text) for r in got) == sorted(str(r[1]) for r in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    total = sum(r.size for r in got)
+    load = [sum(r.size for r in got if r.shard == s) for s in range(4)]
+    assert sum(load) == total and max(load) - min(load) <= 2 * max(r.size for r in got)
+    assert sum(map(sum, flow)) == total
+    path, _ = resharding.reshard(none, F.col("doc_id") % 3, 3, 4)
+    assert spark.read.schema("doc_id long").parquet(path).count() == 0
+
+
+def test_dropout_roundtrip(docs, none, rows):
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    enc = bpe.encode(docs, path)
+    assert [r.lossless for r in enc.collect()] == [True] * len(rows)
+    assert sorted(r.text for r in bpe.decode(enc, path).collect()) == sorted(r[1] or "" for r in rows)
+    assert bpe.encode(none, path).count() == 0
+
+
+def test_token_shards(spark, docs, none, rows):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = sorted(tokenio.read_token_shards(spark, tokenio.write_token_shards(docs, path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    text = next(r[1] for r in rows if r[0] == 9)
+    ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+    assert next(r for r in got if r.doc_id == 9).ids_crc32 == zlib.crc32(ids.tobytes())
+    assert tokenio.read_token_shards(spark, tokenio.write_token_shards(none, path)).count() == 0
+
+
+def test_licenses(docs, none):
+    more = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" Released under the MIT License.")))
+    got = licenses.scan(more).collect()
+    assert len(got) == docs.count() and {r.license for r in got} == {"MIT"}
+    assert licenses.scan(none).count() == 0
+
+
+def test_pipeline_stages(spark, none):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert [n for n, _ in P.STAGES] == ["language", "near_dedup", "decontaminate", "hide_secrets", "tokenize"]
+    before = docs
+    for name, stage in P.STAGES[:-1]:
+        after = P.cut(stage(spark, before, DATA), name)
+        assert after.columns == list(P.COLUMNS) and after.join(before, "doc_id", "left_anti").count() == 0
+        assert stage(spark, none.select(*P.COLUMNS), DATA).count() == 0
+        before = after
+    texts = dict(before.select("doc_id", "text").collect())
+    out = P.STAGES[-1][1](spark, before, DATA)
+    assert out.count() == len(texts) and all(r.lossless for r in out.collect())
