@@ -27,20 +27,26 @@ MAX_BITS = 4
 _POLY = 0b101011100011
 
 
-def fingerprint(text: str | None, n_words: int = 4) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 if it has no word."""
+def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included: of all its words if it has fewer, none if it has no word."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     h = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
     if len(words) <= n_words:
-        got = np.array([h(b" ".join(words), 42)], dtype="<u8")
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        n = len(words) - n_words + 1
-        starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-        got = np.fromiter((h(joined[s:e], 42) for s, e in zip(starts, ends[n_words - 1 :].tolist())), "<u8", n)
+        return np.array([h(joined, 42)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = len(words) - n_words + 1
+    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
+    return np.fromiter((h(joined[s:e], 42) for s, e in zip(starts, ends[n_words - 1 :].tolist())), "<u8", n)
+
+
+def fingerprint(text: str | None, n_words: int = 4) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included; 0 if it has no word."""
+    got = shingle_hashes(text, n_words)
+    if not len(got):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(got), 1 << 14):
         block = got[at : at + (1 << 14)]

@@ -212,3 +212,34 @@ def test_pipeline_stages(spark, none):
     texts = dict(before.select("doc_id", "text").collect())
     out = P.STAGES[-1][1](spark, before, DATA)
     assert out.count() == len(texts) and all(r.lossless for r in out.collect())
+
+
+def test_near_dedup_against_brute_force(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    texts = [None, "", "one two", "One  two"]
+    for _ in range(6):
+        base = words(rng, 150).split()
+        texts.append(" ".join(base))
+        for n_edits in (1, 2, 3, 3, 4, 5, 8, 20):
+            near = list(base)
+            for k in rng.sample(range(150), n_edits):
+                near[k] = "other"
+            texts.append(" ".join(near))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    docs = spark.createDataFrame([(k, t, "xx", "s", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, DATA).collect()) == sorted(set(root))
+    far = [k for k in range(4, len(texts)) if k not in root and (simhash.fingerprint(texts[k]) ^ simhash.fingerprint(texts[root[k]])).bit_count() > 4]
+    assert len(far) > 3
