@@ -2,11 +2,11 @@
 
 Text is escaped as the model asks (a dummy prefix, spaces as U+2581) and cut before each word; the
 pieces of the models in use never span such a cut, which is checked when a model is loaded. A word's merges run from an
-agenda ordered by piece score, then by place. Whenever a merge is taken from the agenda, a keyed
-hash of (seed, variant, merged piece, left part's length, place) may skip it, which leaves it out of that
-word's segmentation. A word's variant comes from the document's key and the word's number in the text, so one word is
-segmented in several ways across and within texts, and a segmentation can be computed once per
-(word, variant) and kept. With dropout 0 the pieces are the library's own.
+agenda ordered by piece score, then by place. The n-th merge that a word's agenda offers is skipped by a keyed hash of
+(seed, document, word's number in the text, skips before), which leaves it out of that word's
+segmentation. Each occurrence of a word in each document draws anew. Most draws skip nothing or one early merge: a
+segmentation depends only on the word and on which of its merges were skipped, so these are
+computed once and kept. With dropout 0 the pieces are the library's own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -38,11 +38,17 @@ _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 @dataclass(frozen=True)
 class Dropout:
-    """``rate`` of merges skipped, the hash's ``seed`` and the number of ``variants`` of a word."""
+    """``rate`` of merges skipped, and the hash's ``seed``."""
 
     rate: float = 0.1
     seed: int = 1
-    variants: int = 3
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Splitmix64's last steps."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 class MergeModel:
@@ -65,11 +71,14 @@ class MergeModel:
             raise ValueError("the model has no byte pieces; decoding would lose characters")
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the model has pieces that span words")
-        self.skip_below = min(int(dropout.rate * 2**64), _MASK)
-        self.keys = [xxhash.xxh64_intdigest(str(k), dropout.seed) for k in range(dropout.variants + 1)]
-        # two generations of segmented words, for each variant and (last) without dropout
-        self.cache: list[dict[str, bytes]] = [{} for _ in self.keys]
-        self.old: list[dict[str, bytes]] = [{} for _ in self.keys]
+        # an agenda's merges before the next skip are at least k if the hash is below (1 - rate)**k of its range
+        below = []
+        while dropout.rate > 0 and len(below) < 1 << 16 and (t := int((1 - dropout.rate) ** (len(below) + 1) * 2**64)):
+            below.append(min(t, _MASK))
+        self.below = np.array(below[::-1], np.uint64)
+        # two generations of segmented words: (ids, agenda's length) by word, and by word and skips
+        self.cache: dict = {}
+        self.old: dict = {}
         self._tabulate()
 
     def _tabulate(self) -> None:
@@ -86,18 +95,24 @@ class MergeModel:
         self.pairs, self.wholes = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
         self.pair_scores = np.array([self.scores[self.pieces[i]] for i in self.wholes.tolist()])
 
-    def _skipped(self, variant: int, piece: int, left: int, place: int) -> bool:
-        """Keyed hash of (seed, variant), the merged piece's id, its left part's length and its place."""
-        x = (self.keys[variant] ^ (piece * 0x9E3779B97F4A7C15 + (place << 8 | left) * 0xC2B2AE3D27D4EB4F)) & _MASK
-        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _MASK
-        return (x ^ x >> 31) & _MASK < self.skip_below
-
-    def _skips(self, variant: int, piece: np.ndarray, left: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """``_skipped`` for many merges."""
-        at = place.astype(np.uint64) << np.uint64(8) | left.astype(np.uint64)
-        x = np.uint64(self.keys[variant]) ^ (piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at * np.uint64(0xC2B2AE3D27D4EB4F))
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ x >> np.uint64(31)) < np.uint64(self.skip_below)
+    def _keys(self, key: int, n: int) -> np.ndarray:
+        """Draws of the ``n`` words of document ``key``."""
+        start = np.uint64(xxhash.xxh64_intdigest(str(key), self.dropout.seed))
+        return _mixed(start + np.arange(n, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def _gaps(self, draws: np.ndarray, nth: int) -> np.ndarray:
+        """Merges taken between the ``nth`` skip of each word's draw and the one before."""
+        if self.dropout.rate <= 0:
+            return np.full(len(draws), 1 << 40)
+        x = _mixed(draws + np.uint64((nth + 1) * 0x9E3779B97F4A7C15 & _MASK))
+        return len(self.below) - np.searchsorted(self.below, x, "right")
+
+    def _steps(self, draw: int) -> Iterator[int]:
+        """Numbers of the merges skipped in one word."""
+        at, one = -1, np.array([draw], np.uint64)
+        for nth in count():
+            at += 1 + int(self._gaps(one, nth)[0])
+            yield at
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Wholes and scores of symbol pairs; score ``_NONE`` where they don't merge."""
@@ -106,12 +121,19 @@ class MergeModel:
         ok = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
         return self.wholes[at], np.where(ok, self.pair_scores[at], _NONE)
 
-    def _merged_block(self, words: list[str], width: int, variant: int, dropped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols left of each word (rows padded with -1), their places and number; one agenda a row, all rows step together."""
+    def _merged_block(self, words: list[str], width: int, skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols left of each word (rows padded with -1), their places and number, and its agenda's length.
+
+        One agenda a row, all rows step together; ``skips`` are the numbers of a row's merges that are skipped.
+        """
         lens = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
         n = len(words)
+        skipped = np.zeros((n, 1 + max((x[-1] for x in skips if x), default=-1)), bool)
+        for k, x in enumerate(skips):
+            skipped[k, list(x)] = True
+        taken, step = np.zeros(n, np.int64), 0
         inside = np.arange(width) < lens[:, None]
         done = np.full((n, width), -1, np.int32)
         done[inside] = np.where(self.chars[at] == points, self.char_symbols[at], -2)
@@ -126,15 +148,16 @@ class MergeModel:
             live = score[k, i] > _NONE
             if not live.all():
                 out = ~live
-                done[row[out]], begin[row[out]] = sym[out], place[out]
+                done[row[out]], begin[row[out]], taken[row[out]] = sym[out], place[out], step
                 row, sym, place, span, to, score, i = (x[live] for x in (row, sym, place, span, to, score, i))
                 k = np.arange(len(row))
                 if not len(row):
                     break
             whole = to[k, i]
             merge = k
-            if dropped and self.skip_below:
-                skip = self._skips(variant, whole, span[k, i], place[k, i])
+            step += 1
+            if step <= skipped.shape[1]:
+                skip = skipped[row, step - 1]
                 score[k[skip], i[skip]] = _NONE
                 merge = k[~skip]
                 if not len(merge):
@@ -155,39 +178,80 @@ class MergeModel:
             sizes[row[merge]] -= 1
             for side, r, c in ((0, merge[j > 0], j[j > 0] - 1), (1, merge[j < width - 1], j[j < width - 1])):
                 to[r, c], score[r, c] = self._pair(sym[r, c], sym[r, c + 1])
-        return done, begin, sizes
+        return done, begin, sizes, taken
 
-    def words(self, words: list[str], variant: int, dropped: bool = True) -> list[bytes]:
-        """Ids of many escaped words, as the bytes of 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
+    def _segmented(self, words: list[str], skips: list[tuple[int, ...]]) -> list[tuple[bytes, int]]:
+        """(ids as the bytes of 32-bit integers, agenda's length) of words of at most ``LONG_WORD`` characters."""
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
         by: dict[int, list[int]] = {w: [] for w in WIDTHS}
         width = [next(w for w in WIDTHS if n <= w) for n in range(LONG_WORD + 1)]
         for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                ids = self.word(w, variant, dropped)
-                out[k] = struct.pack(f"{len(ids)}i", *ids)
-            else:
-                by[width[len(w)]].append(k)
+            by[width[len(w)]].append(k)
         for size, places in by.items():
             for lo in range(0, len(places), 4096):
                 part = places[lo : lo + 4096]
-                sym, begin, n = self._merged_block([words[k] for k in part], size, variant, dropped)
+                sym, begin, n, taken = self._merged_block([words[k] for k in part], size, [skips[k] for k in part])
                 there = np.arange(size) < n[:, None]
                 flat = sym[there].astype(np.int32).tobytes()
                 ends = np.cumsum(n) * 4
                 odd = ((sym >= len(self.pieces)) | (sym < 0)) & there
-                for k, a, b in zip(part, (ends - 4 * n).tolist(), ends.tolist()):
-                    out[k] = flat[a:b]
+                for k, a, b, t in zip(part, (ends - 4 * n).tolist(), ends.tolist(), taken.tolist()):
+                    out[k] = flat[a:b], t
                 for k in np.flatnonzero(odd.any(axis=1)).tolist():  # characters that have no piece are spelled in bytes
                     ids = []
                     for x, at in zip(sym[k, : n[k]].tolist(), begin[k].tolist()):
                         ids += [x] if 0 <= x < len(self.pieces) else [self.byte_ids[b] for b in words[part[k]][at].encode()]
-                    out[part[k]] = struct.pack(f"{len(ids)}i", *ids)
+                    out[part[k]] = struct.pack(f"{len(ids)}i", *ids), out[part[k]][1]
         return out
 
-    def word(self, word: str, variant: int, dropped: bool = True) -> list[int]:
+    def _known(self, wanted: set) -> None:
+        """Have ``wanted`` words, or (word, skips), in the cache."""
+        new = wanted.difference(self.cache)
+        known = {w for w in new if w in self.old}
+        self.cache.update((w, self.old[w]) for w in known)
+        new = sorted(new - known, key=lambda w: len(w) if type(w) is str else len(w[0]))
+        got = self._segmented([w if type(w) is str else w[0] for w in new], [() if type(w) is str else w[1] for w in new])
+        self.cache.update(zip(new, got))
+
+    def _drawn(self, words: list[str], draws: np.ndarray, dropped: bool) -> list[bytes]:
+        """Ids of each word by its own draw."""
+        short = {w for w in set(words) if len(w) <= LONG_WORD}
+        self._known(short)
+        of = self.cache.get
+        found = [of(w) for w in words]
+        out = [f[0] if f else b"" for f in found]
+        for k in [k for k, f in enumerate(found) if not f]:
+            ids = self.word(words[k], int(draws[k]), dropped)
+            out[k] = struct.pack(f"{len(ids)}i", *ids)
+        if not dropped or self.dropout.rate <= 0:
+            return out
+        ends, at = np.array([f[1] if f else 0 for f in found], np.int64), self._gaps(draws, 0)
+        left, at = np.flatnonzero(at < ends), at[at < ends]
+        skips: list[tuple[int, ...]] = [()] * len(left)
+        nth = 0
+        while len(left):  # those whose next skip lies within their agenda
+            places = left.tolist()
+            skips = [x + (a,) for x, a in zip(skips, at.tolist())]
+            wanted = [(words[k], x) for k, x in zip(places, skips)]
+            self._known(set(wanted))
+            found = [self.cache[w] for w in wanted]
+            for k, f in zip(places, found):
+                out[k] = f[0]
+            nth += 1
+            at = at + 1 + self._gaps(draws[left], nth)
+            more = at < np.array([f[1] for f in found], np.int64)
+            skips = [skips[k] for k in np.flatnonzero(more).tolist()]
+            left, at = left[more], at[more]
+        return out
+
+    def words(self, words: list[str], draw: int, dropped: bool = True) -> list[bytes]:
+        """Ids of many escaped words by one draw, as the bytes of 32-bit integers."""
+        return self._drawn(words, np.full(len(words), draw, np.uint64), dropped)
+
+    def word(self, word: str, draw: int, dropped: bool = True) -> list[int]:
         """Ids of one escaped word."""
-        parts = self._merged_short(word, variant, dropped) if len(word) <= LONG_WORD else self._merged_long(word, variant, dropped)
+        steps = self._steps(draw) if dropped and self.dropout.rate > 0 else None
+        parts = self._merged_short(word, steps) if len(word) <= LONG_WORD else self._merged_long(word, steps)
         out = []
         for p in parts:
             i = self.ids.get(p)
@@ -197,36 +261,38 @@ class MergeModel:
                 out.append(i)
         return out
 
-    def _merged_short(self, word: str, variant: int, dropped: bool) -> list[str]:
+    def _merged_short(self, word: str, steps: Iterator[int] | None) -> list[str]:
         """The agenda as a list of pair scores: the best is the first of the largest."""
-        parts, at, scores = list(word), list(range(len(word))), self.scores
-        dropped = dropped and self.skip_below > 0
+        parts, scores = list(word), self.scores
+        step, skip = -1, next(steps) if steps else -1
         score = [scores.get(a + b, _NONE) for a, b in zip(word, word[1:])]
         while score:
             best = max(score)
             if best == _NONE:
                 break
             i = score.index(best)
-            left = parts[i]
-            whole = left + parts[i + 1]
-            if dropped and self._skipped(variant, self.ids[whole], len(left), at[i]):
+            whole = parts[i] + parts[i + 1]
+            step += 1
+            if step == skip:
+                skip = next(steps)
                 score[i] = _NONE
                 continue
             parts[i] = whole
-            del parts[i + 1], at[i + 1], score[i]
+            del parts[i + 1], score[i]
             if i:
                 score[i - 1] = scores.get(parts[i - 1] + whole, _NONE)
             if i < len(score):
                 score[i] = scores.get(whole + parts[i + 1], _NONE)
         return parts
 
-    def _merged_long(self, word: str, variant: int, dropped: bool) -> list[str]:
+    def _merged_long(self, word: str, steps: Iterator[int] | None) -> list[str]:
         """The agenda as a heap over a linked list, for words of any length."""
         parts: list[str | None] = list(word)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[float, int, str, str]] = []
         scores = self.scores
+        step, skip = -1, next(steps) if steps else -1
 
         def offer(i: int) -> None:
             j = after[i]
@@ -239,7 +305,9 @@ class MergeModel:
             _, i, left, right = heapq.heappop(agenda)
             if parts[i] != left or after[i] >= n or parts[after[i]] != right:
                 continue
-            if dropped and self.skip_below and self._skipped(variant, self.ids[left + right], len(left), i):
+            step += 1
+            if step == skip:
+                skip = next(steps)
                 continue
             j = after[i]
             parts[i], parts[j] = left + right, None
@@ -255,34 +323,20 @@ class MergeModel:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def encode(self, text: str, key: int, dropped: bool = True) -> np.ndarray:
-        """Ids of a whole text; ``key`` (a document's own number) chooses its words' variants."""
+        """Ids of a whole text; ``key`` (a document's own number) gives its words' draws."""
         return self.encode_all([text], [key], dropped)[0]
 
     def encode_all(self, texts: list[str], keys: list[int], dropped: bool = True) -> list[np.ndarray]:
         """``encode`` of each text; the words that aren't known yet are segmented together."""
-        v = self.dropout.variants
-        if sum(map(len, self.cache)) > CACHE_WORDS:
-            self.old, self.cache = self.cache, [{} for _ in range(v + 1)]
-        split, need = [], [set() for _ in range(v + 1)]
-        for text, key in zip(texts, keys):
-            words = _WORDS.findall(self.escape(text))
-            at = int(xxhash.xxh64_intdigest(str(key), self.dropout.seed) % v)
-            slots = [((at + k) % v if dropped else v) for k in range(v)]
-            for k, slot in enumerate(slots):
-                need[slot].update(words[k::v])
-            split.append((words, slots))
-        for slot, (wanted, cache, old) in enumerate(zip(need, self.cache, self.old)):
-            new = wanted.difference(cache)
-            known = new.intersection(old)
-            cache.update((w, old[w]) for w in known)
-            new = sorted(new - known, key=len)
-            cache.update(zip(new, self.words(new, slot, dropped)))
-        out = []
-        for words, slots in split:
-            got = [b""] * len(words)
-            for k, slot in enumerate(slots):
-                got[k::v] = map(self.cache[slot].__getitem__, words[k::v])
-            out.append(np.frombuffer(b"".join(got), np.int32))
+        if len(self.cache) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
+        split = [_WORDS.findall(self.escape(t)) for t in texts]
+        draws = [self._keys(key, len(words)) for key, words in zip(keys, split)]
+        got = self._drawn([w for words in split for w in words], np.concatenate(draws), dropped) if split else []
+        out, at = [], 0
+        for words in split:
+            out.append(np.frombuffer(b"".join(got[at : at + len(words)]), np.int32))
+            at += len(words)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -316,7 +370,7 @@ def encode(docs: DataFrame, model_path: str, dropout: Dropout = Dropout(), id_co
     """``(doc_id, ids, n_tokens, ids_crc32, lossless)`` per row, in one pass without a shuffle.
 
     ``lossless`` says that the ids decode to the very text. Null and empty texts give no id; rows with a null id keep
-    it and take the variants of key 0. A text that holds U+2581 itself can't be told from a
+    it and take the draws of key 0. A text that holds U+2581 itself can't be told from a
     space by the model's own escape: its ids are given, and ``lossless`` is false.
     """
 

@@ -66,6 +66,21 @@ def test_merge_dropout_batches_equal_single_words_and_library():
     assert drop.encode(texts[1], 1).tolist() != plain.encode(texts[1], 1).tolist()
 
 
+def test_merge_dropout_draws_by_document_and_place():
+    m = bpe.MergeModel(_tokenizer("piece_bpe_32k.model"), bpe.Dropout(rate=0.3))
+    text = "extraordinarily " * 40 + "y" * 70 + " end"
+    ids = [m.encode(text, k).tolist() for k in range(60)]
+    assert len(set(map(tuple, ids))) == 60 and all(m.decode(np.array(x)) == text for x in ids)
+    assert len({tuple(m.word("▁extraordinarily", int(d))) for d in m._keys(5, 200)}) > 20
+    fresh = bpe.MergeModel(_tokenizer("piece_bpe_32k.model"), bpe.Dropout(rate=0.3))
+    assert fresh.encode(text, 59).tolist() == ids[59]  # whatever was segmented before
+    for key in (1, 2):
+        words = bpe._WORDS.findall(m.escape(text))
+        assert ids[key] == [i for w, d in zip(words, m._keys(key, len(words))) for i in m.word(w, int(d))]
+    skipped = sum(s < 1000 for d in range(200) for _, s in zip(range(400), m._steps(d)))
+    assert 0.28 < skipped / 200_000 < 0.32
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for n, k in ((1, 1), (7, 2), (3000, 50), (2000, 3000)):
