@@ -41,6 +41,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether sorted base spans cover all of a span."""
+    for s, _, e in base:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def may_be_secret(token: str) -> bool:
     """Whether a token may be tagged begin or inside at all."""
     digits = sum(map(str.isdigit, token))
@@ -134,9 +142,9 @@ class SecretModel:
         return out
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
-        """Base spans, then those CRF spans that no base span touches: (start, kind number, end)."""
+        """Base spans, and those CRF spans that hold a character outside the base spans: (start, kind number, end)."""
         base = base_spans(text)
-        more = [(s, 3, e) for s, e in self.spans(text) if not any(s < be and bs < e for bs, _, be in base)]
+        more = [(s, 3, e) for s, e in self.spans(text) if not _covered(s, e, base)]
         return sorted(base + more)
 
 
