@@ -8,7 +8,7 @@ ones are confirmed by exact wording: the words to insert, delete or replace betw
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -94,40 +94,56 @@ class Scanner:
             saved.append(((alone[raw] - len(c.compress(raw))) / alone[raw], k))
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, words: list[tuple[int, int, str]], entry: int) -> tuple[int, float, int, int] | None:
-        """(word edits, their share of the template, start, end) of the best place of a template's words."""
+    def confirm(self, words: list[tuple[int, int, str]], entry: int, wanted: Callable[[int, int], bool]) -> list[tuple[int, float, int, int]]:
+        """(word edits, their share of the template, start, end) of all wanted places of a template's words."""
         want = self.entries[entry][2]
         seq = [w for _, _, w in words]
-        best = None
+        out = []
         at = [i for i, w in enumerate(seq) if w == want[0]] + [i - len(want) + 1 for i, w in enumerate(seq) if w == want[-1]]
         for i in sorted({max(0, i) for i in at}):
             part = seq[i : i + len(want)]
-            edits = sum(max(b - a, d - c) for op, a, b, c, d in SequenceMatcher(None, want, part, False).get_opcodes() if op != "equal")
-            if part and (best is None or edits < best[0]):
-                best = (edits, edits / len(want), words[i][0], words[min(i + len(want), len(words)) - 1][1])
-        return best if best and best[1] <= self.max_diff else None
+            x, y = words[i][0], words[min(i + len(want), len(words)) - 1][1]
+            if wanted(x, y):
+                edits = sum(max(b - a, d - c) for op, a, b, c, d in SequenceMatcher(None, want, part, False).get_opcodes() if op != "equal")
+                if edits / len(want) <= self.max_diff:
+                    out.append((edits, edits / len(want), x, y))
+        return out
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float, int]]:
-        """(license, start, end, saving, word edits) found in a whole text, each place once."""
-        out = []
+        """(license, start, end, saving, word edits) found in a whole text, each place once.
+
+        Each hint gives the best place that holds it and overlaps none before; then hints in no place give the best ones beside them.
+        """
+        out: list[tuple[str, int, int, float, int]] = []
         if not text:
             return out
         for a, b in self.blocks(text):
-            for m in _HINT.finditer(text, a, b):
-                found = []
-                for saving, k in self.ranked(text, m.start(), m.end())[:SHORTLIST]:
-                    reach = 12 * len(self.entries[k][2]) + 40
-                    s, e = max(a, m.start() - reach), min(b, m.end() + reach)
-                    words = [(s + w.start(), s + w.end(), w[0]) for w in _WORD.finditer(text[s:e].lower())] if text.isascii() else _placed(text, s, e)
-                    if got := self.confirm(words, k):
-                        found.append((got[1], -len(self.entries[k][2]), -saving, k, got))
-                if found:
-                    _, _, saving, k, (edits, _, x, y) = min(found)
-                    hit = (self.entries[k][0], x, y, -saving, edits)
-                    if not any(x < f[2] and f[1] < y for f in out):
+            hints = list(_HINT.finditer(text, a, b))
+            for around in (False, True):
+                for m in hints:
+                    if any(m.start() < f[2] and f[1] < m.end() for f in out):
+                        continue
+
+                    def wanted(x: int, y: int) -> bool:
+                        return (around or (x < m.end() and m.start() < y)) and not any(x < f[2] and f[1] < y for f in out)
+
+                    if hit := self._best(text, a, b, m, wanted):
                         out.append(hit)
         return out
 
+    def _best(self, text: str, a: int, b: int, m: re.Match, wanted: Callable[[int, int], bool]) -> tuple[str, int, int, float, int] | None:
+        """The place with the fewest edits that a hint's templates have among the wanted ones."""
+        found = []
+        for saving, k in self.ranked(text, m.start(), m.end())[:SHORTLIST]:
+            reach = 12 * len(self.entries[k][2]) + 40
+            s, e = max(a, m.start() - reach), min(b, m.end() + reach)
+            words = [(s + w.start(), s + w.end(), w[0]) for w in _WORD.finditer(text[s:e].lower())] if text.isascii() else _placed(text, s, e)
+            found += [(got[1], -len(self.entries[k][2]), -saving, k, got) for got in self.confirm(words, k, wanted)]
+        if not found:
+            return None
+        _, _, saving, k, (edits, _, x, y) = min(found)
+        return self.entries[k][0], x, y, -saving, edits
+
 
 def _placed(text: str, s: int, e: int) -> list[tuple[int, int, str]]:
     """Words with their places where lower-casing may change a text's length."""

@@ -158,6 +158,15 @@ def test_license_notice():
     assert [h[0] for h in hits] == ["MIT"] and s.scan("I have no driving licence, licensed or not.") == [] and s.scan(None) == []
 
 
+def test_license_notices_side_by_side():
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.MAX_DIFF)
+    cc, mit = "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under the MIT License."
+    for parts in ([cc, mit], [mit, cc], [mit, mit, mit], [cc, cc], ["Words \u00e9.", cc, "A driving licence.", mit, mit]):
+        text = " ".join(parts)
+        got = sorted((h[1], h[0], text[h[1] : h[2]]) for h in s.scan(text))
+        assert [x[1:] for x in got] == [("MIT" if p == mit else "CC-BY-4.0", p[:-1]) for p in parts if p in (cc, mit)]
+
+
 def test_nearest_tree_opens_all_leaves():
     x = np.random.default_rng(5).normal(size=(900, 8))
     t = ann.Tree(x)
