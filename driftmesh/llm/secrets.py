@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and a linear-chain CRF that tags tokens as begin, inside or outside.
 
-Only tokens that could be part of a secret (at least ``MIN_TOKEN`` characters of the token alphabet, with a
-digit or mixed case) may be tagged begin or inside; every other token is outside by the chain's own
+Only tokens that could be part of a secret (at least ``MIN_TOKEN`` characters of the token alphabet with a digit or
+mixed case; right after a key-like word, any of at least ``MIN_LED``) may be tagged begin or inside; every other token is outside by the chain's own
 constraint. A chain whose state is known at a token splits there, so decoding the runs of such
 tokens, each with outside on both ends, gives the Viterbi path of the whole text.
 """
@@ -22,6 +22,7 @@ from .crf import emissions, hashed, train, viterbi
 KINDS = ("assign", "access", "hex", "crf")
 BUCKETS = 1 << 14
 MIN_TOKEN = 12
+MIN_LED = 6
 SAMPLE_DOCS = 400  # texts that lend their words and lines to the training chains
 SAMPLE_CHARS = 2000
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -30,6 +31,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_TOKEN},}}")
+_KEYLIKE = r"(?:key|token|secret|passw|passphrase|pwd|auth|bearer|cred)"
+_LEAD = re.compile(rf"""{_KEYLIKE}[A-Za-z0-9_]*["']?\s{{0,3}}(?:[:=]|is\b)?\s{{0,3}}["']?(?<![A-Za-z0-9+/_.=-])""", re.IGNORECASE)
+_LED = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_LED},}}")
+_LED_INSIDE = re.compile(rf"[A-Za-z0-9_.-]*{_KEYLIKE}[A-Za-z0-9_]*=.{{{MIN_LED},}}", re.IGNORECASE)
 _NEAR = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 
 
@@ -50,11 +55,12 @@ def _covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
 
 
 def may_be_secret(token: str) -> bool:
-    """Whether a token may be tagged begin or inside at all."""
-    digits = sum(map(str.isdigit, token))
-    if not digits or digits == len(token):
-        return False
-    return not token.isdigit() and any(map(str.isalpha, token))
+    """Whether a token of ``MIN_TOKEN`` characters may be tagged begin or inside wherever it stands."""
+    if any(map(str.isdigit, token)):
+        return token.isdigit() or any(map(str.isalpha, token))
+    if token != token.lower() and token[1:] != token[1:].lower() and token != token.upper():
+        return True
+    return "=" in token and _LED_INSIDE.fullmatch(token) is not None
 
 
 def shape(token: str) -> str:
@@ -86,7 +92,7 @@ def token_features(token: str, left: list[str], right: list[str], file: str) ->
         file,
     ]
     names += [f"l{k}:{w.lower()[:12]}" for k, w in enumerate(left)] + [f"r{k}:{w.lower()[:12]}" for k, w in enumerate(right)]
-    names += ["key" + w.lower() for w in left if re.search("key|token|secret|passw|auth|bearer|cred", w.lower())]
+    names += ["key" + w.lower() for w in left if re.search(_KEYLIKE, w.lower())]
     return hashed(names, BUCKETS)
 
 
@@ -99,13 +105,14 @@ def file_feature(text: str) -> str:
 def candidates(text: str) -> list[list[tuple[int, int]]]:
     """Runs of neighbouring candidate tokens (only quotes, commas or white space between them), as spans."""
     runs: list[list[tuple[int, int]]] = []
-    for m in _TOKEN.finditer(text):
-        if may_be_secret(m[0]):
-            gap = text[runs[-1][-1][1] : m.start()] if runs else None
-            if gap is not None and len(gap) <= 3 and not re.search(r"\w", gap):
-                runs[-1].append(m.span())
-            else:
-                runs.append([m.span()])
+    found = {m.span() for m in _TOKEN.finditer(text) if may_be_secret(m[0])}
+    found |= {m.span() for lead in _LEAD.finditer(text) if (m := _LED.match(text, lead.end()))}
+    for start, end in sorted(found):
+        gap = text[runs[-1][-1][1] : start] if runs else None
+        if gap is not None and len(gap) <= 3 and not re.search(r"\w", gap):
+            runs[-1].append((start, end))
+        else:
+            runs.append([(start, end)])
     return runs
 
 
@@ -155,7 +162,7 @@ def _made_secret(rng: np.random.Generator) -> str:
     def of(alphabet: str, n: int) -> str:
         return "".join(rng.choice(list(alphabet), n))
 
-    kind = int(rng.integers(8))
+    kind = int(rng.integers(11))
     return [
         lambda: "ghp_" + of(_ALNUM, 36),
         lambda: "sk-" + of(_ALNUM, 40),
@@ -165,6 +172,9 @@ def _made_secret(rng: np.random.Generator) -> str:
         lambda: of("0123456789abcdef", int(rng.choice([32, 40, 64]))),
         lambda: of(_ALNUM + "+/", 40),
         lambda: of(_ALNUM + "_-", int(rng.integers(16, 33))),
+        lambda: of(_ALNUM[:52], int(rng.integers(16, 41))),
+        lambda: of("0123456789", int(rng.integers(12, 25))),
+        lambda: of(_ALNUM, int(rng.integers(8, 12))),
     ][kind]()
 
 
@@ -175,7 +185,7 @@ def _made_plain(rng: np.random.Generator, words: list[str]) -> str:
         return words[int(rng.integers(len(words)))] if words else "word"
 
     n = [int(x) for x in rng.integers(1, 3000, 4)]
-    kind = int(rng.integers(8))
+    kind = int(rng.integers(12))
     return [
         f"{word()}.{n[0]}@mail{n[1]}.example",
         f"www.{word()}{n[0]}.com/{word()}/{n[1]}",
@@ -185,6 +195,10 @@ def _made_plain(rng: np.random.Generator, words: list[str]) -> str:
         f"v{n[0]}.{n[1]}.{n[2]}-{word()}",
         f"{word()}{word()}{n[0]}",
         f"/usr/{word()}/{word()}/{n[0]}/{word()}.py",
+        f"{word().title()}-{word().title()}",
+        f"{word()}{word().title()}{word().title()}",
+        f"{n[0]:04d}{n[1]:04d}{n[2]:04d}",
+        word(),
     ][kind]
 
 
@@ -219,10 +233,13 @@ def fit(texts: list[str], seed: int = 5, n_made: int = 3000) -> SecretModel:
         else:
             tokens, labels = [_made_plain(rng, words)], [OUTSIDE]
             lead = ["", "see ", "file ", "at "][int(rng.integers(4))]
+            if tokens[0].isalpha():  # prose goes on after a key-like word too
+                lead = f"{keys[int(rng.integers(len(keys)))]} "
         text = f"{before} {lead}{quote}{' '.join(tokens)}{quote} {after}"
-        runs = [r for r in candidates(text) if len(r) == len(tokens)]
+        at = len(before) + 1 + len(lead) + len(quote)
+        runs = [r for r in candidates(text) if len(r) == len(tokens) and r[0][0] <= at < r[0][1]]
         if runs:
-            feats.append(run_features(text, runs[-1], file_feature(text)))
+            feats.append(run_features(text, runs[0], file_feature(text)))
             tags.append(labels)
     return SecretModel(*train(feats, tags, 3, BUCKETS, epochs=4, batch=32, rate=0.3))
 

@@ -125,6 +125,16 @@ def test_base_spans():
     assert secrets._redacted("a SECRET b", [(2, 3, 8)], "#") == "a # b"
 
 
+def test_secrets_of_any_class():
+    prose = "the quick brown fox jumps over several lazy animals while the key features include documents about history and token economy".split()
+    m = secrets.fit([" ".join(prose)] * 20)
+    for lead, secret in (("Bearer ", "QwmTzRkLpXvBnGhYdSaE"), ("pwd: ", "xk29Qmz7t"), ("passphrase = ", "837465920174653829"), ("pwd: ", "tR7wq9Zk")):
+        text = f"and then {lead}{secret} was sent"
+        assert any(text[s:e] == secret for s, _, e in m.scan(text)), (lead, secret)
+    assert m.scan("The key features include documents about history, and the secret garden of Anglo-American Unfortunately") == []
+    assert secrets.candidates("plain words of Constantinople, uncharacteristically") == []
+
+
 def test_crf_spans_beside_base_spans():
     class Tagged(secrets.SecretModel):
         def __init__(self, found):
