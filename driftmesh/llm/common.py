@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,31 @@ def free(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def put_at(x: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """``x`` with ``more`` written from ``at`` on, in a larger array if need be."""
+    if at + len(more) > len(x):
+        x = np.concatenate((x[:at], np.zeros(max(len(x), len(more)) + len(x), x.dtype)))
+    x[at : at + len(more)] = more
+    return x
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def semi_join(left: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``left`` (a ``cut`` table) whose keys are in ``counts``, which says in ``n`` how many rows each key has in ``left``.
+
+    A key with more than a thousandth of the rows would fill one task of a shuffle. There are fewer than a thousand such keys,
+    so these are broadcast; all others are joined by a shuffle.
+    """
+    most = max(1000, left.count() // 1000)
+    hot = F.broadcast(counts.where(F.col("n") > most).select(*keys, F.lit(True).alias("__hot")))
+    marked = left.join(hot, keys, "left")
+    rest = marked.where("__hot is null").select(*left.columns).join(counts.where(F.col("n") <= most).select(*keys), keys, "left_semi")
+    return marked.where("__hot").select(*left.columns).unionByName(rest.select(*left.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table ``(a, b)`` as ``(node, root)``, root the smallest node.
 

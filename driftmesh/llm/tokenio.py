@@ -7,21 +7,21 @@ compressed with zstandard; rank samples every 512 bits are rebuilt when a shard
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_parts
+from .common import new_path, put_at, shuffle_parts
 
 MAGIC = b"WMX1"
 SHARD_TOKENS = 1 << 18
@@ -168,167 +168,258 @@ class WaveletMatrix:
         return cls(n, alphabet, [z for z, _ in heads], planes)
 
 
+LETTER, NUMBER, SPACE, OTHER, UNSURE = 1, 2, 0, 3, 4
+KNOWN_POINTS = 0x30000
+_SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
+
 @lru_cache(1)
-def _unsafe() -> re.Pattern:
-    """Characters that ``re`` may class otherwise than the tokenizer's own split."""
-    old = unicodedata.ucd_3_2_0
-    spans, start = [], None
-    for cp in range(0x110000):
-        ch = chr(cp)
-        kind = old.category(ch)
-        letter, number = kind[0] == "L", kind[0] == "N"
-        word, digit, space = ch.isalnum(), ch.isdecimal(), ch.isspace()
-        white = cp in (0x20, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000) or 9 <= cp <= 13 or 0x2000 <= cp <= 0x200A
-        bad = kind in ("Cn", "Cs") or kind != unicodedata.category(ch) or (word and not digit) != letter or digit != number or space != white
-        if bad and start is None:
-            start = cp
-        elif not bad and start is not None:
-            spans.append((start, cp - 1))
-            start = None
-    spans.append((start, 0x10FFFF)) if start is not None else None
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+def _classes() -> np.ndarray:
+    """Class of each code point; ``UNSURE`` where Unicode versions differ, or beyond ``KNOWN_POINTS`` (the last entry)."""
+    old, out = unicodedata.ucd_3_2_0, np.full(KNOWN_POINTS + 1, UNSURE, np.uint8)
+    for cp in range(KNOWN_POINTS):
+        kind = old.category(chr(cp))
+        if kind == unicodedata.category(chr(cp)) and kind not in ("Cn", "Cs"):
+            out[cp] = {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
+    out[list(_SPACES)] = SPACE
+    return out
 
 
-_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+@lru_cache(1)
+def _point_hashes() -> np.ndarray:
+    return np.random.default_rng(10).integers(0, 1 << 63, KNOWN_POINTS + 1, dtype=np.uint64)
 
 
-class _Index(dict):
-    """Piece -> its place; an unknown piece gets the next one."""
+@lru_cache(1)
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next one from 256 on."""
+    hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = at = len(self)
-        return at
+BLOCK_CHARS = 500_000
+_BASE = 0x9E3779B97F4A7C15
+_UP = np.cumprod(np.full(BLOCK_CHARS, _BASE, np.uint64))
+_DOWN = np.cumprod(np.full(BLOCK_CHARS, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def piece_starts(points: np.ndarray, kinds: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Where pieces begin, by byte-level BPE's usual split, in texts that begin at ``heads`` (none is empty).
+
+    Runs of letters, of numbers and of other characters are pieces, with one space before them. Of the white space
+    before something else the last character stands apart. An apostrophe that begins a piece takes a
+    contraction's letters with it.
+    """
+    n = len(points)
+    new = np.ones(n + 1, bool)
+    new[1:n] = kinds[1:] != kinds[:-1]
+    new[heads] = True
+    first = np.zeros(n + 1, bool)
+    first[heads] = first[n] = True
+    ends = np.flatnonzero(new[1:] & (kinds == SPACE) & ~first[1:])  # the last of white space that something follows
+    new[ends] = True
+    new[ends[points[ends] == 0x20] + 1] = False
+    marks = np.flatnonzero((points == 0x27) & new[:n])
+    if len(marks):
+        text_end = np.append(heads[1:], n)[np.searchsorted(heads, marks, "right") - 1]
+        one = np.where(marks + 1 < text_end, points[np.minimum(marks + 1, n - 1)], 0)
+        two = np.where(marks + 2 < text_end, points[np.minimum(marks + 2, n - 1)], 0)
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        for hit, size in ((marks[short], 2), (marks[long], 3)):
+            new[hit + 1] = False
+            new[hit + size] = True
+    return np.flatnonzero(new[:n])
 
 
 class PieceEncoder:
     """Whole-text encoder that encodes each distinct piece once and keeps a bounded cache of them.
 
-    Pieces never merge with each other, so a text's ids are those of its pieces in order. Texts with a
-    character on whose class the two splitters may differ go to the tokenizer as they are.
+    Pieces never merge with each other, so a text's ids are those of its pieces in order. Pieces are cut and looked up
+    for a block of texts together, by hashes whose finds are compared character by character. Texts with a
+    character of ``UNSURE`` class or a special token's string go to the tokenizer as they are; so do all texts
+    if the file splits or normalises in another way. ``special_as_text`` takes such strings for ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids above 65535 need wider shards")
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.at, self.known, self.used = _Index(), 0, 0
-        self.first, self.sizes, self.odd, self.uses = (np.zeros(1 << 16, kind) for kind in (np.int64, np.int64, bool, np.int64))
-        self.flat = np.zeros(1 << 18, np.uint16)
-
-    def _evict(self) -> None:
-        """Forget the pieces that were met once; if that frees little, all."""
-        keep = np.flatnonzero(self.uses[: self.known] > 1)
-        if len(keep) > CACHE_PIECES // 2:
-            keep = keep[:0]
-        pieces = list(self.at)
-        self.at = _Index(zip(map(pieces.__getitem__, keep.tolist()), range(len(keep))))
-        self.flat = self._gather(keep)
-        sizes = self.sizes[keep]
-        self.first, self.sizes, self.odd, self.uses = np.cumsum(sizes) - sizes, sizes, self.odd[keep], np.ones(len(keep), np.int64)
-        self.known, self.used = len(keep), len(self.flat)
-        if not len(keep):
-            self.first, self.sizes, self.odd, self.uses = (np.zeros(1 << 16, kind) for kind in (np.int64, np.int64, bool, np.int64))
-            self.flat = np.zeros(1 << 18, np.uint16)
-
-    def _gather(self, idx: np.ndarray) -> np.ndarray:
-        """The ids of pieces one after another."""
-        sizes = self.sizes[idx]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.first[idx] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-    def _learn(self) -> None:
-        """Encode the pieces that the index has got since the last call."""
-        new = list(islice(reversed(self.at), len(self.at) - self.known))[::-1]
-        bad = _unsafe().search
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            n, sizes = self.known, np.fromiter(map(len, ids), np.int64, len(ids))
-            got = np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes.sum()))
-            while n + len(ids) > len(self.first):
-                self.first, self.sizes, self.odd, self.uses = (np.resize(x, 2 * len(x)) for x in (self.first, self.sizes, self.odd, self.uses))
-            while self.used + len(got) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.first[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[n : n + len(ids)] = sizes
-            self.uses[n : n + len(ids)] = 0
-            self.odd[n : n + len(ids)] = [bad(p) is not None for p in part]
-            self.flat[self.used : self.used + len(got)] = got
-            self.used += len(got)
-            self.known += len(ids)
+        self.tokenizer.encode_special_tokens = special_as_text
+        made = json.loads(self.tokenizer.to_str())
+        split = made.get("pre_tokenizer") or {}
+        self.plain = made["model"]["type"] == "BPE" and not made["model"].get("dropout") and not made.get("normalizer") and split.get("type") == "ByteLevel"
+        self.plain = self.plain and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.special = [] if special_as_text else [t["content"] for t in made.get("added_tokens", [])]
+        # added tokens that aren't special are matched in any text
+        self.special += [t["content"] for t in made.get("added_tokens", []) if special_as_text and not t["special"]]
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots, self.keys = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64)
+        self.known, self.n_ids, self.n_chars = 0, 0, 0
+        self.first, self.sizes, self.begin, self.lens = (np.zeros(1 << 14, np.int64) for _ in range(4))
+        self.flat, self.chars = np.zeros(1 << 16, self.kind), np.zeros(1 << 16, np.uint32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - (len(self.keys).bit_length() - 1))).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 where there is none."""
+        at, out, left = self._slot(h), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(left):
+            there = self.keys[at]
+            hit = there == h[left]
+            out[left[hit]] = self.slots[at[hit]]
+            go = ~hit & (there != 0)
+            left, at = left[go], (at[go] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter distinct hashes that aren't there yet."""
+        if 3 * self.known > len(self.keys):
+            full = self.keys != 0
+            keys, slots = self.keys[full], self.slots[full]
+            size = 8 << (self.known.bit_length())
+            self.keys, self.slots = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._put_all(keys, slots)
+        self._put_all(h, numbers)
+
+    def _put_all(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        at, left = self._slot(h), np.arange(len(h))
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[left[free]]
+            mine = free & (self.keys[at] == h[left])
+            self.slots[at[mine]] = numbers[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & (len(self.keys) - 1)
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        # a piece alone needs no split: the model takes it in the alphabet of bytes
+        of, letters = self.tokenizer.model.tokenize, _byte_letters()
+        ids = [[t.id for t in of(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        sizes, lens = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, pieces))
+        got = np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        n = self.known
+        self.first = put_at(self.first, n, self.n_ids + np.cumsum(sizes) - sizes)
+        self.begin = put_at(self.begin, n, self.n_chars + np.cumsum(lens) - lens)
+        self.sizes, self.lens = put_at(self.sizes, n, sizes), put_at(self.lens, n, lens)
+        self.flat, self.chars = put_at(self.flat, self.n_ids, got), put_at(self.chars, self.n_chars, points)
+        self.known, self.n_ids, self.n_chars = n + len(pieces), self.n_ids + len(got), self.n_chars + len(points)
+        self._put(h, np.arange(n, self.known))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > CACHE_PIECES:
-            self._evict()
-        pieces, counts = [], []
-        for t in texts:
-            p = _PIECES.findall(t)
-            counts.append(len(p))
-            pieces += p
-        idx = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        self.uses[: self.known] += np.bincount(idx, minlength=self.known)
-        ends, ids = np.cumsum(self.sizes[idx]), self._gather(idx)
-        places = np.cumsum([0, *counts])
-        cuts = np.concatenate(([0], ends))[places]
-        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        for k in set(np.searchsorted(places, np.flatnonzero(self.odd[idx]), side="right").tolist()):
-            out[k - 1] = np.array(self.tokenizer.encode(texts[k - 1], add_special_tokens=False).ids, np.uint16)
+        """Ids of texts that together have at most ``BLOCK_CHARS`` characters, none of them empty."""
+        if self.known > CACHE_PIECES:
+            self._forget()
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        low = np.minimum(points, KNOWN_POINTS)
+        kinds, n = _classes()[low], len(points)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        heads = np.append(0, ends[:-1])
+        starts = piece_starts(points, kinds, heads)
+        lens = np.diff(np.append(starts, n))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_point_hashes()[low] * _UP[:n], out=sums[1:])
+        h = (sums[starts + lens] - sums[starts]) * _DOWN[starts]
+        h ^= (h >> np.uint64(31)) + lens.astype(np.uint64)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h |= np.uint64(1)
+        got = self._find(h)
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            keys, at = np.unique(h[new], return_index=True)
+            at = starts[new[at]], lens[new[at]]
+            self._learn(keys, [joined[a : a + k] for a, k in zip(at[0].tolist(), at[1].tolist())])
+            got[new] = self._find(h[new])
+        # each find's characters are the piece's own
+        same = self.lens[got] == lens
+        if not same.all():
+            raise ValueError("two pieces of one block share a hash")
+        differ = points != self.chars[np.repeat(self.begin[got] - starts, lens) + np.arange(n)]
+        odd = (kinds == UNSURE) | differ
+        sizes = self.sizes[got]
+        stops = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.first[got] - (stops - sizes), sizes) + np.arange(int(stops[-1]))]
+        cuts = np.append(0, stops)[np.searchsorted(starts, np.append(heads, n))]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        whole = set(np.searchsorted(ends, np.flatnonzero(odd), "right").tolist())
+        for mark in self.special:
+            if mark in joined:
+                whole |= {k for k, t in enumerate(texts) if mark in t}
+        for k in whole:
+            out[k] = self._whole(texts[k])
         return out
 
-    def __call__(self, texts: list[str], block_chars: int = 2_000_000) -> Iterator[np.ndarray]:
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         part, size = [], 0
+
+        def flush() -> Iterator[np.ndarray]:
+            got = iter(self._encode([t for t in part if t]) if size else [])
+            return (next(got) if t else np.empty(0, self.kind) for t in part)
+
         for t in texts:
-            if part and size + len(t) > block_chars:
-                yield from self._encode(part)
+            if part and size + len(t) > BLOCK_CHARS:
+                yield from flush()
+                part, size = [], 0
+            if not self.plain or len(t) > BLOCK_CHARS:
+                yield from flush()
                 part, size = [], 0
-            part.append(t)
-            size += len(t)
-        if part:
-            yield from self._encode(part)
+                yield self._whole(t)
+            else:
+                part.append(t)
+                size += len(t)
+        yield from flush()
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
+    """One encoder per worker process and way."""
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = PieceEncoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
-def write_token_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> str:
+def write_token_shards(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, special_as_text: bool = False
+) -> str:
     """Encode whole texts, append ``end_id`` to each and write wavelet-matrix shards in ascending id order.
 
     Returns the folder in the shared store. Null texts count as empty; null ids come first, equal ids
     in the order of their texts' hashes. Ranges are dealt by id and hash, so one repeated id splits too. Tasks cut
     shards at ``SHARD_TOKENS`` ids (so that a plane's partition stays in cache), and no text or id list leaves its task otherwise.
+    A special token's string in a text becomes that token's id, as the library does it, unless ``special_as_text``.
     """
     spark = docs.sparkSession
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
-        names, sizes, ids, held, seq = [], [], [], 0, 0
+        enc, part = encoder(tokenizer_path, special_as_text), TaskContext.get().partitionId()
+        names, sizes, ids, held, seq, before = [], [], [], 0, 0, 0
 
         def shard() -> pd.DataFrame:
             wm = WaveletMatrix.build(np.concatenate(ids))
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_tokens": [wm.n], "doc_ids": [names], "sizes": [sizes], "planes": [wm.to_bytes()]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "before": [before], "n_tokens": [wm.n], "doc_ids": [names], "sizes": [sizes], "planes": [wm.to_bytes()]})
 
         for pdf in frames:
             known = pdf["doc_id"].tolist()
             for name, got in zip(known, enc(pdf["t"].tolist())):
                 names.append(None if pd.isna(name) else int(name))
                 sizes.append(len(got) + 1)
-                ids += (got, np.array([end_id], np.uint16))
+                ids += (got, np.array([end_id], enc.kind))
                 held += len(got) + 1
                 if held >= SHARD_TOKENS:
                     yield shard()
-                    names, sizes, ids, held, seq = [], [], [], 0, seq + 1
+                    names, sizes, ids, held, seq, before = [], [], [], 0, seq + 1, before + held
         if names:
             yield shard()
 
@@ -339,7 +430,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_
         .repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first(), F.col("h"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "t")
         .select("doc_id", "t")
-        .mapInPandas(run, "part int, seq int, n_tokens long, doc_ids array<long>, sizes array<int>, planes binary")
+        .mapInPandas(run, "part int, seq int, before long, n_tokens long, doc_ids array<long>, sizes array<int>, planes binary")
         .write.option("compression", "none")
         .parquet(path)
     )
@@ -349,23 +440,22 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_
 def read_token_shards(spark, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` per document, decoded from the shard files.
 
-    The driver gathers one number per shard (of some 260,000 ids each) to place the shards' starts.
+    A shard holds its place in the part that one task wrote. The parts' sums, one row for each task of the write, are
+    added up in a small table that is broadcast.
     """
     shards = spark.read.parquet(path)
-    starts, at = {}, 0
-    for r in sorted(shards.select("part", "seq", "n_tokens").collect()):
-        starts[r.part, r.seq] = at
-        at += r.n_tokens
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(earlier, F.lit(0)).alias("base"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for part, seq, names, sizes, planes in zip(pdf["part"], pdf["seq"], pdf["doc_ids"], pdf["sizes"], pdf["planes"]):
+            for first, names, sizes, planes in zip(pdf["first"].tolist(), pdf["doc_ids"], pdf["sizes"], pdf["planes"]):
                 ids = WaveletMatrix.from_bytes(planes).decode()
-                ends = np.cumsum(np.asarray(sizes, np.int64))
-                crc = [zlib.crc32(ids[e - s : e].astype("<u4").tobytes()) for s, e in zip(sizes, ends)]
-                first = starts[part, seq]
-                yield pd.DataFrame(
-                    {"doc_id": pd.array(names, "Int64"), "start": first + ends - np.asarray(sizes), "n_tokens": np.asarray(sizes, np.int64), "ids_crc32": crc}
-                )
-
-    return shards.select("part", "seq", "doc_ids", "sizes", "planes").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                sizes = np.asarray(sizes, np.int64)
+                ends = np.cumsum(sizes)
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "start": first + ends - sizes, "n_tokens": sizes, "ids_crc32": crc})
+
+    placed = shards.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "sizes", "planes")
+    return placed.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
