@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmesh.llm import ann, bpe, decontam, langid, licenses, repeats, resharding, secrets, simhash, tokenio
+from driftmesh.llm import ann, bpe, decontam, langid, licenses, queries, repeats, resharding, secrets, simhash, tokenio
 from tests.conftest import DATA
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h int, t string, k1 long"
@@ -80,6 +80,26 @@ def test_repeats(docs, none, rows):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_the_length_asked_for(spark):
+    """400 bytes exactly, on texts that repeat each other with edits, within themselves, to the byte and one byte short of it."""
+    rng = random.Random(11)
+    base = words(rng, 700)
+    texts = [base[a : a + rng.randint(380, 1500)] for a in (rng.randrange(0, len(base) - 400) for _ in range(40))]
+    texts += [t[:k] + "#" + t[k + 1 :] for t in texts[:20] for k in (rng.randrange(len(t)),)]
+    one = words(rng, 300)
+    texts += [one[:400], "x" + one[:400] + "y", words(rng, 50) + one[500:899] + "z", one[500:899], one[500:700] * 5, "é" * 500, "é" * 450 + "q", "a" * 4000, None, ""]
+    texts += [texts[3], texts[3], words(rng, 400), "ab" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:5] for r in repeats.remove_repeats(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 400)
+
+
+def test_the_repeats_query(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    got = {r[0]: tuple(r)[1:] for r in queries.QUERIES["op6_repeated_strings"](spark, DATA).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
+    assert [got[r.doc_id] for r in rows] == brute_repeats([r.text for r in rows], 400)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 6)).round(1)
@@ -128,6 +148,53 @@ def test_language(spark, docs, none, rows):
     assert langid.identify(none).count() == 0
 
 
+def test_texts_without_a_letter(spark):
+    m = langid.LangModel.fit([("xx", "one two three four " * 50), ("yy", "uno due tre quattro " * 50)])
+    texts = ["\u00b2 \u00b2 \u00b2 \u00b2", "1 2 3 4 5", "\u00b2", "_ _ _ _ _", "\u00bd \u2460 \u2461 \u2462 \u2463", "\u00b2 \u00b2 \u00b2 \u00b2 one", "", None, "x" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, m).collect()}
+    assert all(got[k] == ("und", 0.0) for k in (0, 1, 2, 3, 4, 6, 7)) and got[5][0] == "xx" and got[8][0] in ("xx", "yy")
+    with pytest.raises(ValueError):
+        langid.predict(docs.withColumn("score", F.lit(1)), m, keep=("score",))
+
+
+def test_words_of_code_switched_texts(spark):
+    """Held-out texts of different languages, spliced every dozen words: most words get their own language."""
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    m = langid.fit_model(real)
+    rows = real.where(langid.held_out() & F.col("lang").isNotNull()).select("lang", "text").collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.lang, []).extend(langid.words_of(r.text))
+    rng, want, texts = random.Random(5), [], []
+    for k in range(30):
+        words_, tags = [], []
+        for _ in range(8):
+            lang = rng.choice(sorted(by))
+            at = rng.randrange(max(1, len(by[lang]) - 12))
+            words_ += by[lang][at : at + 12]
+            tags += [lang] * len(by[lang][at : at + 12])
+        texts.append((k, " ".join(words_)))
+        want += tags
+    got = sorted(langid.label_words(spark.createDataFrame(texts, "doc_id long, text string"), m).collect())
+    flat = [x for r in got for x in r.langs]
+    assert [w for r in got for w in r.words] == [w for _, t in texts for w in t.split()] and len(flat) == len(want)
+    assert sum(a == b for a, b in zip(flat, want)) > 0.9 * len(want)
+
+
+def test_the_language_query(spark):
+    """The registered query on its table: rows, the held-out share, ranges, and accuracy where it hasn't learned."""
+    import zlib
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.QUERIES["op4_language_id"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, docs[r.doc_id].text or ""))) for r in got)
+    held = [r for r in got if r.held_out and docs[r.doc_id].lang]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) > 0.9 * len(held)
+
+
 def test_secrets(docs, none, rows):
     m = secrets.fit_model(docs)
     got = secrets.scan(docs, m, redact="#").collect()
@@ -164,33 +231,119 @@ def test_resharding(spark, docs, none, rows):
     assert spark.read.schema("doc_id long").parquet(path).count() == 0
 
 
-def test_dropout_roundtrip(docs, none, rows):
+def moved(flow):
+    return sum(x for i, r in enumerate(flow) for j, x in enumerate(r) if i != j)
+
+
+def test_resharding_moves_the_fewest_bytes(spark):
+    """A unit-cost transport moves what each old shard holds beyond its new capacity, and no byte more."""
+    kinds = "doc_id long, text string, old int"
+    # full shards, one of large and one of small documents: nothing to move
+    rows = [(k, "x" * 992, 0) for k in range(10)] + [(100 + k, "y" * 92, 1) for k in range(100)]
+    path, flow = resharding.reshard(spark.createDataFrame(rows, kinds), F.col("old"), 2, 2)
+    assert flow == [[10_000, 0], [0, 10_000]]
+    assert {(r.text[0], r.shard) for r in spark.read.parquet(path).collect()} == {("x", 0), ("y", 1)}
+    path, _ = resharding.reshard(spark.createDataFrame(rows, kinds), F.col("old"), 2, 2, only_affected=True)
+    assert spark.read.schema("doc_id long").parquet(path).count() == 0
+    # two full shards beside one that gives to an empty one: only these are written again
+    rows = [(k, "x" * 92, k % 2) for k in range(200)] + [(1000 + k, "z" * 92, 2) for k in range(200)]
+    path, flow = resharding.reshard(spark.createDataFrame(rows, kinds), F.col("old"), 4, 4, only_affected=True)
+    got = spark.read.parquet(path).collect()
+    assert moved(flow) == 10_000 and sorted(r.doc_id for r in got) == list(range(1000, 1200)) and {r.shard for r in got} == {2, 3}
+    for seed in range(4):
+        rng = random.Random(seed)
+        n_old, n_new = rng.randint(1, 5), rng.randint(2, 6)
+        rows = [(rng.choice([None, k]), rng.choice([None, "s" * rng.randint(0, 30), "b" * rng.randint(500, 900)]), rng.randrange(n_old)) for k in range(800)]
+        path, flow = resharding.reshard(spark.createDataFrame(rows, kinds), F.col("old"), n_old, n_new)
+        sizes = [8 + len(t or "") for _, t, _ in rows]
+        held = [sum(x for x, r in zip(sizes, rows) if r[2] == i) for i in range(n_old)]
+        least = sum(max(0, h - (resharding._equal(sum(sizes), n_new)[i] if i < n_new else 0)) for i, h in enumerate(held))
+        assert least <= moved(flow) <= least + 2 * n_new * 908
+        got = spark.read.parquet(path).collect()
+        load = [sum(r.size for r in got if r.shard == j) for j in range(n_new)]
+        assert len(got) == len(rows) and max(load) - min(load) <= 2 * 38 and sorted(r.size for r in got) == sorted(sizes)
+
+
+def test_resharding_of_one_large_document(spark):
+    rows = [(1, "x" * 100_000)] + [(None if k % 7 else k, "y" * 20) for k in range(100)]
+    path, _ = resharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(None).cast("int"), 3, 4)
+    got = spark.read.parquet(path).collect()
+    assert len(got) == 101 and len([r for r in got if r.shard == next(x.shard for x in got if x.doc_id == 1)]) < 30
+
+
+def test_the_resharding_query(spark):
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.QUERIES["op8_resharding"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts) and {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
+    assert all(r["size"] == len((texts[r.doc_id] or "").encode()) + 8 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in got)
+    load = [0] * 24
+    for s in range(24):
+        mine = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        load[s] = sum(r["size"] for r in mine)
+    assert max(load) - min(load) <= max(r["size"] for r in got)
+
+
+def test_dropout_roundtrip(spark, docs, none, rows):
     path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
-    enc = bpe.encode(docs, path)
-    assert [r.lossless for r in enc.collect()] == [True] * len(rows)
-    assert sorted(r.text for r in bpe.decode(enc, path).collect()) == sorted(r[1] or "" for r in rows)
+    odd = [(800 + k, t) for k, t in enumerate(["a\u2581b \u2581", "\u2581", " \u2581\u2581  x", "y" * 5000 + "\u2581", "\U0010ffff\x00"])]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    enc = bpe.encode(more.withColumn("ids", F.lit(1)), path)
+    assert [r.lossless for r in enc.collect()] == [True] * (len(rows) + len(odd))
+    assert sorted(r.text for r in bpe.decode(enc, path).collect()) == sorted([r[1] or "" for r in rows] + [t for _, t in odd])
     assert bpe.encode(none, path).count() == 0
 
 
-def test_token_shards(spark, docs, none, rows):
+def test_the_dropout_query(spark):
+    """Word by word through the agenda as a list or heap, which shares no code with the merging of whole blocks."""
+    import zlib
+
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    m, want = bpe.MergeModel(path, bpe.Dropout()), []
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        split = bpe._WORDS.findall(m.escape(r.text or ""))
+        ids = np.array([i for w, d in zip(split, m._keys(r.doc_id, len(split)).tolist()) for i in m.word(w, d)], np.int32)
+        want.append((r.doc_id, len(ids), zlib.crc32(ids.tobytes()), True))
+    got = queries.QUERIES["op9_merge_dropout"](spark, DATA)
+    assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_crc32", "lossless").collect())) == sorted(want)
+
+
+def brute_tokens(rows, path):
+    """(doc_id, start, n_tokens, ids_crc32) by the untouched library, in ascending id order (nulls first)."""
     import zlib
 
     from tokenizers import Tokenizer
 
+    tok, at, out = Tokenizer.from_file(path), 0, []
+    for name, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        out.append((name, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_token_shards(spark, docs, none, rows, monkeypatch):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
-    tok = Tokenizer.from_file(path)
-    got = sorted(tokenio.read_token_shards(spark, tokenio.write_token_shards(docs, path)).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
-    at = 0
-    for r in got:
-        assert r.start == at
-        at += r.n_tokens
-    text = next(r[1] for r in rows if r[0] == 9)
-    ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
-    assert next(r for r in got if r.doc_id == 9).ids_crc32 == zlib.crc32(ids.tobytes())
+    odd = [(700 + k, t) for k, t in enumerate(["a <|endoftext|> b", "<|endoftext|>", "\u0378 x", "'s"])]
+    more = docs.select("doc_id", "text", "t").unionByName(spark.createDataFrame([(*r, "z") for r in odd], "doc_id long, text string, t string"))
+    monkeypatch.setattr(tokenio, "SHARD_TOKENS", 300)
+    got = sorted((tuple(r) for r in tokenio.read_token_shards(spark, tokenio.write_token_shards(more, path)).collect()), key=lambda r: r[1])
+    want = brute_tokens([r[:2] for r in rows] + odd, path)
+    twice = {r[0] for r in rows if sum(x[0] == r[0] for x in rows) > 1}  # equal ids stand in the order of their texts' hashes
+    assert [r[0] for r in got] == [r[0] for r in want] and sorted(r[2:] for r in got) == sorted(r[2:] for r in want)
+    assert [r for r in got if r[0] not in twice] == [r for r in want if r[0] not in twice]
     assert tokenio.read_token_shards(spark, tokenio.write_token_shards(none, path)).count() == 0
 
 
+def test_the_token_query(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.QUERIES["op10_wavelet_tokens"](spark, DATA)
+    assert sorted(map(tuple, got.select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == sorted(brute_tokens(rows, path))
+
+
 def test_licenses(docs, none):
     more = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" Released under the MIT License.")))
     got = licenses.scan(more).collect()

@@ -1,7 +1,6 @@
 """The operators' cores against plain Python: no Spark needed."""
 
 import random
-import struct
 from itertools import product
 
 import numpy as np
@@ -57,7 +56,7 @@ def test_merge_dropout_batches_equal_single_words_and_library():
     for rate in (0.0, 0.1, 0.5, 1.0):
         m = bpe.MergeModel(path, bpe.Dropout(rate=rate))
         for v in range(3):
-            assert m.words(words, v) == [struct.pack(f"{len(x)}i", *x) for x in (m.word(w, v) for w in words)]
+            assert m.words(words, v) == [m.word(w, v) for w in words]
     texts = ["", "Hello  world, naïve\ttext\n\n  end ", "日本語 x \U0001f600" * 30]
     plain, drop = bpe.MergeModel(path, bpe.Dropout(rate=0.0)), bpe.MergeModel(path, bpe.Dropout(rate=0.5))
     for t in texts:
@@ -81,6 +80,19 @@ def test_merge_dropout_draws_by_document_and_place():
     assert 0.28 < skipped / 200_000 < 0.32
 
 
+def test_merge_dropout_with_a_full_cache(monkeypatch):
+    path = _tokenizer("piece_bpe_32k.model")
+    texts = [" ".join(f"word{k % 7} other{k} {'z' * k}" for k in range(n)) for n in (3, 90, 60, 60)] * 2
+    keys = list(range(len(texts)))
+    want = bpe.MergeModel(path, bpe.Dropout()).encode_all(texts, keys)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe, "ROWS", 5)
+    m = bpe.MergeModel(path, bpe.Dropout())
+    for limit in (20, 400):
+        monkeypatch.setattr(bpe, "CACHE_WORDS", limit)
+        assert all((m.encode_all([t], [k])[0] == w).all() for t, k, w in zip(texts, keys, want))
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     for n, k in ((1, 1), (7, 2), (3000, 50), (2000, 3000)):
@@ -94,11 +106,39 @@ def test_wavelet_matrix():
             assert w.count(v) == (ids == v).sum() and w.rank(v, n // 2) == (ids[: n // 2] == v).sum()
 
 
-def test_piece_encoder_equals_tokenizer():
+def test_piece_encoder_equals_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = _tokenizer("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), tokenio.PieceEncoder(path)
+    texts = ["", "It's  a test's\n\n x_1 ١² café   z", "a <|endoftext|> b", "\U0001f600‍͸x " * 5, "l'ſ I'S", "'re've'l 's \n's ''s x' ", "<|endoftext|>"]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice("ab '  \n\tsredlmtv1²é_.-日٣ \U0001f600ſ") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert [x.tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(enc(["a <|endoftext|> b"]))[0].tolist() == [64, 220, 50256, 275]
+    as_text = list(tokenio.PieceEncoder(path, special_as_text=True)(["a <|endoftext|> b"]))[0].tolist()
+    assert 50256 not in as_text and tok.decode(as_text) == "a <|endoftext|> b"
+
+
+def test_piece_encoder_in_blocks_and_with_a_full_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
     path = _tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenio, "BLOCK_CHARS", 40)
+    monkeypatch.setattr(tokenio, "CACHE_PIECES", 5)
     enc = tokenio.PieceEncoder(path)
-    texts = ["", "It's  a test's\n\n x_1 ١² café   z", "<|endoftext|> a", "\U0001f600‍͸x " * 5, "l'ſ I'S"]
-    assert [x.tolist() for x in enc(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["one two three", "", "four five six seven " * 5, "one two", "x" * 41, " ", "eight nine ten eleven"] * 3
+    assert [x.tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_file_that_splits_otherwise_is_left_to_its_library():
+    from tokenizers import Tokenizer
+
+    path = _tokenizer("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), tokenio.PieceEncoder(path)
+    texts = ["Hello  World's", "", "é a"]
+    assert not enc.plain and [x.tolist() for x in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_crf_against_enumeration():
@@ -183,5 +223,13 @@ def test_nearest_tree_opens_all_leaves():
     assert sorted(t.search(x[0], t.n_leaves)) == list(range(t.n_leaves))
 
 
-def test_covered():
-    assert repeats._covered([(0, 2), (3, 3), (40, 41)], 45, 4) == [(0, 7), (40, 45)]
+def test_samples_of_texts_together_are_those_of_each():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (60, 41, 300, 40, 100)] + [b"ab" * 80, b"z" * 90]
+    got = repeats.samples(np.frombuffer(b"".join(texts), np.uint8), 40, 12, np.cumsum([len(t) for t in texts]))
+    want, at = [], 0
+    for t in texts:
+        h, *places = repeats.samples(np.frombuffer(t, np.uint8), 40, 12)
+        want.append((h, *(p + at for p in places)))
+        at += len(t)
+    assert all((g == np.concatenate(w)).all() for g, w in zip(got, zip(*want)))
