@@ -27,7 +27,7 @@ def det4(m):
 
 
 def inverse_lerp(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Barycentric zero of (n, d+1, d) vectors on d-simplices, and whether it lies inside."""
+    """Barycentric zero of (n, d+1, d) vectors on d-simplices, and whether it lies inside; NaN where the vectors don't span."""
     d = v.shape[2]
     a = np.swapaxes(v[:, :d, :] - v[:, d:, :], 1, 2)
     b = -v[:, d, :]
@@ -36,9 +36,11 @@ def inverse_lerp(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             mu = b / a[:, :, 0]
         elif d == 2:
             det = det2(a)
+            det = np.where(det == 0, np.nan, det)
             mu = np.stack(((b[:, 0] * a[:, 1, 1] - b[:, 1] * a[:, 0, 1]) / det, (a[:, 0, 0] * b[:, 1] - a[:, 1, 0] * b[:, 0]) / det), axis=1)
         else:
             det = det3(a)
+            det = np.where(det == 0, np.nan, det)
             cols = []
             for j in range(3):
                 m = a.copy()

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered_by
+
 EARTH_RADIUS = 6371229.0
 
 
@@ -203,9 +205,16 @@ def split_geo(df: DataFrame, lon: str = "lon") -> DataFrame:
 
 def relabel(df: DataFrame) -> DataFrame:
     """Dense new ids in the order of the old keys; sorts one row a curve, not the points."""
-    keys = df.select(*_key(df)).distinct()
-    named = keys.withColumn("__new", F.dense_rank().over(Window.orderBy(*_key(df))) - 1)
-    return df.join(named, _key(df)).withColumn("id", F.col("__new").cast("long")).drop("__new", "sub")
+    named = numbered_by(df.select(*_key(df)).distinct(), *_key(df), name="__new")
+    return df.join(named, _key(df)).withColumn("id", F.col("__new")).drop("__new", "sub")
+
+
+def assign_new_id(df: DataFrame, more: DataFrame) -> DataFrame:
+    """The curves of ``df`` and of ``more``, whose ids are moved past the largest id that is there."""
+    top = df.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).cast("long").alias("__top"))
+    low = more.agg(F.coalesce(F.min("id"), F.lit(0)).alias("__low"))
+    moved = more.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(low)).withColumn("id", F.col("id") - F.col("__low") + F.col("__top"))
+    return df.unionByName(moved.select(*df.columns))
 
 
 POST: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import combinations, count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mesh import Lattice, cofaces, sides, unit_simplices
 from ..sources.storage import materialize
+from .order import numbered_by
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -44,12 +46,17 @@ def _state(e: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """``(node, depth)`` reached from ``seeds (node)`` over undirected ``edges (a, b)``: one frontier join a level."""
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(node, depth)`` reached from ``seeds (node)`` over undirected ``edges (a, b)``: one frontier join a level.
+
+    Levels end when a frontier is empty, or at ``max_depth`` where that is wanted.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     found = materialize(seeds.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
     front = found
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         nxt = both.join(front, both.a == front.node).select(F.col("b").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
         front = materialize(nxt.withColumn("depth", F.lit(depth)), "bfs")
         if front.isEmpty():
@@ -58,13 +65,18 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
     return found
 
 
-def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 1000) -> DataFrame:
-    """``(node, dist)`` from one node over weighted undirected ``edges (a, b, w)``, by rounds of relaxation."""
+def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
+    """``(node, dist)`` from one node over weighted undirected ``edges (a, b, w)``, by rounds of relaxation until nothing changes.
+
+    A path has no more edges than there are nodes, so with weights of zero or more the rounds end; negative ones are refused.
+    """
+    if not edges.where("w < 0").isEmpty():
+        raise ValueError("weights must not be negative")
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     spark = edges.sparkSession
     dist = materialize(spark.createDataFrame([(source, 0.0)], "node long, dist double"), "paths")
     last = None
-    for _ in range(max_rounds):
+    while True:
         step = both.join(dist, both.a == dist.node).select(F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
         dist = materialize(dist.unionByName(step).groupBy("node").agg(F.min("dist").alias("dist")), "paths")
         state = tuple(dist.agg(F.count("*"), F.sum("dist")).first())
@@ -149,14 +161,9 @@ def trace(hits: DataFrame, lattice: Lattice, k: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["tag", "root", "piece", "seq", "loop"])
 
     walked = roots.groupBy("root").cogroup(edges.groupBy("r")).applyInPandas(order, "tag long, root long, piece int, seq int, loop boolean")
-    return hits.join(walked, "tag").withColumn("id", F.dense_rank().over(_by_curve()) - 1)
-
-
-def _by_curve():
-    from pyspark.sql import Window
-
-    return Window.orderBy("root", "piece")
-
+    walked = materialize(walked, "curves")
+    names = numbered_by(walked.where("seq = 0").select("root", "piece"), "root", "piece", name="id")
+    return hits.join(walked.join(names, ["root", "piece"]), "tag")
 
 
 def surfaces(hits: DataFrame, lattice: Lattice, k: int) -> DataFrame:
@@ -168,6 +175,32 @@ def surfaces(hits: DataFrame, lattice: Lattice, k: int) -> DataFrame:
     return cells.select(F.col("other").alias("cell"), F.explode(strip).alias("x")).select("cell", "x.*")
 
 
+#: Triangles of a pentachoron's punctures by their number, as places in tag order: all triples of 3 or 4; of 5 all but one, which must be
+#: left out for the known counts.
+TRIPLES = {3: [(0, 1, 2)], 4: list(combinations(range(4), 3)), 5: [t for t in combinations(range(5), 3) if t != (1, 3, 4)]}
+
+
+def line_surfaces(hits: DataFrame, lattice: Lattice) -> DataFrame:
+    """``(cell, p0, p1, p2)``: triangles that punctured faces of a 3D+t mesh span in each pentachoron; other numbers than 3 to 5 span none."""
+    up = incident(hits, lattice, 2, up=True).select(F.col("tag").alias("hit"), F.col("other").alias("tet"))
+    cells = incident(up.select(F.col("tet").alias("tag")).distinct(), lattice, 3, up=True).select(F.col("tag").alias("tet"), F.col("other").alias("cell"))
+    p = up.join(cells, "tet").select("cell", "hit").distinct().groupBy("cell").agg(F.sort_array(F.collect_list("hit")).alias("p"))
+    tri = F.lit(None)
+    for n, triples in TRIPLES.items():
+        tri = F.when(F.size("p") == n, F.array(*[F.struct(*[F.col("p")[k].alias(f"p{m}") for m, k in enumerate(t)]) for t in triples])).otherwise(tri)
+    return p.where(F.size("p").between(3, 5)).select("cell", F.explode(tri).alias("x")).select("cell", "x.*")
+
+
+def level_triangles(hits: DataFrame, lattice: Lattice) -> DataFrame:
+    """``(cell, p0, p1, p2)``: triangles of a 2D+t level set. 3 hits on a tetrahedron's edges give one triangle, 4 two."""
+    up = incident(hits, lattice, 1, up=True).select(F.col("tag").alias("hit"), F.col("other").alias("tag"))
+    tets = incident(up.select("tag").distinct(), lattice, 2, up=True)
+    p = up.join(tets, "tag").select("hit", F.col("other").alias("cell")).distinct().groupBy("cell").agg(F.sort_array(F.collect_list("hit")).alias("p"))
+    first, second = (F.struct(*[F.col("p")[k].alias(f"p{n}") for n, k in enumerate(pick)]) for pick in ((0, 1, 2), (1, 2, 3)))
+    tri = F.when(F.size("p") == 3, F.array(first)).otherwise(F.array(first, second))
+    return p.where(F.size("p") >= 3).select("cell", F.explode(tri).alias("x")).select("cell", "x.*")
+
+
 def volumes(hits: DataFrame, lattice: Lattice) -> DataFrame:
     """``(cell, p0 .. p3)``: tetrahedra of a 3D+t contour: 4 hits on a pentachoron's edges give one, 6 a prism of three.
 
@@ -230,11 +263,17 @@ def slice_surface(points: DataFrame, triangles: DataFrame, t: int) -> DataFrame:
 
 
 def slice_volume(points: DataFrame, tets: DataFrame, keep) -> DataFrame:
-    """Triangles of a space-time volume whose points satisfy a predicate on the point table (three of a tetrahedron)."""
+    """Triangles ``(p0, p1, p2)`` of a space-time volume whose points satisfy a predicate on the point table.
+
+    A tetrahedron gives each of its faces with three such corners: one face where one corner is out, all four where none is.
+    """
     at = points.where(keep).select(F.col("tag").alias("p"))
-    long = tets.select("cell", F.monotonically_increasing_id().alias("n"), F.explode(F.array("p0", "p1", "p2", "p3")).alias("p"))
-    got = long.join(at, "p", "left_semi").groupBy("cell", "n").agg(F.sort_array(F.collect_list("p")).alias("p")).where(F.size("p") == 3)
-    return got.select(*[F.col("p")[k].alias(f"p{k}") for k in range(3)]).distinct()
+    corners = ["p0", "p1", "p2", "p3"]
+    long = tets.select(*corners, F.explode(F.array_distinct(F.array(*corners))).alias("p"))
+    got = long.join(at, "p", "left_semi").groupBy(*corners).agg(F.sort_array(F.collect_set("p")).alias("p")).where(F.size("p") >= 3)
+    face = F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda out: F.filter("p", lambda x, k: k != out))
+    faces = F.when(F.size("p") == 3, F.array("p")).otherwise(face)
+    return got.select(F.explode(faces).alias("f")).select(*[F.col("f")[k].alias(f"p{k}") for k in range(3)]).distinct()
 
 
 def contract(points: DataFrame, triangles: DataFrame, drop) -> DataFrame:

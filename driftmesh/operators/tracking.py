@@ -129,6 +129,13 @@ def events(edges: DataFrame, nodes: DataFrame | None = None, t0: int | None = No
     return got.where(~plain).select(F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), "lhs", "rhs", kind.alias("type"))
 
 
+def event_json(events: DataFrame) -> DataFrame:
+    """One JSON line ``value`` an event: the steps it lies between, its type, and the labels on both sides."""
+    side = lambda c: F.concat(F.lit("["), F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))), F.lit("]"))
+    line = F.format_string('{"if_current":%s,"if_next":%s,"type":"%s","lhs":%s,"rhs":%s}', F.col("t0").cast("string"), F.col("t1").cast("string"), "type", side("lhs"), side("rhs"))
+    return events.select("t0", line.alias("value"))
+
+
 def dot(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """The tracking graph as lines of DOT text, ready for ``write.text``: nodes in ranks by step, coloured by global label."""
     node = F.format_string("  n%d_%d [label=\"%d\", color=\"%.3f 0.8 0.8\"];", "t", "label", "label", F.pmod(F.col("global") * 0.618, F.lit(1.0)))

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.robust import fixed_point, point_in_simplex
+from ..sources.storage import materialize
 from .graph import components
+from .order import numbered_by
 
 
 def structured_triangles(spark: SparkSession, w: int, h: int, wrap: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +48,7 @@ def faces(cells: DataFrame, size: int) -> DataFrame:
 
 def numbered(cells: DataFrame, name: str) -> DataFrame:
     """Dense ids in the order of the vertices."""
-    return cells.withColumn(name, (F.row_number().over(Window.orderBy(*_corners(cells))) - 1).cast("long"))
+    return numbered_by(cells, *_corners(cells), name=name)
 
 
 def incidence(cells: DataFrame, sides: DataFrame, cell: str, side: str) -> DataFrame:
@@ -233,40 +235,84 @@ def evaluate(located: DataFrame, triangles: DataFrame, field: DataFrame, col: st
     return long.select("pid", "e.*").join(field, "vid").groupBy("t", "pid").agg(F.sum(F.col("m") * F.col(col)).alias(col))
 
 
-def nearest(points: DataFrame, targets: DataFrame, bucket: float, max_rings: int = 64) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, bucket: float, grow: int = 4) -> DataFrame:
     """``(pid, vid, d2)``: the nearest of ``targets (vid, x, y)`` to ``points (pid, px, py)``, ties to the smaller id.
 
-    Rings of grid buckets around each point are searched outwards; a point is done when its best lies within the
-    ring's inner distance, so a round handles only those that are still open.
+    A point looks in its own grid bucket and the eight around it. If its best lies within one bucket's side it is sure;
+    the others go on with buckets ``grow`` times as large, until nine of them hold all targets. So each round handles only what is
+    still open, whatever the distances. Rows with a null or non-finite coordinate take no part; without targets nothing is found.
     """
-    t = targets.select("vid", "x", "y", F.floor(F.col("x") / bucket).alias("bx"), F.floor(F.col("y") / bucket).alias("by"))
-    open_, done, ring = points.select("pid", "px", "py"), None, 1
+
+    def usable(df: DataFrame, *cols: str) -> DataFrame:
+        ok = F.lit(True)
+        for c in cols:
+            ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+        return df.where(ok)
+
+    t = usable(targets.select("vid", "x", "y"), "x", "y")
+    open_ = materialize(usable(points.select("pid", "px", "py"), "px", "py"), "nearest")
+    ends = t.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    done, size, d2 = None, float(bucket), (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
+    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    if ends.lox is None:
+        return open_.where("false").select("pid", F.lit(0).cast("long").alias("vid"), F.lit(0.0).alias("d2"))
+    span = open_.agg(*[f(c).alias(f"{n}{c}") for c in ("px", "py") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    reach = max(max(h, g) - min(lo, k) for lo, h, k, g in ((ends.lox, ends.hix, span.lopx or 0, span.hipx or 0), (ends.loy, ends.hiy, span.lopy or 0, span.hipy or 0)))
     while True:
-        around = F.sequence(F.lit(-ring), F.lit(ring))
-        p = open_.withColumn("bx", F.explode(F.transform(around, lambda d: F.floor(F.col("px") / bucket) + d)))
-        p = p.withColumn("by", F.explode(F.transform(around, lambda d: F.floor(F.col("py") / bucket) + d)))
-        d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-        best = p.join(t, ["bx", "by"]).groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), "vid")).alias("s")).select("pid", "s.vid", "s.d2")
-        sure = best.where(F.col("d2") <= (ring * bucket) ** 2)
-        done = sure if done is None else done.unionByName(sure)
-        left = open_.join(sure.select("pid"), "pid", "left_anti")
-        if ring >= max_rings or left.isEmpty():
+        grid = t.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
+        p = open_.withColumn("bx", F.explode(F.transform(around, lambda d: F.floor(F.col("px") / size) + d)))
+        p = p.withColumn("by", F.explode(F.transform(around, lambda d: F.floor(F.col("py") / size) + d)))
+        best = p.join(grid, ["bx", "by"]).groupBy("pid", "px", "py").agg(F.min(F.struct(d2.alias("d2"), "vid")).alias("s")).select("pid", "px", "py", "s.vid", "s.d2")
+        last = size > reach
+        best = materialize(best if last else best.where(F.col("d2") <= size * size), "nearest")
+        found = best.select("pid", "vid", "d2")
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        open_ = materialize(open_.join(best.select("pid", "px", "py"), ["pid", "px", "py"], "left_anti"), "nearest")
+        if open_.isEmpty():
             return done
-        open_, ring = left, ring * 4
+        size *= grow
 
 
 def lerp_lookup(keys: DataFrame, table: DataFrame) -> DataFrame:
-    """``(key, xi, yi)``: a piecewise-linear table ``(x, y)`` at ``keys (key, xi)``: each interval [x, next) as a row.
+    """``(key, xi, yi)``: a piecewise-linear table ``(x, y)`` at ``keys (key, xi)``. Outside it the end values hold; null keys give null.
 
-    Keys and knots are merged by one sort, so the lookup is an as-of join without a range of candidates. Outside, the end values hold.
+    An as-of join: keys and knots are dealt into ranges of x by the knots' quantiles, and in each range one sort carries
+    the last knot forward. One row a range says which knots lie before and after it. Of knots at one x the largest y counts.
     """
-    knots = table.withColumn("nx", F.lead("x").over(Window.orderBy("x"))).withColumn("ny", F.lead("y").over(Window.orderBy("x")))
-    edge = table.agg(F.min("x").alias("x0"), F.min_by("y", "x").alias("y0"))
-    k = keys.crossJoin(F.broadcast(edge))
-    got = k.join(knots, (F.col("xi") >= F.col("x")) & ((F.col("xi") < F.col("nx")) | F.col("nx").isNull()), "left")
-    w = F.try_divide(F.col("xi") - F.col("x"), F.col("nx") - F.col("x"))
-    y = F.when(F.col("x").isNull(), F.col("y0")).when(F.col("nx").isNull(), F.col("y")).otherwise(F.col("y") + w * (F.col("ny") - F.col("y")))
-    return got.select("key", "xi", y.alias("yi"))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    knots = table.where("x is not null and y is not null").groupBy(F.col("x").cast("double").alias("x")).agg(F.max(F.col("y").cast("double")).alias("y"))
+    cuts = sorted(set(knots.approxQuantile("x", [k / n for k in range(1, n)], 0.5 / n))) if n > 1 else []
+    if knots.isEmpty():
+        return keys.select("key", "xi", F.lit(None).cast("double").alias("yi"))
+
+    def part(c: str):
+        return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>"), lambda cut: cut <= F.col(c)))
+
+    knots = materialize(knots.withColumn("part", part("x")), "knots")
+    own = knots.groupBy("part").agg(F.min(F.struct("x", "y")).alias("low"), F.max(F.struct("x", "y")).alias("high"))
+    every = keys.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("part")).join(F.broadcast(own), "part", "left")
+    order = Window.orderBy("part")
+    ends = every.select(
+        "part",
+        F.last("high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("low", True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("first"),
+        F.first("low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("beyond"),
+    )
+    ends = F.broadcast(materialize(ends, "knots"))
+    follows = F.lead(F.struct("x", "y")).over(Window.partitionBy("part").orderBy("x"))
+    spans = knots.withColumn("next", follows).join(ends, "part").select("part", "x", F.struct("x", "y", F.coalesce("next", "beyond").alias("next")).alias("knot"))
+    both = spans.select("part", "x", "knot", F.lit(None).cast(keys.schema["key"].dataType).alias("key"), F.lit(0).alias("of_key"))
+    asked = keys.select(part("xi").alias("part"), F.col("xi").cast("double").alias("x"), F.lit(None).cast(spans.schema["knot"].dataType).alias("knot"), "key", F.lit(1).alias("of_key"))
+    line = Window.partitionBy("part").orderBy("x", "of_key").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.unionByName(asked.where("x is not null")).withColumn("at", F.last("knot", True).over(line)).where("of_key = 1").join(ends, "part")
+    at = F.coalesce("at", F.when(F.col("before").isNotNull(), F.struct(F.col("before.x").alias("x"), F.col("before.y").alias("y"), F.col("first").alias("next"))))
+    w = F.try_divide(F.col("x") - F.col("on.x"), F.col("on.next.x") - F.col("on.x"))
+    inside = F.col("on.y") + w * (F.col("on.next.y") - F.col("on.y"))
+    y = F.when(F.col("on").isNull(), F.col("first.y")).when(F.col("on.next").isNull(), F.col("on.y")).otherwise(inside)
+    out = got.withColumn("on", at).select("key", F.col("x").alias("xi"), y.alias("yi"))
+    return out.unionByName(keys.where("xi is null").select("key", F.col("xi").cast("double"), F.lit(None).cast("double").alias("yi")))
 
 
 def temporal_lerp(queries: DataFrame, field: DataFrame, col: str = "f") -> DataFrame:

@@ -7,6 +7,7 @@ from ..sources.views import FIELD_SQL, H, T, TRAJ_SQL, W
 
 I0, NI, J0, NJ = 2, W - 3, 2, H - 3  # domain of the scalar critical point tracker
 LEVEL, CONTOUR = 22, 20.5
+LATER: dict[str, str] = {}  # SQL of queries that are registered before it is built
 
 
 def values(rows: list[tuple]) -> str:
@@ -28,7 +29,7 @@ def near(col: str, axis: str, step: int, table_key: str = "t, j, i") -> str:
     return f"COALESCE({fn}({col}, {abs(step)}) OVER (PARTITION BY t, {other} ORDER BY {axis}), {col})"
 
 
-GRAD = f"grad AS (SELECT t, j, i, f, ({near('f', 'i', 1)} - {near('f', 'i', -1)}) * {W - 1} AS u, ({near('f', 'j', 1)} - {near('f', 'j', -1)}) * {H - 1} AS v FROM field)"
+GRAD = f"grad AS MATERIALIZED (SELECT t * 1000 + j * 20 + i AS p, t, j, i, f, ({near('f', 'i', 1)} - {near('f', 'i', -1)}) * {W - 1} AS u, ({near('f', 'j', 1)} - {near('f', 'j', -1)}) * {H - 1} AS v FROM field)"
 
 
 def _sign_det(p: str, q: str, r: str) -> str:
@@ -52,17 +53,34 @@ def _faces() -> list[tuple]:
 
 
 _OFF = [f"{a}{k}" for k in range(3) for a in "xyz"]
-HITS = f"""hits AS (
-  SELECT ((c.i - {I0}) + (c.j - {J0}) * {NI} + c.t * {NI * NJ}) * 12 + s.kind AS tag, s.kind, c.t AS timestep, s.ord = 1 AS ordinal
-  FROM grad c, {values(_faces())} s(kind, ord, {", ".join(_OFF)}, mx, my, mz), grad a, grad b, grad d
-  WHERE c.i >= {I0} AND c.j >= {J0} AND c.i + s.mx < {I0 + NI} AND c.j + s.my < {J0 + NJ} AND c.t + s.mz < {T}
-    AND a.i = c.i + s.x0 AND a.j = c.j + s.y0 AND a.t = c.t + s.z0
-    AND b.i = c.i + s.x1 AND b.j = c.j + s.y1 AND b.t = c.t + s.z1
-    AND d.i = c.i + s.x2 AND d.j = c.j + s.y2 AND d.t = c.t + s.z2
-    AND {_sign_det("a", "b", "d")} = {_sign_det("o", "b", "d")}
+
+
+def _corner(k: int) -> str:
+    return f"(c.t + s.z{k}) * 1000 + (c.j + s.y{k}) * 20 + c.i + s.x{k}"
+
+
+# places are packed into one number, so that each corner of a face is an equi-join
+HITS = f"""faces AS MATERIALIZED (
+  SELECT ((c.i - {I0}) + (c.j - {J0}) * {NI} + c.t * {NI * NJ}) * 12 + s.kind AS tag, s.kind, c.t AS timestep, s.ord = 1 AS ordinal,
+    {_corner(0)} AS p0, {_corner(1)} AS p1, {_corner(2)} AS p2
+  FROM grad c, {values(_faces())} s(kind, ord, {", ".join(_OFF)}, mx, my, mz)
+  WHERE c.i >= {I0} AND c.j >= {J0} AND c.i + s.mx < {I0 + NI} AND c.j + s.my < {J0 + NJ} AND c.t + s.mz < {T}),
+hits AS MATERIALIZED (
+  SELECT c.tag, c.kind, c.timestep, c.ordinal, c.p0, c.p1, c.p2, a.u AS au, a.v AS av, b.u AS bu, b.v AS bv, d.u AS du, d.v AS dv
+  FROM faces c JOIN grad a ON a.p = c.p0 JOIN grad b ON b.p = c.p1 JOIN grad d ON d.p = c.p2
+  WHERE {_sign_det("a", "b", "d")} = {_sign_det("o", "b", "d")}
     AND {_sign_det("a", "b", "d")} = -({_sign_det("o", "a", "d")})
     AND {_sign_det("a", "b", "d")} = {_sign_det("o", "a", "b")})"""
 
+_THIRD = "1 / 3.0"
+PLACED = f"""weighed AS (SELECT tag, p0, p1, p2, CASE WHEN det = 0 THEN {_THIRD} ELSE (dv * (bu - du) - du * (bv - dv)) / det END AS m0,
+    CASE WHEN det = 0 THEN {_THIRD} ELSE (du * (av - dv) - dv * (au - du)) / det END AS m1
+  FROM (SELECT *, CAST((au - du) * (bv - dv) - (bu - du) * (av - dv) AS DOUBLE) AS det FROM hits)),
+placed AS (SELECT tag, m0 * (p0 % 20) + m1 * (p1 % 20) + m2 * (p2 % 20) AS x, m0 * ((p0 // 20) % 50) + m1 * ((p1 // 20) % 50) + m2 * ((p2 // 20) % 50) AS y,
+    m0 * (p0 // 1000) + m1 * (p1 // 1000) + m2 * (p2 // 1000) AS t FROM (SELECT *, 1 - m0 - m1 AS m2 FROM weighed))"""
+REACH = """links AS MATERIALIZED (SELECT DISTINCT a.tag AS a, b.tag AS b FROM inc a JOIN inc b ON a.tet = b.tet AND a.tag <> b.tag),
+  reach(node, seen) AS (SELECT tag, tag FROM hits UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a)"""
+
 
 def _cofaces() -> list[tuple]:
     tets = unit_simplices(3, 3)
@@ -81,6 +99,22 @@ INC = f"""inc AS (
   WHERE h.i + s.ox >= 0 AND h.i + s.ex < {NI} AND h.j + s.oy >= 0 AND h.j + s.ey < {NJ} AND h.t + s.oz >= 0 AND h.t + s.ez < {T})"""
 
 
+def _sides() -> list[tuple]:
+    edges = unit_simplices(3, 1)
+    rows = []
+    for n in range(12):
+        for o, off in sides(3, 2, n):
+            rows.append((n, o, *off, *[off[a] + max(v[a] for v in edges[o]) for a in range(3)]))
+    return rows
+
+
+INC_DOWN = f"""inc AS (
+  SELECT h.tag, ((h.i + s.ox) + (h.j + s.oy) * {NI} + (h.t + s.oz) * {NI * NJ}) * 7 + s.other AS other
+  FROM (SELECT tag, tag % 12 AS kind, (tag // 12) % {NI} AS i, (tag // {12 * NI}) % {NJ} AS j, tag // {12 * NI * NJ} AS t FROM hits) h
+  JOIN {values(_sides())} s(kind, other, ox, oy, oz, ex, ey, ez) ON h.kind = s.kind
+  WHERE h.i + s.ox >= 0 AND h.i + s.ex < {NI} AND h.j + s.oy >= 0 AND h.j + s.ey < {NJ} AND h.t + s.oz >= 0 AND h.t + s.ez < {T})"""
+
+
 def _edges() -> list[tuple]:
     rows = []
     for n, s in enumerate(unit_simplices(3, 1)):

@@ -202,22 +202,10 @@ _field_query(
     "SELECT t, j, i, f * j * 3 - f * 2 * (f - 1) AS cx, f * 2 - i * f * 3 AS cy, i * (f - 1) - j AS cz FROM field",
     lambda f: f.withColumns({"one": F.lit(1).cast("long"), "fm": F.col("f") - 1, "f2": F.col("f") * 2, "f3": F.col("f") * 3}).select("t", "j", "i", *[c.alias(n) for n, c in zip(("cx", "cy", "cz"), D.cross(("i", "j", "f2"), ("one", "fm", "f3")))]),
 )
-query("acceleration3d")(lambda spark, d: D.acceleration(S.abc_flow(spark, 12, 12, 12)).select("t", "k", "j", "i", _r("ax").alias("ax"), _r("ay").alias("ay"), _r("az").alias("az")))
 
 
-# mesh
-def _constants(name: str, rows: list[tuple], cols: str) -> None:
-    sql = f"SELECT {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in cols.split())} FROM {O.values(rows)} v({', '.join(cols.split())})"
-    query(name, sql)(lambda spark, d: spark.createDataFrame(rows, ", ".join(f"{c} int" for c in cols.split())))
-
-
-_constants("simplex_vertices_3_2", O.simplex_rows(3, 2), "kind vertex ordinal x y t")
-_constants("simplex_vertices_4_3", O.simplex_rows(4, 3), "kind vertex ordinal x y z t")
-_constants("simplex_sides_3", O.side_rows(3, 3), "kind side x y t")
-_constants("simplex_cofaces_3_2", O.coface_rows(3, 2), "kind coface x y t")
-_constants("simplex_cofaces_4_2", O.coface_rows(4, 2), "kind coface x y z t")
-
 
+# mesh
 @query(
     "element_ids",
     f"SELECT (i + j * 6 + t * 30) * 12 + s.kind AS tag, CAST(s.kind AS INTEGER) AS kind, s.ord = 1 AS ordinal FROM (SELECT a.range AS i, b.range AS j, c.range AS t FROM range(6) a, range(5) b, range(4) c) g, {O.values(O._faces())} s(kind, ord, {', '.join(O._OFF)}, mx, my, mz) WHERE i + mx < 6 AND j + my < 5 AND t + mz < 4",
@@ -281,14 +269,7 @@ def _ring(spark: SparkSession) -> tuple[DataFrame, Lattice]:
 @query("contour_surface")
 def contour_surface(spark: SparkSession, d: str) -> DataFrame:
     """Triangles of a level set in space-time: its edge points meet in the tetrahedra that they bound."""
-    hits, lat = _ring(spark)
-    up = G.incident(hits, lat, 1, up=True).select(F.col("tag").alias("hit"), F.col("other").alias("tag"))
-    tets = G.incident(up.select("tag").distinct(), lat, 2, up=True)
-    p = up.join(tets, "tag").select("hit", F.col("other").alias("cell")).distinct().groupBy("cell").agg(F.sort_array(F.collect_list("hit")).alias("p"))
-    tri = F.when(F.size("p") == 3, F.array(F.struct(*[F.col("p")[k].alias(f"p{k}") for k in range(3)]))).otherwise(
-        F.array(F.struct(*[F.col("p")[k].alias(f"p{n}") for n, k in enumerate((0, 1, 2))]), F.struct(*[F.col("p")[k].alias(f"p{n}") for n, k in enumerate((1, 2, 3))]))
-    )
-    return p.where(F.size("p") >= 3).select("cell", F.explode(tri).alias("x")).select("cell", "x.*")
+    return G.level_triangles(*_ring(spark))
 
 
 @query("contour_slice")
@@ -312,7 +293,6 @@ def _abc(spark: SparkSession) -> DataFrame:
     return S.abc_flow(spark, 10, 10, 10).withColumn("t", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
 
 
-query("critical_lines")(lambda spark, d: X.critical_lines(_abc(spark), (10, 10, 10), 2))
 query("sujudi_haimes")(lambda spark, d: X.sujudi_haimes(_abc(spark), (10, 10, 10), 2))
 query("levy_degani_seginer")(lambda spark, d: X.levy_degani_seginer(S.tornado(spark, (12, 12, 12), 2), (12, 12, 12), 2))
 query("ridge_valley")(lambda spark, d: X.ridge_valley(S.moving_extremum(spark, (10, 10, 10), 2, (4.3, 4.4, 4.6)), (10, 10, 10), 2))
@@ -364,13 +344,6 @@ def tracking_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select("t0", "t1", F.size("lhs").cast("long").alias("n_left"), F.size("rhs").cast("long").alias("n_right"), total("lhs").alias("left_sum"), total("rhs").alias("right_sum"), "type")
 
 
-@query("tracking_dot")
-def tracking_dot(spark: SparkSession, d: str) -> DataFrame:
-    lab = G.materialize(_labels(spark, d), "labels")
-    e = G.materialize(K.overlap(lab), "overlap")
-    return K.dot(e, K.global_labels(e, lab.select("t", "label").distinct()))
-
-
 # trajectories
 def _traj_query(name: str, body: str | None, make, *ctes: str) -> None:
     query(name, O.traj(body, *ctes) if body else None)(lambda spark, d: make(trajectories(spark, d)))
@@ -391,7 +364,6 @@ _traj_query(
     "SELECT id, seq, CAST(SUM(CASE WHEN type <> p THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq) AS BIGINT) AS sub FROM (SELECT *, lag(type) OVER (PARTITION BY id ORDER BY seq) AS p FROM traj)",
     lambda t: C.split(t).select("id", "seq", "sub"),
 )
-query("curve_split_compat")(lambda spark, d: C.split(trajectories(spark, d), compat=True).select("id", "seq", "sub"))
 _traj_query("curve_intercept", "SELECT id, seq FROM traj WHERE t BETWEEN 432000 AND 864000", lambda t: C.intercept(t, 432000, 864000).select("id", "seq"))
 _traj_query("curve_discard_interval", "SELECT id, seq FROM traj WHERE ordinal", lambda t: C.discard_interval_points(t).select("id", "seq"))
 _traj_query("curve_discard_degenerate", "SELECT id, seq FROM traj WHERE type NOT IN (0, 1)", lambda t: C.discard_degenerate_points(t).select("id", "seq"))
@@ -449,7 +421,6 @@ _traj_query(
           SELECT id, seq, x AS t, ordinal, SUM(ordinal::INT) OVER (PARTITION BY id ORDER BY seq) AS g FROM traj)))""",
     lambda t: C.adjust_time(t.withColumn("t", F.col("x"))).select("id", "seq", _r("t", 3).alias("t")),
 )
-_traj_query("curve_rotate", None, lambda t: C.rotate(t.withColumn("loop", F.lit(True))).select("id", "seq", "type"))
 _traj_query("curve_relabel", "SELECT dense_rank() OVER (ORDER BY id) - 1 AS id, seq FROM traj", lambda t: C.relabel(t).select("id", "seq"))
 
 
@@ -478,11 +449,11 @@ def piecewise_lerp(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "temporal_lerp",
-    O.field("SELECT a.j * 16 + a.i AS key, a.t + 0.25 AS tq, ROUND(0.75 * a.f + 0.25 * b.f, 6) AS value FROM field a JOIN field b ON a.i = b.i AND a.j = b.j AND b.t = a.t + 1 WHERE a.t % 5 = 0"),
+    O.field("SELECT a.j * 16 + a.i AS key, a.t + 0.25 AS tq, ROUND(0.75 * a.f + 0.25 * b.f, 6) AS value FROM field a JOIN field b ON a.i = b.i AND a.j = b.j AND b.t = a.t + 1"),
 )
 def temporal_lerp(spark: SparkSession, d: str) -> DataFrame:
     f = field2dt(spark, d).select((F.col("j") * 16 + F.col("i")).cast("long").alias("key"), "t", "f")
-    q = f.where("t % 5 = 0 and t < 27").select("key", (F.col("t") + 0.25).alias("tq"))
+    q = f.where("t < 27").select("key", (F.col("t") + 0.25).alias("tq"))
     return U.temporal_lerp(q, f).withColumn("value", _r("value"))
 
 
@@ -492,23 +463,6 @@ def mesh_edges(spark: SparkSession, d: str) -> DataFrame:
     return U.faces(U.structured_triangles(spark, 9, 7)[1], 2)
 
 
-@query("mesh_extruded")
-def mesh_extruded(spark: SparkSession, d: str) -> DataFrame:
-    return U.extrude(U.structured_triangles(spark, 9, 7)[1], 63, 4)
-
-
-@query("mesh_smoothing")
-def mesh_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    v, _ = U.structured_triangles(spark, 12, 12)
-    return U.smooth(S.woven_on(v, [0.1, 0.2]), U.smoothing_kernel(v, 0.1))
-
-
-@query("mesh_gradient")
-def mesh_gradient(spark: SparkSession, d: str) -> DataFrame:
-    v, t = U.structured_triangles(spark, 12, 12)
-    return U.gradient(v, t, S.woven_on(v, [0.1, 0.2]))
-
-
 def _mesh_points(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     v, t = U.structured_triangles(spark, 12, 12)
     f = S.moving_extremum_on(v, (0.41, 0.43), (0.02, 0.02), 5, gradient=True).join(v, "vid")
@@ -524,20 +478,7 @@ def mesh_curves(spark: SparkSession, d: str) -> DataFrame:
     return U.track(G.materialize(p, "points"), t, 144, 5)
 
 
-@query("mesh_location")
-def mesh_location(spark: SparkSession, d: str) -> DataFrame:
-    v, t = U.structured_triangles(spark, 12, 12)
-    p = spark.range(200).select(F.col("id").alias("pid"), ((F.col("id") * 37 % 199) / 199.0).alias("px"), ((F.col("id") * 91 % 197) / 197.0).alias("py"))
-    return U.locate(p, v, t, 0.1)
-
-
 # particles
-@query("particles")
-def particles(spark: SparkSession, d: str) -> DataFrame:
-    f = S.grid(spark, (21, 21), 3).withColumns({"u": -(F.col("j") - 10.0) * 0.3, "v": (F.col("i") - 10.0) * 0.3})
-    return P.trace_particles(f, P.seed_points(spark, [(14.0, 10.0), (10.0, 6.0)]), (21, 21), 3)
-
-
 @query("particles_double_gyre")
 def particles_double_gyre(spark: SparkSession, d: str) -> DataFrame:
     f = S.double_gyre(spark, 64, 32, 6).withColumns({"u": F.col("u") * 31.5 * 0.1, "v": F.col("v") * 31.0 * 0.1})
@@ -547,3 +488,8 @@ def particles_double_gyre(spark: SparkSession, d: str) -> DataFrame:
 def ENTRY(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
     """The flagship: field view, gradient, critical points, components, curves with statistics."""
     return C.statistics(G.trace(_hits(spark, d), DOMAIN, 2), ("x", "y", "scalar"))
+
+
+from . import more as _more  # noqa: E402, F401  (registers further queries)
+
+ORACLES.update(O.LATER)

@@ -6,12 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK_DIR = "/tmp/checkpoints/driftmesh"
+LOCAL_DIR = "/tmp/checkpoints/driftmesh"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` if the session names one, else a local default for tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """``spark.checkpoint.dir``. Only a session whose driver and executors are one process may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not _one_process(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")
+
+
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
