@@ -2,9 +2,10 @@
 
 The flow network has one node per old and per new shard; keeping bytes in place costs nothing, moving a
 byte costs one. Its solution says how many bytes of each old shard go to each new one. Documents of an old
-shard stand in one hashed order, and the flow cuts that line into intervals. The smallest documents are held back
-as filler: a second flow deals them into what the first pass left of each capacity, so
-sizes end up nearly equal although documents differ in length. Only per-shard sums reach the driver.
+shard stand in one hashed order, and the flow cuts that line into intervals. One flow decides over all bytes; of
+two cheapest ones it takes that which moves fewer bytes of large documents. As documents are whole, the large ones of a
+shard miss their bytes a little. The smallest documents are therefore dealt after them: their part of the flow is
+solved again for what the large ones really left of each capacity, so sizes end up nearly equal. Only per-shard sums reach the driver.
 """
 
 from __future__ import annotations
@@ -83,6 +84,14 @@ def _moves(supply: dict[int, int], room: list[int], n_old: int) -> list[list[int
     return min_cost_flow(have, room, [[int(i != j) for j in range(len(room))] for i in range(n_old)])
 
 
+def _cheapest(supply: list[dict[int, int]], capacity: list[int], n_old: int) -> list[list[int]]:
+    """Flow of all bytes, with rows for each old shard's large documents, then for its filler."""
+    have = [kind.get(i, 0) for kind in supply for i in range(n_old)]
+    moved = sum(have) + 1  # a byte that moves costs more than all that the choice between kinds can save
+    cost = [[(i != j) * (moved + (kind == 0)) for j in range(len(capacity))] for kind in (0, 1) for i in range(n_old)]
+    return min_cost_flow(have, capacity, cost)
+
+
 def _intervals(flow: list[list[int]], filler: int, at: Column) -> list[tuple[Column, int]]:
     """(condition, new shard): a document goes where the middle of its bytes falls; kept bytes come first."""
     out = []
@@ -103,8 +112,9 @@ def reshard(
 
     ``old`` gives each row's old shard, 0 to ``n_old - 1`` (null: 0). A row's size is its text's UTF-8 bytes plus
     eight; null texts have none. Files hold ``doc_id, text, size, slot`` under ``shard=N``; slots
-    are gapless in each shard. ``only_affected`` leaves out shards that neither give nor get a byte. Null ids and
-    repeated rows are dealt like any other; the id and text columns alone are read.
+    are gapless in each shard. ``only_affected`` leaves out shards that neither give nor get a byte: their old files stand. Null ids and
+    repeated rows are dealt like any other, equal texts too; the id and text columns alone are read. A document larger
+    than a shard's share fills its shard alone or nearly so. No rows give no files.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES
@@ -141,8 +151,8 @@ def reshard(
     supply: list[dict[int, int]] = [{}, {}]
     for r in sums.groupBy("old", "filler").agg(F.sum("s").alias("s")).collect():
         supply[r.filler][r.old] = r.s
-    capacity, big = _equal(total, n_new), sum(supply[0].values())
-    first = _moves(supply[0], [c * big // max(1, total) for c in capacity], n_old)
+    capacity = _equal(total, n_new)
+    first = _cheapest(supply, capacity, n_old)[:n_old]
     chain = _intervals(first, 0, F.col("mid"))
     got = {r.shard: r.s for r in placed.where("filler = 0").groupBy(_cases(chain).alias("shard")).agg(F.sum("size").alias("s")).collect()}
     second = _moves(supply[1], [max(0, c - got.get(j, 0)) for j, c in enumerate(capacity)], n_old)
