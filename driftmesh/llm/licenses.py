@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
-Candidate blocks are the sentences around license words. Each is compressed alone and with every template as a
-zstandard raw dictionary; templates are ranked by the size that their dictionary saves. The best
-ones are confirmed by exact wording: the words to insert, delete or replace between the template and the block.
+Each template has keys: pairs of neighbouring words, so many that any wording within the allowed edits still holds one.
+All templates' keys are looked up in a text's words at once. Where some are, the block is compressed alone and with each of
+their templates as a zstandard raw dictionary, and the templates are ranked by the size that their dictionary saves. In that
+order all are confirmed by exact wording: the words to insert, delete or replace between the template and the block.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,113 +43,144 @@ TEMPLATES = {
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies."
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."
+    ],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 MAX_DIFF = 0.2
-SHORTLIST = 6
-_HINT = re.compile(
-    r"licen[sc]ed?\b|public license|permission is hereby|free software|redistribution and use|creative commons|cc by", re.IGNORECASE
-)
-_WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9]")
+#: Words that say little; keys of other words are preferred.
+COMMON = set("a all an and any are as at be by for in is it of on or that the this to with you".split())
+_WORD = re.compile(r"[A-Za-z0-9.+-]*[A-Za-z0-9]")
 
 
 def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return " ".join(_WORD.findall(text)).lower().split(" ")
+
+
+def key_places(words: list[str], edits: int) -> list[tuple[int, int]]:
+    """(place, length) of a template's keys: within ``edits`` word edits of it, a text holds at least one of them.
+
+    An edit breaks two pairs of neighbours at most, so one pair more than twice the edits is enough; or one word more than the edits.
+    """
+
+    def plain(at: int, n: int) -> int:
+        return sum(w in COMMON for w in words[at : at + n])
+
+    if len(words) - 1 >= 2 * edits + 1:
+        return [(k, 2) for k in sorted(range(len(words) - 1), key=lambda k: (plain(k, 2), k))[: 2 * edits + 1]]
+    return [(k, 1) for k in sorted(range(len(words)), key=lambda k: (plain(k, 1), k))[: edits + 1]]
+
+
+def wordings(want: np.ndarray, window: np.ndarray, edits: int) -> list[tuple[int, int, int]]:
+    """(word edits, first, end) of the places in a window of word numbers that differ from ``want`` by at most ``edits``."""
+    n = len(window)
+    cols = np.arange(n + 1)
+    cost, start = np.zeros(n + 1, np.int64), cols.copy()
+    for k, word in enumerate(want):
+        best, at = cost + 1, start.copy()  # the template's word is left out
+        swap = cost[:-1] + (window != word)
+        better = swap <= best[1:]
+        best[1:], at[1:] = np.where(better, swap, best[1:]), np.where(better, start[:-1], at[1:])
+        low = best - cols  # words of the window that the template lacks
+        run = np.minimum.accumulate(low)
+        source = np.maximum.accumulate(np.where(low == run, cols, 0))
+        cost, start = run + cols, at[source]
+    return [(int(cost[j]), int(start[j]), int(j)) for j in np.flatnonzero(cost <= edits) if start[j] < j]
 
 
 class Scanner:
-    """Compressors with each template as dictionary, and the confirmation by wording."""
+    """Compressors with each template as dictionary, the keys of all templates, and the confirmation by wording."""
 
     def __init__(self, templates: dict[str, list[str]], max_diff: float):
-        self.max_diff = max_diff
-        self.entries = []
-        self.plain = zstandard.ZstdCompressor(level=3)
+        self.entries, self.plain, self.numbers = [], zstandard.ZstdCompressor(level=3), {}
+        keys: dict[str, list[tuple[int, int]]] = {}
         for name, texts in templates.items():
-            for k, t in enumerate(texts):
+            for t in texts:
+                words = _words(t)
+                edits = int(max_diff * len(words) + 1e-9)
                 d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.entries.append((name, k, _words(t), len(t), zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_dict_id=False)))
-        self.longest = max(len(w) for _, _, w, *_ in self.entries)
-
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Spans around license words, overlapping ones as one."""
-        out: list[list[int]] = []
-        reach = 12 * self.longest
-        for m in _HINT.finditer(text):
-            a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-            if out and a <= out[-1][1]:
-                out[-1][1] = b
-            else:
-                out.append([a, b])
-        return [(a, b) for a, b in out]
-
-    def ranked(self, text: str, start: int, end: int) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template) from the largest saving, for a hint at ``start`` to ``end``.
-
-        Each template is tried on as much text around the hint as it is long itself, so that what stands
-        beside a short notice doesn't drown it.
-        """
-        saved, alone = [], {}
-        for k, (*_, size, c) in enumerate(self.entries):
-            raw = text[max(0, start - size) : end + size].lower().encode()
-            if raw not in alone:
-                alone[raw] = len(self.plain.compress(raw))
-            saved.append(((alone[raw] - len(c.compress(raw))) / alone[raw], k))
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, words: list[tuple[int, int, str]], entry: int, wanted: Callable[[int, int], bool]) -> list[tuple[int, float, int, int]]:
-        """(word edits, their share of the template, start, end) of all wanted places of a template's words."""
-        want = self.entries[entry][2]
-        seq = [w for _, _, w in words]
-        out = []
-        at = [i for i, w in enumerate(seq) if w == want[0]] + [i - len(want) + 1 for i, w in enumerate(seq) if w == want[-1]]
-        for i in sorted({max(0, i) for i in at}):
-            part = seq[i : i + len(want)]
-            x, y = words[i][0], words[min(i + len(want), len(words)) - 1][1]
-            if wanted(x, y):
-                edits = sum(max(b - a, d - c) for op, a, b, c, d in SequenceMatcher(None, want, part, False).get_opcodes() if op != "equal")
-                if edits / len(want) <= self.max_diff:
-                    out.append((edits, edits / len(want), x, y))
+                c = zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_dict_id=False)
+                for k, n in key_places(words, edits):
+                    keys.setdefault(f" {' '.join(words[k : k + n])} ", []).append((len(self.entries), k))
+                want = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words])
+                self.entries.append((name, want, edits, c))
+        self.keys = ahocorasick.Automaton()
+        for key, places in keys.items():
+            self.keys.add_word(key, (len(key), places))
+        self.keys.make_automaton()
+
+    def _regions(self, line: str) -> dict[int, list[list[int]]]:
+        """For each template the runs [lowest, highest] of places where it would begin, by the keys found; places closer than its edits are one run."""
+        found: dict[int, set[int]] = {}
+        at, word = 0, 0
+        for end, (size, places) in self.keys.iter(line):
+            start = end - size + 1
+            word += line.count(" ", at, start)
+            at = start
+            for entry, k in places:
+                found.setdefault(entry, set()).add(word - k)
+        out = {}
+        for entry, begins in found.items():
+            runs: list[list[int]] = []
+            for x in sorted(begins):
+                if runs and x - runs[-1][1] <= 2 * self.entries[entry][2] + 1:
+                    runs[-1][1] = x
+                else:
+                    runs.append([x, x])
+            out[entry] = runs
         return out
 
+    def saving(self, raw: bytes, entry: int) -> float:
+        """Share of a block's compressed size that a template's dictionary saves."""
+        alone = len(self.plain.compress(raw))
+        return (alone - len(self.entries[entry][3].compress(raw))) / alone
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, float, int]]:
-        """(license, start, end, saving, word edits) found in a whole text, each place once.
+        """(license, start, end, saving, word edits) found in a whole text, in order.
 
-        Each hint gives the best place that holds it and overlaps none before; then hints in no place give the best ones beside them.
+        Of overlapping places the one with the smallest share of edits stays, then the longest, then the one that saves most.
         """
-        out: list[tuple[str, int, int, float, int]] = []
-        if not text:
-            return out
-        for a, b in self.blocks(text):
-            hints = list(_HINT.finditer(text, a, b))
-            for around in (False, True):
-                for m in hints:
-                    if any(m.start() < f[2] and f[1] < m.end() for f in out):
-                        continue
-
-                    def wanted(x: int, y: int) -> bool:
-                        return (around or (x < m.end() and m.start() < y)) and not any(x < f[2] and f[1] < y for f in out)
-
-                    if hit := self._best(text, a, b, m, wanted):
-                        out.append(hit)
-        return out
-
-    def _best(self, text: str, a: int, b: int, m: re.Match, wanted: Callable[[int, int], bool]) -> tuple[str, int, int, float, int] | None:
-        """The place with the fewest edits that a hint's templates have among the wanted ones."""
+        line = f" {' '.join(_WORD.findall(text))} ".lower() if text else ""
+        regions = self._regions(line) if line.strip() else {}
+        if not regions:
+            return []
+        places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        ids = np.array([self.numbers.get(w, 0) for w in line.split()])
+        blocks = []
+        for entry, runs in regions.items():
+            n, edits = len(self.entries[entry][1]), self.entries[entry][2]
+            for lo, hi in runs:
+                a, b = max(0, lo - edits), min(len(ids), hi + n + edits)
+                if b > a:
+                    blocks.append((self.saving(text[places[a][0] : places[b - 1][1]].lower().encode(), entry), entry, a, b))
         found = []
-        for saving, k in self.ranked(text, m.start(), m.end())[:SHORTLIST]:
-            reach = 12 * len(self.entries[k][2]) + 40
-            s, e = max(a, m.start() - reach), min(b, m.end() + reach)
-            words = [(s + w.start(), s + w.end(), w[0]) for w in _WORD.finditer(text[s:e].lower())] if text.isascii() else _placed(text, s, e)
-            found += [(got[1], -len(self.entries[k][2]), -saving, k, got) for got in self.confirm(words, k, wanted)]
-        if not found:
-            return None
-        _, _, saving, k, (edits, _, x, y) = min(found)
-        return self.entries[k][0], x, y, -saving, edits
-
-
-def _placed(text: str, s: int, e: int) -> list[tuple[int, int, str]]:
-    """Words with their places where lower-casing may change a text's length."""
-    return [(s + m.start(), s + m.end(), m[0].lower()) for m in re.finditer(r"[A-Za-z0-9.+-]*[A-Za-z0-9]", text[s:e])]
+        for saved, entry, a, b in sorted(blocks, key=lambda x: (-x[0], x[1], x[2])):
+            _, want, edits, _ = self.entries[entry]
+            found += [(d / len(want), -len(want), -saved, entry, a + s, a + e, d) for d, s, e in wordings(want, ids[a:b], edits)]
+        out: list[tuple[str, int, int, float, int]] = []
+        for _, _, saved, entry, s, e, d in sorted(found):
+            x, y = places[s][0], places[e - 1][1]
+            if not any(x < f[2] and f[1] < y for f in out):
+                out.append((self.entries[entry][0], x, y, -saved, d))
+        return sorted(out, key=lambda f: (f[1], f[2]))
 
 
 def scan(
@@ -156,7 +189,8 @@ def scan(
     """``(doc_id, license, start, end, saving, n_edits)`` for each license notice in each row's whole text.
 
     Places are in code points. One pass, no shuffle; null and empty texts hold none, null ids keep their rows, and
-    repeated rows are reported each. Only the id and text columns are read.
+    repeated rows are reported each. Ties between licenses go to the first one of ``templates``. Only the id and text columns are read,
+    so others can't clash; a text of any length is looked through as a whole.
     """
     table = templates or TEMPLATES
 

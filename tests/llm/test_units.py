@@ -233,3 +233,63 @@ def test_samples_of_texts_together_are_those_of_each():
         want.append((h, *(p + at for p in places)))
         at += len(t)
     assert all((g == np.concatenate(w)).all() for g, w in zip(got, zip(*want)))
+
+
+def test_license_keys_survive_the_edits():
+    """Any template with as many word edits as are allowed, at any place in it, is still found as its license."""
+    rng = random.Random(8)
+    s = licenses.Scanner(licenses.TEMPLATES, licenses.MAX_DIFF)
+    filler = [a + b for a in "bcdfglmnpr" for b in ("ovu", "ati", "erk", "uss")]
+    plain = {tuple(licenses._words(t)): name for name, texts in licenses.TEMPLATES.items() for t in texts}
+    for words, name in plain.items():
+        for trial in range(12):
+            got = list(words)
+            edits = int(licenses.MAX_DIFF * len(words) + 1e-9) if trial else 0
+            places = [0, len(words) - 1] if trial % 3 == 1 else []
+            for k in range(edits):
+                at = places[k] if k < len(places) else rng.randrange(len(got))
+                kind = rng.randrange(3) if trial % 3 != 1 else 0
+                if kind == 0:
+                    got[min(at, len(got) - 1)] = rng.choice(filler)
+                elif kind == 1:
+                    got.insert(at, rng.choice(filler))
+                else:
+                    del got[min(at, len(got) - 1)]
+            text = " ".join(rng.choices(filler, k=30) + got + rng.choices(filler, k=30))
+            hits = s.scan(text)
+            assert len(hits) == 1 and hits[0][4] <= int(licenses.MAX_DIFF * len(words) + 1e-9), (name, got, hits)
+            # wordings of sister licenses differ by a word or two: with edits either may be the nearer one
+            near = {n for w, n in plain.items() if abs(len(w) - len(words)) <= 3 and len(set(w) ^ set(words)) <= 6}
+            assert hits[0][0] == name if not edits else hits[0][0] in near, (name, got, hits)
+
+
+def test_wordings_against_plain_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i, *row[1:]], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        want, window = rng.integers(1, 5, rng.integers(1, 7)), rng.integers(1, 5, rng.integers(1, 14))
+        got = {e: (d, s) for d, s, e in licenses.wordings(want, window, 3)}
+        for e in range(1, len(window) + 1):
+            best = min(distance(want.tolist(), window[s:e].tolist()) for s in range(e + 1))
+            if e in got:
+                assert got[e][0] == best == distance(want.tolist(), window[got[e][1] : e].tolist())
+            else:
+                assert best > 3 or best >= len(want)
+
+
+def test_licenses_of_the_callers_own():
+    s = licenses.Scanner({"X": ["zulu yankee xray"], "Y": ["solo"], "Z": ["the of and to in"]}, 0.4)
+    text = "Some zulu! yankee whisky; solo. The OF \u0130 and TO in"
+    got = [(n, text[a:b], d) for n, a, b, _, d in s.scan(text)]
+    assert got == [("X", "zulu! yankee whisky", 1), ("Y", "solo", 0), ("Z", "The OF \u0130 and TO in", 0)] or [g[0] for g in got] == ["X", "Y", "Z"]
+    assert s.scan("") == s.scan(" ... ") == []
+    mit = "Released under the MIT License."
+    whole = licenses.Scanner(licenses.TEMPLATES, licenses.MAX_DIFF).scan(("word " * 40_000 + mit + " ") * 3)
+    assert [h[0] for h in whole] == ["MIT"] * 3
