@@ -3,7 +3,11 @@
 Two passes over the documents, neither of which shuffles a text. The first counts in how many documents
 each seed (word 3-gram of a test item) stands. Each item keeps the rarer part of its seeds, relative to
 its own others, so a passage that leaked into a third of all documents still has seeds. The second finds
-kept seeds, places windows around them by diagonal and aligns item and window word by word.
+kept seeds, places windows around them by diagonal and aligns item and window word by word. Items of fewer than
+``MIN_WORDS`` words have too few seeds for that: they are looked up word for word.
+
+The seeds and postings of the test items are dealt out in blocks of at most ``BLOCK_BYTES`` characters, each broadcast: that
+is the side whose size is checked, and a larger test set costs a pass over the texts for each further block.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from pyspark.sql import functions as F
 GRAM = 3
 MIN_WORDS = 5
 RARE_SHARE = 0.75
-MIN_SEEDS = 8
+MIN_SEEDS = 24
 MIN_SCORE = 0.5
 BLOCK_BYTES = 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64).view(np.int64)
 _WORD = re.compile(r"\w+")
 
 
@@ -61,16 +66,19 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, str]]):
         texts: dict[tuple[str, ...], list[int | None]] = {}
+        short: dict[tuple[str, ...], list[int | None]] = {}
         for name, text in rows:
             w = tuple(words_of(text))
-            if len(w) >= MIN_WORDS:
-                texts.setdefault(w, []).append(name)
-        self.names = list(texts.values())
+            if w:
+                (texts if len(w) >= MIN_WORDS else short).setdefault(w, []).append(name)
+        self.names = [*texts.values(), *short.values()]
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in t], np.int64) for t in texts]
-        self.base = len(self.vocab) + 1
-        if self.base >= 1 << 21:
-            raise ValueError("a block of items has too many different words")
+        self.short: dict[int, list[tuple[int, np.ndarray]]] = {}  # by its first word: (number, words)
+        for k, t in enumerate(short, len(texts)):
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in t], np.int64)
+            self.short.setdefault(int(ids[0]), []).append((k, ids))
+        self.heads = np.array(sorted(self.short), np.int64)
         codes = [self.codes(w) for w in self.words]
         self.seeds = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -84,7 +92,8 @@ class Items:
         self.first = np.searchsorted(self.seed, np.arange(len(self.seeds) + 1))
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
-        return (ids[:-2] * self.base + ids[1:-1]) * self.base + ids[2:]
+        """Numbers of the 3-grams; should two ever share one, the seed is tried in vain at worst, as alignment decides."""
+        return (ids[:-2] * _MIX[0] ^ ids[1:-1] * _MIX[1]) * _MIX[2] + ids[2:]
 
     def keep_rare(self, df: np.ndarray) -> None:
         """Drop from each item its more frequent seeds; ties stay."""
@@ -105,7 +114,7 @@ class Items:
             return ids, np.empty(0, np.int64), np.empty(0, np.int64)
         known = ids > 0
         at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
-        code = (ids[at] * self.base + ids[at + 1]) * self.base + ids[at + 2]
+        code = (ids[at] * _MIX[0] ^ ids[at + 1] * _MIX[1]) * _MIX[2] + ids[at + 2]
         k = np.searchsorted(self.seeds, code)
         k[k == len(self.seeds)] = 0
         ok = self.seeds[k] == code
@@ -114,11 +123,12 @@ class Items:
     def leaks(self, text: str | None, min_score: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, end word, seeds) of each item that a text holds."""
         ids, at, seed = self.hits(text)
+        verbatim = self._verbatim(ids)
         if not len(at):
-            return []
+            return verbatim
         n = self.first[seed + 1] - self.first[seed]
         if not n.sum():
-            return []
+            return verbatim
         post = np.repeat(self.first[seed] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         item, place, where, which = self.item[post], self.place[post], np.repeat(at, n), np.repeat(seed, n)
         diag = where - place
@@ -132,14 +142,34 @@ class Items:
         for a, b in zip(edges[:-1], edges[1:]):
             k = int(item[a])
             m, found = int(sizes[k]), len(set(which[a:b].tolist()))
-            if found < 2 and m - GRAM + 1 >= 4:
-                continue
             lo = max(0, int(diag[a]) - int(slack[k]))
             window = ids[lo : int(diag[b - 1]) + m + int(slack[k])]
+            # no alignment scores more than its matches, and a word matches no more often than it stands in both
+            if found < 3 and self._shared(k, window) < min_score * m:
+                continue
             score, s, e = align(self.words[k], window)
             got = (k, score / (MATCH * m), lo + s, lo + e, found)
             if got[1] >= min_score and (k not in out or got[1] > out[k][1]):
                 out[k] = got
+        return [*out.values(), *verbatim]
+
+    def _shared(self, item: int, window: np.ndarray) -> int:
+        """How many words an item and a window have in common, each as often as it stands in both."""
+        words, n = np.unique(self.words[item], return_counts=True)
+        at = np.searchsorted(words, window)
+        at[at == len(words)] = 0
+        there = np.bincount(at[words[at] == window], minlength=len(words))
+        return int(np.minimum(n, there).sum())
+
+    def _verbatim(self, ids: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """The short items that stand in a text word for word, each at its first place."""
+        if not len(self.heads) or not len(ids):
+            return []
+        out: dict[int, tuple[int, float, int, int, int]] = {}
+        for at in np.flatnonzero(np.isin(ids, self.heads)).tolist():
+            for k, words in self.short[int(ids[at])]:
+                if k not in out and at + len(words) <= len(ids) and (ids[at : at + len(words)] == words).all():
+                    out[k] = (k, 1.0, at, at + len(words), 0)
         return list(out.values())
 
 
@@ -161,7 +191,7 @@ def _prepared(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
     out = []
     for rows in _blocks(items, item_id, item_text):
         block = Items(rows)
-        if not len(block.seeds):
+        if not block.names:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -194,8 +224,9 @@ def find_leaks(
     """``(doc_id, item_id, score, start_word, end_word, n_seeds)`` for each document row and item it holds.
 
     ``score`` is the best local alignment's share of the item's own, 0 to 1; words are runs of word
-    characters, lower-cased. Null and empty texts hold nothing; items of fewer than ``MIN_WORDS`` words
-    are too short to tell and never reported; equal items are each reported; repeated rows stay repeated.
+    characters, lower-cased. Null and empty texts hold nothing, and so do items without a word. Items of fewer than ``MIN_WORDS`` words
+    are found word for word alone (score 1, no seeds, the first place). Equal items are each reported, repeated rows stay repeated,
+    null ids keep their rows. Of equally good alignments the first in the text is given. Only the named columns are read.
     """
     prepared = _prepared(docs, items, text_col, item_id, item_text)
 

@@ -217,6 +217,64 @@ def test_decontamination(spark, none):
     assert decontam.drop_leaks(docs, items.where("item_id < 0")).count() == len(texts)
 
 
+def brute_leaks(texts, items, least):
+    """Every text against every item by the full alignment table; short items word for word."""
+    out = set()
+    for d, text in texts:
+        tw = decontam.words_of(text)
+        for i, item in items:
+            iw = decontam.words_of(item)
+            if not iw or not tw:
+                continue
+            if len(iw) < decontam.MIN_WORDS:
+                if any(tw[k : k + len(iw)] == iw for k in range(len(tw))):
+                    out.add((d, i, 1.0))
+                continue
+            row, best = [0] * (len(tw) + 1), 0
+            for w in iw:
+                last, row = row, [0] * (len(tw) + 1)
+                for k, x in enumerate(tw, 1):
+                    row[k] = max(0, last[k - 1] + (2 if x == w else -1), last[k] - 1, row[k - 1] - 1)
+                best = max(best, *row)
+            if best / (2 * len(iw)) >= least:
+                out.add((d, i, round(best / (2 * len(iw)), 9)))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Planted copies, with edits that leave a run of three words, and short items; scores are those of the full table."""
+    rng = random.Random(21)
+    items = [(k, words(rng, n)) for k, n in enumerate((12, 14, 20, 30, 40, 60, 5, 6))] + [(90, "one two three"), (91, "Alpha"), (92, None), (93, " . "), (90, "one two three"), (None, "seven eight")]
+    texts = []
+    for k in range(60):
+        name, item = items[k % 8]
+        got = item.split()
+        for at in rng.sample(range(3, len(got)), min(len(got) - 3, k // 12)):  # the first three words stay
+            got[at] = "other"
+        texts.append((k, words(rng, 40) + " " + " ".join(got) + " " + words(rng, 40)))
+    texts += [(100, "so one, two three!"), (101, "ALPHA"), (102, "one two"), (103, None), (104, ""), (None, "x seven eight y"), (100, "so one, two three!")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(texts, items, 0.5)
+    assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in got} == want
+    assert sum(r.doc_id == 100 for r in got) == 4  # two rows, two equal items
+    kept = sorted(str(r.doc_id) for r in decontam.drop_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert kept == sorted(str(d) for d, _ in texts if d not in {w[0] for w in want})
+
+
+def test_the_leaks_query(spark):
+    """The registered query on its tables: every score is that of the full table, and no verbatim item is missed."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    items = dict(spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect())
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in queries.QUERIES["op7_decontamination"](spark, DATA).collect()}
+    texts = dict(docs)
+    for (d, i), score in got.items():
+        assert (d, i, score) in brute_leaks([(d, texts[d])], [(i, items[i])], 0.5)
+    joined = {d: " " + " ".join(decontam.words_of(t)) + " " for d, t in texts.items()}
+    held = {(d, i) for i, t in items.items() for d, line in joined.items() if f" {' '.join(decontam.words_of(t))} " in line}
+    assert held and held <= set(got)
+
+
 def test_resharding(spark, docs, none, rows):
     path, flow = resharding.reshard(docs, F.col("doc_id") % 3, 3, 4)
     got = spark.read.parquet(path).collect()
