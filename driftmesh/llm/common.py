@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "/tmp/checkpoints/driftmesh"
+LOCAL_DIR = "/tmp/checkpoints/driftmesh"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or FALLBACK_DIR).rstrip("/")
+    """``spark.checkpoint.dir``. Only a session whose driver and executors are one process may leave it unset."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -74,10 +76,9 @@ def semi_join(left: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     so these are broadcast; all others are joined by a shuffle.
     """
     most = max(1000, left.count() // 1000)
-    hot = F.broadcast(counts.where(F.col("n") > most).select(*keys, F.lit(True).alias("__hot")))
-    marked = left.join(hot, keys, "left")
-    rest = marked.where("__hot is null").select(*left.columns).join(counts.where(F.col("n") <= most).select(*keys), keys, "left_semi")
-    return marked.where("__hot").select(*left.columns).unionByName(rest.select(*left.columns))
+    hot = F.broadcast(counts.where(F.col("n") > most).select(*keys))
+    rest = left.join(hot, keys, "left_anti").join(counts.where(F.col("n") <= most).select(*keys), keys, "left_semi")
+    return left.join(hot, keys, "left_semi").select(*left.columns).unionByName(rest.select(*left.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:

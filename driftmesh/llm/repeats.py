@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free
+from .common import cut, free, semi_join
 
 LENGTH = 400
 GRAM = 128
@@ -94,10 +94,11 @@ def _sliding_last_min(x: np.ndarray, w: int) -> np.ndarray:
     return (mask - (least & mask)).astype(np.int64)
 
 
-def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of one text's bytes: for each sample its gram's hash and place, and the strings (first, last start) it stands for.
+def samples(data: np.ndarray, length: int, gram: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """For each sample its gram's hash and place, and the strings (first, last start) it stands for.
 
-    Runs of strings with the same sample are contiguous. Texts are read in tiles that overlap by ``length - 1``.
+    ``data`` holds the bytes of one text, or of several that end at ``ends`` (at most ``TILE`` bytes in all); strings across two texts
+    don't count. Runs of strings with the same sample are contiguous. A long text is read in tiles that overlap by ``length - 1``.
     """
     h = _hasher(0)
     hashes, place, first, last = [], [], [], []
@@ -106,50 +107,51 @@ def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
         tile = data[at : at + TILE + length - 1]
         g = h.strings(h.prefix(tile), gram)
         least = _sliding_last_min(g, w)
-        new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        valid = np.ones(len(least), bool)
+        if ends is not None:
+            for back in ends[:-1]:
+                valid[max(0, back - length + 1) : back] = False
+        new = valid.copy()
+        new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+        stop = valid.copy()
+        stop[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
+        new = np.flatnonzero(new)
         hashes.append(g[least[new]])
         place.append(at + least[new])
         first.append(at + new)
-        last.append(at + np.append(new[1:], len(least)) - 1)
+        last.append(at + np.flatnonzero(stop))
     if not hashes:
         e = np.empty(0, np.int64)
         return np.empty(0, np.uint64), e, e, e
     return np.concatenate(hashes), np.concatenate(place), np.concatenate(first), np.concatenate(last)
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode(), np.uint8)
-
-
-def _covered(spans: list[tuple[int, int]], n: int, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that strings starting in the given (first, last) ranges cover."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + length)
-        else:
-            out.append([a, b + length])
-    return [(a, min(b, n)) for a, b in out]
-
-
 KEY = ["k1", "k2"]
 
 
 def _samples_of(length: int, gram: int):
+    def of(part: list[tuple[int, int, bytes]]) -> pd.DataFrame:
+        """The samples of texts, whose bytes are looked through together."""
+        sizes = np.array([len(x[2]) for x in part])
+        ends = np.cumsum(sizes)
+        h, place, first, last = samples(np.frombuffer(b"".join(x[2] for x in part), np.uint8), length, gram, ends if len(part) > 1 else None)
+        which = np.searchsorted(ends, first, "right")
+        back = (ends - sizes)[which]
+        k1, k2 = (np.array([x[k] for x in part], np.int64)[which] for k in (0, 1))
+        return pd.DataFrame({"k1": k1, "k2": k2, "h": h.view(np.int64), "g": place - back, "first": first - back, "last": last - back})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
         for pdf in frames:
-            for k1, k2, t in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"].tolist()):
-                h, place, first, last = samples(_bytes(t), length, gram)
-                if not len(h):
-                    continue
-                held.append(pd.DataFrame({"k1": k1, "k2": k2, "h": h.view(np.int64), "g": place, "first": first, "last": last}))
-                size += len(h)
-                if size > 20_000:
-                    yield pd.concat(held)
-                    held, size = [], 0
-        if held:
-            yield pd.concat(held)
+            part, size = [], 0
+            for k1, k2, t in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"]):
+                raw = (t or "").encode()
+                if part and size + len(raw) > TILE // 2:
+                    yield of(part)
+                    part, size = [], 0
+                part.append((k1, k2, raw))
+                size += len(raw)
+            if part:
+                yield of(part)
 
     return run
 
@@ -162,47 +164,89 @@ def _digest(*parts: bytes) -> tuple[int, int]:
 _BLOCK = "k1 long, k2 long, g int, lo int, hi int, c1 long, c2 long, r1 long, r2 long"
 
 
+def _beside_texts(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` ``(k1, k2, x, y, z)`` dealt out with the texts they belong to: each text's row comes first, then its own rows by x and y.
+
+    No list of a text's rows is ever built, so a task holds one text at a time.
+    """
+    head = texts.select(*KEY, *[F.lit(-1).alias(c) for c in "xyz"], "t")
+    return head.unionByName(rows.select(*KEY, *"xyz", F.lit(None).cast("string").alias("t"))).repartition(*KEY).sortWithinPartitions(*KEY, "x", "y")
+
+
+def _by_text(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes | None, np.ndarray]]:
+    """(k1, k2, bytes, rows x, y, z) of runs of rows that stand with one text; the bytes are None where a run goes on."""
+    for pdf in frames:
+        heads = pdf["t"].notna().to_numpy()
+        edges = np.unique(np.concatenate(([0], np.flatnonzero(heads), [len(pdf)])))
+        k1, k2, xyz, t = pdf["k1"].to_numpy(), pdf["k2"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(np.int64), pdf["t"]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            raw = t.iloc[a].encode() if heads[a] else None
+            yield int(k1[a]), int(k2[a]), raw, xyz[a + (raw is not None) : b]
+
+
 def _blocks_of(length: int, width: int, whole: int):
-    """Blocks of ``width`` offsets of each given block: the names of their surroundings and of their cores.
+    """Blocks of ``width`` offsets of each given block (g, lo, hi): the names of their surroundings and of their cores.
 
     An offset is a sample's place less a string's start; blocks are aligned to it, so equal strings fall
     into equal blocks even where a text's end cuts one short. ``whole`` is the number of offsets there are.
     """
+    names = ["k1", "k2", "g", "lo", "hi", "c1", "c2", "r1", "r2"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for k1, k2, t, blocks in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"].tolist(), pdf["blocks"]):
-                raw = (t or "").encode()
-                for b in blocks:
-                    g, lo, hi = int(b["g"]), int(b["lo"]), int(b["hi"])
-                    for q in range(lo // width, hi // width + 1):
-                        x, y = max(lo, q * width), min(hi, (q + 1) * width - 1)
-                        top = min((q + 1) * width, whole) - 1
-                        ctx = _digest(raw[g - y : g - x + length], b"%d:%d" % (x, y))
-                        core = _digest(raw[g - q * width : g - top + length], b"%d" % q) if width > 1 else ctx
-                        rows.append((k1, k2, g, x, y, *ctx, *core))
+        rows, raw = [], b""
+        for k1, k2, text, xyz in _by_text(frames):
+            raw = raw if text is None else text
+            for g, lo, hi in xyz.tolist():
+                for q in range(lo // width, hi // width + 1):
+                    x, y = max(lo, q * width), min(hi, (q + 1) * width - 1)
+                    top = min((q + 1) * width, whole) - 1
+                    ctx = _digest(raw[g - y : g - x + length], b"%d:%d" % (x, y))
+                    core = _digest(raw[g - q * width : g - top + length], b"%d" % q) if width > 1 else ctx
+                    rows.append((k1, k2, g, x, y, *ctx, *core))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["k1", "k2", "g", "lo", "hi", "c1", "c2", "r1", "r2"])
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=["k1", "k2", "g", "lo", "hi", "c1", "c2", "r1", "r2"])
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
 def _kept_of(length: int):
+    """What is left of each text without the strings that start in its rows (first, last, -)."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for k1, k2, t, rs in zip(pdf["k1"].tolist(), pdf["k2"].tolist(), pdf["t"].tolist(), pdf["runs"]):
-                raw = (t or "").encode()
-                spans = _covered([(int(r["first"]), int(r["last"])) for r in rs], len(raw), length)
-                kept, at = hashlib.sha256(), 0
-                for a, b in spans:
-                    kept.update(raw[at:a])
-                    at = b
-                kept.update(raw[at:])
-                rows.append((k1, k2, sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [x for s in spans for x in s]))
+        rows, now = [], None
+
+        def end() -> None:
+            k1, k2, raw, spans = now
+            if not spans:
+                return
+            kept, at = hashlib.sha256(), 0
+            for a, b in spans:
+                kept.update(raw[at:a])
+                at = b
+            kept.update(raw[at:])
+            rows.append((k1, k2, sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [x for s in spans for x in s]))
+
+        for k1, k2, text, xyz in _by_text(frames):
+            if text is not None:
+                if now:
+                    end()
+                now = (k1, k2, text, [])
+            spans = now[3]
+            for a, b, _ in xyz.tolist():
+                b = min(b + length, len(now[2]))
+                if spans and a <= spans[-1][1]:
+                    spans[-1] = spans[-1][0], max(spans[-1][1], b)
+                else:
+                    spans.append((a, b))
+            if len(rows) > 5_000:
+                yield pd.DataFrame(rows, columns=["k1", "k2", "removed", "n_spans", "kept", "spans"])
+                rows.clear()
+        if now:
+            end()
+        if rows:
             yield pd.DataFrame(rows, columns=["k1", "k2", "removed", "n_spans", "kept", "spans"])
 
     return run
@@ -223,39 +267,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     long_enough = rows.where(F.octet_length("t") >= length)
 
     # 1: a sampled gram that stands in one place only names no repeat
-    sampled = cut(long_enough.select("k1", "k2", "t").mapInPandas(_samples_of(length, gram), "k1 long, k2 long, h long, g int, first int, last int"), "repeats")
-    met = sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    blocks = (
-        sampled.join(met, "h", "left_semi")
-        .groupBy(*KEY)
-        .agg(F.collect_set(F.struct("g", (F.col("g") - F.col("last")).alias("lo"), (F.col("g") - F.col("first")).alias("hi"))).alias("blocks"))
-    )
-    distinct = long_enough.groupBy(*KEY).agg(F.first("t").alias("t"), F.count("*").alias("copies"))
-    texts = cut(distinct.join(blocks, KEY), "repeats")
+    distinct = cut(long_enough.groupBy(*KEY).agg(F.first("t").alias("t"), F.count("*").alias("copies")), "repeats")
+    sampled = cut(distinct.select(*KEY, "t").mapInPandas(_samples_of(length, gram), "k1 long, k2 long, h long, g int, first int, last int"), "repeats")
+    met = cut(sampled.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    todo = cut(semi_join(sampled, met, ["h"]).select(*KEY, "g", (F.col("g") - F.col("last")).alias("lo"), (F.col("g") - F.col("first")).alias("hi")), "repeats")
     free(sampled)
+    own = todo.select(*KEY).distinct().withColumn("met", F.lit(True))
+    texts = cut(distinct.join(own, KEY, "left").where("met or copies > 1").select(*KEY, "t", "copies"), "repeats")
+    free(distinct)
 
     # 2 and 3: names of ever smaller blocks of strings; the widest block's core is the gram
-    whole = length - gram + 1
-    todo, found = texts.select(*KEY, "t", "blocks"), []
+    whole, found = length - gram + 1, []
     for width in (whole, *(w for w in BLOCKS if w < whole)):
-        named = cut(todo.mapInPandas(_blocks_of(length, width, whole), _BLOCK), "repeats")
+        blocks = todo.select(*KEY, F.col("g").alias("x"), F.col("lo").alias("y"), F.col("hi").alias("z"))
+        named = cut(_beside_texts(texts, blocks).mapInPandas(_blocks_of(length, width, whole), _BLOCK), "repeats")
         names = cut(
             named.groupBy("r1", "r2", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "g", "lo", "hi")).alias("one")), "repeats"
         )
-        equal = named.join(names.where("n > 1").select("r1", "r2", "c1", "c2"), ["r1", "r2", "c1", "c2"], "left_semi")
-        found.append(equal.select(*KEY, (F.col("g") - F.col("hi")).alias("first"), (F.col("g") - F.col("lo")).alias("last")))
+        equal = semi_join(named, names.where("n > 1"), ["r1", "r2", "c1", "c2"])
+        found.append(cut(equal.select(*KEY, (F.col("g") - F.col("hi")).alias("x"), (F.col("g") - F.col("lo")).alias("y")), "repeats"))
+        free(named)
         if width > 1:
-            mixed = names.groupBy("r1", "r2").agg(F.count("*").alias("m")).where("m > 1").select("r1", "r2")
-            left = names.join(mixed, ["r1", "r2"], "left_semi").select("one.*")
-            left = left.groupBy(*KEY).agg(F.collect_list(F.struct("g", "lo", "hi")).alias("blocks"))
-            todo = texts.select(*KEY, "t").join(left, KEY)
-
-    copied = texts.where("copies > 1").select(*KEY, F.lit(0).alias("first"), (F.octet_length("t") - length).alias("last"))
-    marks = reduce(DataFrame.unionByName, found, copied).groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    kept = cut(
-        texts.select("k1", "k2", "t").join(marks, KEY).mapInPandas(_kept_of(length), "k1 long, k2 long, removed long, n_spans long, kept string, spans array<long>"),
-        "repeats",
-    )
+            mixed = cut(names.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+            todo = cut(semi_join(names.select("r1", "r2", "one"), mixed, ["r1", "r2"]).select("one.*"), "repeats")
+        free(names)
+
+    copied = texts.where("copies > 1").select(*KEY, F.lit(0).alias("x"), (F.octet_length("t") - length).alias("y"))
+    marks = reduce(DataFrame.unionByName, found, copied).withColumn("z", F.lit(0))
+    kept = cut(_beside_texts(texts, marks).mapInPandas(_kept_of(length), "k1 long, k2 long, removed long, n_spans long, kept string, spans array<long>"), "repeats")
+    free(texts)
     light = rows.select("doc_id", *KEY, F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
     return light.join(kept, KEY, "left").select(
         "doc_id",
