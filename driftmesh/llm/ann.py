@@ -88,11 +88,11 @@ class Tree:
             todo += [(kid, rows[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def search(self, q: np.ndarray, n_leaves: int) -> list[int]:
-        """The first leaves that best-bin-first traversal opens."""
+    def search(self, q: np.ndarray, n_leaves: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that best-bin-first traversal opens: ``n_leaves``, and more until they hold ``least`` vectors by ``counts``."""
         dist = ((self.centre - q) ** 2).sum(axis=1)
-        queue, out = [(dist[0], 0)], []
-        while queue and len(out) < n_leaves:
+        queue, out, held = [(dist[0], 0)], [], 0
+        while queue and (len(out) < n_leaves or (counts is not None and held < least)):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 kids = sorted(self.child[node], key=dist.__getitem__)
@@ -100,6 +100,7 @@ class Tree:
                     heapq.heappush(queue, (dist[kid], kid))
                 node = kids[0]
             out.append(self.leaf[node])
+            held += int(counts[out[-1]]) if counts is not None else 0
         return out
 
     def calibrate(self, x: np.ndarray, k: int, target: float) -> int:
@@ -146,8 +147,10 @@ def nearest(
 
     Nearness is the largest inner product in double precision, ties to the smaller id; a query's own id is no
     candidate. Vectors that are null, zero, of another length than the commonest, or with null or non-finite
-    components take no part; nor do null ids. Rows with one id are candidates each. Leaves are dealt in groups, and a
-    group with many vectors in several blocks, so a leaf that a third of all vectors share splits.
+    components take no part; nor do null ids. Rows with one id are candidates each, and queries that share one id are one query
+    with the candidates of all. Leaves are dealt in groups, and a group with many vectors in several blocks, so a leaf that a
+    third of all vectors share splits. Each query opens leaves until they hold ``k`` vectors besides its own, so none has
+    fewer than there are. Only the id and vector columns are read.
     """
     spark = vectors.sparkSession
     v = cut(usable(vectors, id_col, vec_col), "ann")
@@ -174,41 +177,61 @@ def nearest(
     group = np.arange(tree.n_leaves) * n_groups // tree.n_leaves
     blocks = [max(1, int(-(-count[group == g].sum() // BLOCK_ROWS))) for g in range(n_groups)]
 
+    # a query's own rows are no candidates; a table where an id repeats thousands of times just opens that many more
+    least = k + max((r["count"] for r in v.where(F.col("vec_id") % every == 0).groupBy("vec_id").count().orderBy(F.desc("count")).limit(1).collect()), default=0)
+
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for name, q in zip(pdf["vec_id"].tolist(), pdf["v"]):
-                leaves = np.array(shared.value.search(np.asarray(q), n_open))
+                leaves = np.array(shared.value.search(np.asarray(q), n_open, count, least))
                 for g in np.unique(group[leaves]):
-                    rows += [(int(g), b, name, q, leaves[group[leaves] == g]) for b in range(blocks[g])]
-            yield pd.DataFrame(rows, columns=["g", "b", "vec_id", "v", "leaves"])
+                    rows += [(int(g), b, 1, name, q, leaves[group[leaves] == g]) for b in range(blocks[g])]
+            yield pd.DataFrame(rows, columns=["g", "b", "kind", "vec_id", "v", "leaves"])
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.array(blocks)
         for pdf in frames:
             g = group[pdf["leaf"].to_numpy()]
             mixed = (pdf["vec_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield pdf.assign(g=g, b=(mixed % n[g].astype(np.uint64)).astype(np.int32))[["g", "b", "vec_id", "v", "leaf"]]
-
-    asked = v.where(F.col("vec_id") % every == 0).mapInPandas(ask, "g int, b int, vec_id long, v array<double>, leaves array<int>")
-    dealt = filed.mapInPandas(deal, "g int, b int, vec_id long, v array<double>, leaf int")
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        right = right.sort_values("leaf", kind="stable")
-        names, vs, leaf = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), right["leaf"].to_numpy()
-        out = []
-        for lo in range(0, len(left), 256):
-            part = left.iloc[lo : lo + 256]
-            approx = np.stack(part["v"].to_numpy()) @ vs.T
-            for row, own, q, leaves in zip(approx, part["vec_id"].tolist(), part["v"], part["leaves"]):
-                open_ = np.isin(leaf, leaves)
-                got, score = _top(np.asarray(q), vs, names, own, k, np.where(open_, row, -np.inf))
-                out.append(pd.DataFrame({"query_id": own, "vec_id": got, "score": score}))
-        return pd.concat(out)
-
-    found = asked.groupBy("g", "b").cogroup(dealt.groupBy("g", "b")).applyInPandas(block, schema)
+            b = (mixed % n[g].astype(np.uint64)).astype(np.int32)
+            yield pd.DataFrame({"g": g, "b": b, "kind": 0, "vec_id": pdf["vec_id"], "v": pdf["v"], "leaves": [[x] for x in pdf["leaf"].tolist()]})
+
+    row = "g int, b int, kind int, vec_id long, v array<double>, leaves array<int>"
+    asked = v.where(F.col("vec_id") % every == 0).mapInPandas(ask, row)
+    dealt = filed.mapInPandas(deal, row)
+
+    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Vectors of a block come first and are kept; its queries then pass by in batches, however many there are."""
+        now, parts, held = None, [], None
+        for pdf in frames:
+            key = pdf[["g", "b", "kind"]].to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            for a, z in zip(edges[:-1], edges[1:]):
+                if a == z:
+                    continue
+                part, place = pdf.iloc[a:z], tuple(key[a, :2])
+                if place != now:
+                    now, parts, held = place, [], None
+                if key[a, 2] == 0:
+                    parts.append((part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy()), np.array([x[0] for x in part["leaves"]])))
+                    continue
+                if not parts:
+                    continue
+                if held is None:
+                    names, vs, leaf = (np.concatenate(x) for x in zip(*parts))
+                    by = np.lexsort((names, leaf))
+                    held = names[by], vs[by], leaf[by]
+                names, vs, leaf = held
+                for lo in range(0, len(part), 256):
+                    some, out = part.iloc[lo : lo + 256], []
+                    approx = np.stack(some["v"].to_numpy()) @ vs.T
+                    for scores, own, q, leaves in zip(approx, some["vec_id"].tolist(), some["v"], some["leaves"]):
+                        got, score = _top(np.asarray(q), vs, names, own, k, np.where(np.isin(leaf, leaves), scores, -np.inf))
+                        out.append(pd.DataFrame({"query_id": own, "vec_id": got, "score": score}))
+                    yield pd.concat(out)
+
+    found = asked.unionByName(dealt).repartition("g", "b").sortWithinPartitions("g", "b", "kind").mapInPandas(block, schema)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -120,6 +120,39 @@ def test_nearest(spark):
     assert ann.nearest(empty).count() == 0
 
 
+def test_few_candidates_are_all_found(spark, monkeypatch):
+    """Clusters of three vectors, far apart: a query opens as many leaves as it needs for its twenty."""
+    monkeypatch.setattr(ann, "LEAF", 4)
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(40, 1, 5)) * 50 + rng.normal(size=(40, 3, 5)) * 0.01).reshape(-1, 5)
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(docs, target=0.01).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
+    assert [(r.n, r.r) for r in got] == [(20, 20)] * 6
+    few = ann.nearest(docs.where("vec_id < 9")).collect()
+    assert [(r["rank"], r.query_id) for r in sorted(few, key=lambda r: r["rank"])] == [(k, 0) for k in range(1, 9)]
+    assert ann.nearest(docs.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("data", [DATA, DATA.replace("sf0.001", "sf0.1")])
+def test_recall_of_the_query(spark, data):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{data}/embeddings.parquet")
+    names, x = np.array(t["vec_id"]), np.array(t["embedding"].to_pylist(), float)
+    rows = queries.QUERIES["op3_nearest"](spark, data).collect()
+    at = {n: k for k, n in enumerate(names.tolist())}
+    assert all(abs(r.score - x[at[r.query_id]] @ x[at[r.vec_id]]) < 1e-12 for r in rows)
+    found = total = 0
+    for k in np.flatnonzero(names % 20 == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        best = set(names[np.argsort(-s)[:20]].tolist())
+        mine = sorted((r for r in rows if r.query_id == names[k]), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21)) and all((a.score, -a.vec_id) >= (b.score, -b.vec_id) for a, b in zip(mine, mine[1:]))
+        found, total = found + len(best & {r.vec_id for r in mine}), total + len(best)
+    assert found >= 0.9 * total
+
+
 def test_recall_on_the_table(spark):
     import pyarrow.parquet as pq
 
