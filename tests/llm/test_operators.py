@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmesh.llm import ann, bpe, decontam, langid, licenses, queries, repeats, resharding, secrets, simhash, tokenio
+from driftmesh.llm import ann, bpe, decontam, langid, licenses, queries, repeats, resharding, secrets, simhash, suffixes, tokenio
 from tests.conftest import DATA
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h int, t string, k1 long"
@@ -94,6 +94,29 @@ def test_repeats_of_the_length_asked_for(spark):
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 400)
 
 
+@pytest.mark.parametrize("base", [10, 200_000])
+def test_difference_cover(spark, monkeypatch, base):
+    """Suffix ranks and repeats by the difference cover, through several levels of names and in one task."""
+    monkeypatch.setattr(suffixes, "BASE", base)
+    rng = random.Random(4)
+    for text in ("mississippi", "abab" * 6, "".join(rng.choice("ab") for _ in range(40))):
+        n = len(text)
+        symbols = spark.createDataFrame([(k, ord(c)) for k, c in enumerate(text)], "p long, s long")
+        got = dict(suffixes.suffix_ranks(symbols, n).select("p", "r").collect())
+        order = sorted(range(n), key=lambda k: text[k:])
+        assert [got[k] for k in order] == list(range(n)), text
+        if base == 10 and n > 30:
+            break
+    texts = ["the quick brown fox", "a quick brown dog", None, "", "zzzzzzzzz", "unique", "unique"]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, r int")
+    got = {tuple(r) for r in suffixes.repeated_starts(docs, 6).collect()}
+    at: dict = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t or "") - 5):
+            at.setdefault(t[i : i + 6], []).append((k, i))
+    assert got == {x for v in at.values() if len(v) > 1 for x in v}
+
+
 def test_the_repeats_query(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     got = {r[0]: tuple(r)[1:] for r in queries.QUERIES["op6_repeated_strings"](spark, DATA).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
