@@ -113,26 +113,20 @@ def trace_particles(
 
 
 def trace_particles_tiled(field: DataFrame, seeds: DataFrame, shape: tuple[int, ...], steps: int, per_step: int = 16, tile: int = 64, halo: int = 4, cols: tuple[str, ...] = ("u", "v", "w")) -> DataFrame:
-    """As ``trace_particles`` for fields of any size: particles meet the tile that they are in, once a step.
+    """As ``trace_particles`` for fields of any size: particles meet the tile that they are in, and its ``halo`` of points around.
 
-    A step must not carry a particle farther than ``halo`` points; those that would leave their tile's halo end there.
+    A particle that leaves its tile's halo within a step waits at its last substep and is dealt to the next tile in another round. One
+    that can't make a single substep from its own tile ends there: it has left the domain (or moves by more than the halo at once).
     """
     axes, d = axes_of(field), len(shape)
     cols, names = list(cols[:d]), list("xyz"[:d])
     now = materialize(seeds.select("id", F.lit(0).alias("seq"), "t", *names), "particles")
-    out = [now]
-    for k in range(steps - 1):
-        part = field.where(F.col("t").isin(k, k + 1)).select((F.col("t") - k).cast("int").alias("s"), *axes, *cols)
-        for n, a in enumerate(axes):
-            lo, hi = F.floor((F.col(a) - halo) / tile), F.floor((F.col(a) + halo) / tile)
-            part = part.withColumn(f"a{n}", F.explode(F.sequence(lo, hi)))
-        at = now
-        for n, a in enumerate(names):
-            at = at.withColumn(f"a{n}", F.floor(F.col(a) / tile))
-        keys = [f"a{n}" for n in range(d)]
-
-        def move(p: pd.DataFrame, g: pd.DataFrame, k=k) -> pd.DataFrame:
-            want = ["id", "seq", "t", *names]
+    out, keys = [now], [f"a{n}" for n in range(d)]
+    schema = "id long, seq int, n int, t double, " + ", ".join(f"{a} double" for a in names)
+
+    def mover(k: int):
+        def move(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+            want = ["id", "seq", "n", "t", *names]
             if not len(p) or not len(g):
                 return pd.DataFrame({c: [] for c in want})
             low = g[axes].min().to_numpy()
@@ -144,14 +138,36 @@ def trace_particles_tiled(field: DataFrame, seeds: DataFrame, shape: tuple[int,
                 v = (1 - w) * multilinear(a, q[:, :d] - low) + w * multilinear(b, q[:, :d] - low)
                 return np.concatenate((v, np.ones((len(q), 1))), axis=1)
 
-            q = p[[*names, "t"]].to_numpy(float)
-            for _ in range(per_step):
-                q = rk4(f, q, 1.0 / per_step)
-            ok = np.isfinite(q).all(axis=1)
-            return pd.DataFrame({"id": p["id"].to_numpy()[ok], "seq": p["seq"].to_numpy()[ok] + 1, "t": q[ok, d]} | {n: q[ok, m] for m, n in enumerate(names)})
+            q, n, first = p[[*names, "t"]].to_numpy(float), p["n"].to_numpy().copy(), p["n"].to_numpy()
+            live = np.flatnonzero(n < per_step)
+            while len(live):
+                new = rk4(f, q[live], 1.0 / per_step)
+                ok = np.isfinite(new).all(axis=1)
+                live, new = live[ok], new[ok]
+                q[live] = new
+                n[live] += 1
+                live = live[n[live] < per_step]
+            on = n > first
+            return pd.DataFrame({"id": p["id"].to_numpy()[on], "seq": p["seq"].to_numpy()[on], "n": n[on], "t": q[on, d]} | {c: q[on, m] for m, c in enumerate(names)})
 
-        schema = "id long, seq int, t double, " + ", ".join(f"{a} double" for a in names)
-        now = materialize(at.groupBy(*keys).cogroup(part.groupBy(*keys)).applyInPandas(move, schema), "particles")
+        return move
+
+    for k in range(steps - 1):
+        part = field.where(F.col("t").isin(k, k + 1)).select((F.col("t") - k).cast("int").alias("s"), *axes, *cols)
+        for m, a in enumerate(axes):
+            lo, hi = F.floor((F.col(a) - halo - 1) / tile), F.floor((F.col(a) + halo) / tile)
+            part = part.withColumn(f"a{m}", F.explode(F.sequence(lo, hi)))
+        part = materialize(part, "tiles")
+        waiting, ended = now.select("id", "seq", F.lit(0).alias("n"), "t", *names), None
+        while True:
+            at = waiting.withColumns({f"a{m}": F.floor(F.col(c) / tile) for m, c in enumerate(names)})
+            moved = materialize(at.groupBy(*keys).cogroup(part.groupBy(*keys)).applyInPandas(mover(k), schema), "particles")
+            done = moved.where(F.col("n") == per_step)
+            ended = done if ended is None else ended.unionByName(done)
+            waiting = moved.where(F.col("n") < per_step)
+            if waiting.isEmpty():
+                break
+        now = materialize(ended.select("id", (F.col("seq") + 1).alias("seq"), "t", *names), "particles")
         out.append(now)
     got = out[0]
     for o in out[1:]:

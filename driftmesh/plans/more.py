@@ -628,11 +628,9 @@ _add(
 _STEP = "0.3 / 16.0"
 _C = f"(1 - ({_STEP}) ** 2 / 2 + ({_STEP}) ** 4 / 24)"
 _SN = f"(({_STEP}) - ({_STEP}) ** 3 / 6)"
-query(
-    "particles",
-    f"WITH RECURSIVE walk(id, n, x, y) AS (SELECT id, 0, x, y FROM (VALUES (0, 4.0::DOUBLE, 0.0::DOUBLE), (1, 0.0::DOUBLE, -4.0::DOUBLE)) s(id, x, y) UNION ALL SELECT id, n + 1, x * {_C} - y * {_SN}, x * {_SN} + y * {_C} FROM walk WHERE n < 32) SELECT CAST(id AS BIGINT) AS id, CAST(n // 16 AS INTEGER) AS seq, CAST(n / 16 AS DOUBLE) AS t, ROUND(x + 10, 6) AS x, ROUND(y + 10, 6) AS y FROM walk WHERE n % 16 = 0",
-)(lambda spark, d: _rounded(_turning(spark, P.trace_particles), "x", "y", "t"))
-_add("particles_tiled", None, lambda s: _rounded(_turning(s, P.trace_particles_tiled, tile=7, halo=6), "x", "y", "t"))
+_DISC_PATHS = f"WITH RECURSIVE walk(id, n, x, y) AS (SELECT id, 0, x, y FROM (VALUES (0, 4.0::DOUBLE, 0.0::DOUBLE), (1, 0.0::DOUBLE, -4.0::DOUBLE)) s(id, x, y) UNION ALL SELECT id, n + 1, x * {_C} - y * {_SN}, x * {_SN} + y * {_C} FROM walk WHERE n < 32) SELECT CAST(id AS BIGINT) AS id, CAST(n // 16 AS INTEGER) AS seq, CAST(n / 16 AS DOUBLE) AS t, ROUND(x + 10, 6) AS x, ROUND(y + 10, 6) AS y FROM walk WHERE n % 16 = 0"
+query("particles", _DISC_PATHS)(lambda spark, d: _rounded(_turning(spark, P.trace_particles), "x", "y", "t"))
+_add("particles_tiled", None, lambda s: _rounded(_turning(s, P.trace_particles_tiled, tile=4, halo=1), "x", "y", "t"))
 
 
 def _turning(spark: SparkSession, trace, **options) -> DataFrame:
@@ -723,3 +721,165 @@ _add(
     SELECT cell, p[x[1]] AS p0, p[x[2]] AS p1, p[x[3]] AS p2 FROM tri""",
     _line_cells,
 )
+
+
+# the tornado, and lines where two vectors of a field are parallel
+def _tornado_sql(n: int, steps: int) -> str:
+    return f"""SELECT t, k, j, i, s * (y - yc) + 0.1 * (x - xc) AS u, -s * (x - xc) + 0.1 * (y - yc) AS v, s * z0 AS w FROM (
+      SELECT *, (r + r2 - sqrt(far * far + z0 * z0)) * s0 / (sqrt(far * far + z0 * z0) + 1e-11) / (1 + z) AS s FROM (
+        SELECT *, CASE WHEN abs(r - far) > r2 THEN 0.8 - abs(r - far) ELSE 1.0 END AS s0, greatest(0.0, 0.1 * (0.1 - far * z)) AS z0 FROM (
+          SELECT *, sqrt((y - yc) ** 2 + (x - xc) ** 2) AS far FROM (
+            SELECT *, 0.5 + 0.1 * sin(0.04 * t + 10.0 * z) AS xc, 0.5 + 0.1 * cos(0.03 * t + 3.0 * z) AS yc, 0.1 + 0.4 * z * z + 0.1 * z * sin(8.0 * z) AS r, 0.2 + 0.1 * z AS r2 FROM (
+              SELECT *, CAST(i AS DOUBLE) / {n - 1} AS x, CAST(j AS DOUBLE) / {n - 1} AS y, CAST(k AS DOUBLE) / {n - 1} AS z FROM ({_GRID3.format(t=steps, d=n, h=n, w=n)}))))))"""
+
+
+O.LATER["synth_tornado"] = f"SELECT t, k, j, i, ROUND(u, 6) AS u, ROUND(v, 6) AS v, ROUND(w, 6) AS w FROM ({_tornado_sql(16, 2)})"
+O.LATER["particles_tiled"] = _DISC_PATHS
+
+
+def _near3(c: str, a: str) -> str:
+    win = f"(PARTITION BY t, {', '.join(x for x in 'kji' if x != a)} ORDER BY {a})"
+    return f"(lead({c}) OVER {win} - lag({c}) OVER {win})"
+
+
+def _slopes(source: str, scale: str) -> str:
+    """The Jacobian of ``u, v, w``, zero where a neighbour is missing."""
+    names = {f"j{r}{c}": _near3(n, a) for c, a in enumerate("ijk") for r, n in enumerate("uvw")}
+    none = " + ".join(f"d{m}" for m in names) + " IS NULL"
+    return f"SELECT * EXCLUDE ({', '.join(f'd{m}' for m in names)}), {', '.join(f'CASE WHEN {none} THEN 0.0 ELSE d{m} * {scale} END AS {m}' for m in names)} FROM (SELECT *, {', '.join(f'{e} AS d{m}' for m, e in names.items())} FROM ({source}))"
+
+
+def _parallel(vectors: str, extra: str) -> str:
+    """p, q and the residue of u, v, w crossed with ax, ay, az."""
+    return f"SELECT i, j, k, t, v * az - w * ay AS p, w * ax - u * az AS q, u * ay - v * ax AS residue, {extra} FROM ({vectors})"
+
+
+_ACC = ", ".join(f"j{r}0 * u + j{r}1 * v + j{r}2 * w AS {a}" for r, a in enumerate(("ax", "ay", "az")))
+_ABC3 = "SELECT i, j, k, q.range AS t, sqrt(3) * sin(z) + cos(y) AS u, sqrt(2) * sin(x) + sqrt(3) * cos(z) AS v, sin(y) + sqrt(2) * cos(x) AS w FROM (SELECT *, i / 9.0 * 2 * pi() AS x, j / 9.0 * 2 * pi() AS y, k / 9.0 * 2 * pi() AS z FROM (SELECT a.range AS i, b.range AS j, c.range AS k FROM range(10) a, range(10) b, range(10) c)), range(2) q"
+_DISC = "(j00 + j11 + j22) AS tr, (j00 * j11 - j01 * j10 + j00 * j22 - j02 * j20 + j11 * j22 - j12 * j21) AS mn, (j00 * (j11 * j22 - j12 * j21) + j01 * (j12 * j20 - j10 * j22) + j02 * (j10 * j21 - j11 * j20)) AS dt"
+_SH = _parallel(f"SELECT *, tr * tr * mn * mn - 4 * mn * mn * mn - 4 * tr * tr * tr * dt - 27 * dt * dt + 18 * tr * mn * dt AS disc FROM (SELECT *, {_ACC}, {_DISC} FROM ({_slopes(_ABC3, '0.5')}))", "disc")
+
+
+def _vortex_cores(spark: SparkSession) -> DataFrame:
+    from .queries import _abc
+
+    got = X.sujudi_haimes(_abc(spark), (10, 10, 10), 2).select("tag", "timestep", "ordinal", "x", "y", "z", "t", "residue", "disc")
+    return _rounded(got, "x", "y", "z", "t", "residue", "disc", digits=3)
+
+
+_add("sujudi_haimes", f"WITH {_lines(_SH, (10, 10, 10, 2), ('residue', 'disc'))} {_placed(('residue', 'disc'), 3)}", _vortex_cores)
+_LDS = _parallel(f"SELECT *, j21 - j12 AS ax, j02 - j20 AS ay, j10 - j01 AS az, sqrt((j21 - j12) ** 2 + (j02 - j20) ** 2 + (j10 - j01) ** 2) AS vorticity FROM ({_slopes(_tornado_sql(12, 2), '1.0')})", "vorticity")
+_add(
+    "levy_degani_seginer",
+    f"WITH {_lines(_LDS, (12, 12, 12, 2), ('residue', 'vorticity'))} {_placed(('residue', 'vorticity'), 3)}",
+    lambda s: _rounded(X.levy_degani_seginer(S.tornado(s, (12, 12, 12), 2), (12, 12, 12), 2).select("tag", "timestep", "ordinal", "x", "y", "z", "t", "residue", "vorticity"), "x", "y", "z", "t", "residue", "vorticity", digits=3),
+)
+
+
+def _extremum3(n: int, steps: int, x0: tuple[float, float, float]) -> str:
+    f = " + ".join(f"({a} - {c!r}e0 - 0.1e0 * t) ** 2" for a, c in zip("ijk", x0))
+    return f"SELECT i, j, k, t, {f} AS f FROM ({_GRID3.format(t=steps, d=n, h=n, w=n)})"
+
+
+def _gradient3(source: str) -> str:
+    return f"SELECT i, j, k, t, f, {', '.join(f'CASE WHEN gu + gv + gw IS NULL THEN 0.0 ELSE g{n} * 0.5 END AS {n}' for n in 'uvw')} FROM (SELECT *, {', '.join(f'{_near3("f", a)} AS g{n}' for n, a in zip('uvw', 'ijk'))} FROM ({source}))"
+
+
+_RV = _parallel(f"SELECT *, {_ACC} FROM ({_slopes(_gradient3(_extremum3(10, 2, (4.3, 4.4, 4.6))), '0.5')})", "f")
+_add(
+    "ridge_valley",
+    f"WITH {_lines(_RV, (10, 10, 10, 2), ('residue', 'f'))} {_placed(('residue', 'f'), 3)}",
+    lambda s: _rounded(X.ridge_valley(S.moving_extremum(s, (10, 10, 10), 2, (4.3, 4.4, 4.6)), (10, 10, 10), 2).select("tag", "timestep", "ordinal", "x", "y", "z", "t", "residue", "f"), "x", "y", "z", "t", "residue", "f", digits=3),
+)
+
+
+def _rows_in_type_order(n: int, k: int) -> str:
+    return O.values([(kind, int(O.is_ordinal(s)), *[x for v in s for x in v], *[max(v[a] for v in s) for a in range(n)]) for kind, s in enumerate(O.unit_simplices(n, k))])
+
+
+def _wrap(x: str) -> str:
+    return f"(({x}) + pi() - 2 * pi() * floor((({x}) + pi()) / (2 * pi())) - pi())"
+
+
+_PHASE = "SELECT i, j, k, t, i - 4.3 - 0.2 * t AS p, j - 4.6e0 AS q FROM (" + _GRID3.format(t=2, d=6, h=10, w=10) + ")"
+_VORTEX_AT = [f"(c.i + s.i{v}) + (c.j + s.j{v}) * 100 + (c.k + s.k{v}) * 10000 + (c.t + s.t{v}) * 1000000" for v in range(3)]
+
+
+def _vortices(spark: SparkSession) -> DataFrame:
+    from .queries import QUERIES
+
+    return _rounded(QUERIES["phase_vortices"](spark, "").select("tag", "timestep", "ordinal", "x", "y", "z", "t", "winding"), "x", "y", "z", "t", digits=4)
+
+
+_add(
+    "phase_vortex_positions",
+    f"""WITH gv AS MATERIALIZED (SELECT i + j * 100 + k * 10000 + t * 1000000 AS g, CAST(p AS DOUBLE) AS p, q, atan2(q, p) AS a FROM ({_PHASE})),
+    faces AS (SELECT (c.i + c.j * 10 + c.k * 100 + c.t * 600) * 50 + s.kind AS tag, c.t AS timestep, s.ord = 1 AS ordinal, {', '.join(f'{e} AS p{v}' for v, e in enumerate(_VORTEX_AT))}
+      FROM ({_GRID3.format(t=2, d=6, h=10, w=10)}) c, {_rows_in_type_order(4, 2)} s({_FACE_COLS}) WHERE c.i + s.ri < 10 AND c.j + s.rj < 10 AND c.k + s.rk < 6 AND c.t + s.rt < 2),
+    turned AS (SELECT f.*, a.p AS ap, a.q AS aq, b.p AS bp, b.q AS bq, d.p AS dp, d.q AS dq, -({_wrap('b.a - a.a')} + {_wrap('d.a - b.a')} + {_wrap('a.a - d.a')}) / (2 * pi()) AS turn FROM faces f JOIN gv a ON a.g = p0 JOIN gv b ON b.g = p1 JOIN gv d ON d.g = p2),
+    hits AS (SELECT * FROM turned WHERE abs(turn) >= 0.5),
+    weighed AS (SELECT *, (dq * (bp - dp) - dp * (bq - dq)) / det AS m0, (dp * (aq - dq) - dq * (ap - dp)) / det AS m1 FROM (SELECT *, (ap - dp) * (bq - dq) - (bp - dp) * (aq - dq) AS det FROM hits)),
+    w AS (SELECT *, 1 - m0 - m1 AS m2 FROM weighed)
+    SELECT tag, timestep, ordinal, {', '.join(f"ROUND(m0 * ((p0 // {10 ** (2 * e)}) % 100) + m1 * ((p1 // {10 ** (2 * e)}) % 100) + m2 * ((p2 // {10 ** (2 * e)}) % 100), 4) AS {a}" for e, a in enumerate(('x', 'y', 'z', 't')))}, CAST(sign(turn) AS DOUBLE) AS winding FROM w""",
+    _vortices,
+)
+
+# zeros of a gradient on tetrahedra of a 3D+t mesh: weights by Cramer's rule
+_TET_COLS = ", ".join(["kind", "ord"] + [f"{a}{v}" for v in range(4) for a in _AX4] + [f"r{a}" for a in _AX4])
+_TET_AT = [f"(c.i + s.i{v}) + (c.j + s.j{v}) * 100 + (c.k + s.k{v}) * 10000 + (c.t + s.t{v}) * 1000000" for v in range(4)]
+
+
+def _det3(x: str, y: str, z: str) -> str:
+    def c(n: str, a: str) -> str:
+        return f"({n}{a} - e{a})" if n != "o" else f"(-e{a})"
+
+    return f"({c(x, 'u')} * ({c(y, 'v')} * {c(z, 'w')} - {c(z, 'v')} * {c(y, 'w')}) - {c(y, 'u')} * ({c(x, 'v')} * {c(z, 'w')} - {c(z, 'v')} * {c(x, 'w')}) + {c(z, 'u')} * ({c(x, 'v')} * {c(y, 'w')} - {c(y, 'v')} * {c(x, 'w')}))"
+
+
+def _extrema3(spark: SparkSession) -> DataFrame:
+    from .queries import QUERIES
+
+    return _rounded(QUERIES["cp3d_hits"](spark, "").select("tag", "timestep", "ordinal", "x", "y", "z", "t", "type"), "x", "y", "z", "t", digits=4)
+
+
+_add(
+    "cp3d_positions",
+    f"""WITH gv AS MATERIALIZED (SELECT i + j * 100 + k * 10000 + t * 1000000 AS g, u, v, w FROM ({_gradient3(_extremum3(12, 4, (5.2, 5.3, 5.4)))})),
+    cells AS (SELECT ((c.i - 2) + (c.j - 2) * 9 + (c.k - 2) * 81 + c.t * 729) * 60 + s.kind AS tag, c.t AS timestep, s.ord = 1 AS ordinal, {', '.join(f'{e} AS p{v}' for v, e in enumerate(_TET_AT))}
+      FROM ({_GRID3.format(t=4, d=12, h=12, w=12)}) c, {_rows_in_type_order(4, 3)} s({_TET_COLS}) WHERE c.i >= 2 AND c.j >= 2 AND c.k >= 2 AND c.i + s.ri < 11 AND c.j + s.rj < 11 AND c.k + s.rk < 11 AND c.t + s.rt < 4),
+    v AS (SELECT c.*, {', '.join(f'{n}.{x} AS {n}{x}' for n in 'abde' for x in 'uvw')} FROM cells c JOIN gv a ON a.g = p0 JOIN gv b ON b.g = p1 JOIN gv d ON d.g = p2 JOIN gv e ON e.g = p3),
+    m AS (SELECT *, {_det3('o', 'b', 'd')} / det AS m0, {_det3('a', 'o', 'd')} / det AS m1, {_det3('a', 'b', 'o')} / det AS m2 FROM (SELECT *, {_det3('a', 'b', 'd')} AS det FROM v) WHERE abs(det) > 1e-9),
+    w AS (SELECT *, 1 - m0 - m1 - m2 AS m3 FROM m)
+    SELECT tag, timestep, ordinal, {', '.join("ROUND(" + " + ".join(f"m{v} * ((p{v} // {10 ** (2 * e)}) % 100)" for v in range(4)) + f", 4) AS {a}" for e, a in enumerate(('x', 'y', 'z', 't')))}, CAST(2 AS INTEGER) AS type FROM w WHERE least(m0, m1, m2, m3) > 0""",
+    _extrema3,
+)
+
+# zeros on the faces of an extruded triangle mesh
+_ON_MESH = "SELECT q.range * 144 + vid AS g, x, y, q.range AS t, -2 * (x - 0.41e0 - 0.02e0 * q.range) AS p, -2 * (y - 0.43e0 - 0.02e0 * q.range) AS q FROM verts, range(5) q"
+_MESH_HITS = f"""mv AS MATERIALIZED (SELECT *, CAST(trunc(p * 2097152) AS HUGEINT) AS u, CAST(trunc(q * 2097152) AS HUGEINT) AS v FROM ({_ON_MESH})),
+  {_PRISM.format(n=144)}, f AS (SELECT DISTINCT unnest([[a[1], a[2], a[3]], [a[1], a[2], a[4]], [a[1], a[3], a[4]], [a[2], a[3], a[4]]]) AS f FROM (SELECT [v + q.range * 144 for v in a] AS a FROM prism, range(4) q)),
+  mh AS MATERIALIZED (SELECT f, f[1] // 144 AS timestep, f[1] // 144 = f[3] // 144 AS ordinal, a.p AS ap, a.q AS aq, b.p AS bp, b.q AS bq, d.p AS dp, d.q AS dq, a.x AS ax, a.y AS ay, a.t AS at_, b.x AS bx, b.y AS by_, b.t AS bt, d.x AS dx, d.y AS dy, d.t AS dt
+    FROM f JOIN mv a ON a.g = f[1] JOIN mv b ON b.g = f[2] JOIN mv d ON d.g = f[3]
+    WHERE {O._sign_det("a", "b", "d")} = {O._sign_det("o", "b", "d")} AND {O._sign_det("a", "b", "d")} = -({O._sign_det("o", "a", "d")}) AND {O._sign_det("a", "b", "d")} = {O._sign_det("o", "a", "b")})"""
+
+
+def _mesh_zeros(spark: SparkSession) -> DataFrame:
+    from .queries import _mesh_points
+
+    return _rounded(_mesh_points(spark)[0].select("timestep", "ordinal", "x", "y", "t"), "x", "y", "t")
+
+
+_add(
+    "mesh_critical_positions",
+    _mesh("SELECT timestep, ordinal, ROUND(m0 * ax + m1 * bx + (1 - m0 - m1) * dx, 6) AS x, ROUND(m0 * ay + m1 * by_ + (1 - m0 - m1) * dy, 6) AS y, ROUND(m0 * at_ + m1 * bt + (1 - m0 - m1) * dt, 6) AS t FROM (SELECT *, (dq * (bp - dp) - dp * (bq - dq)) / det AS m0, (dp * (aq - dq) - dq * (ap - dp)) / det AS m1 FROM (SELECT *, (ap - dp) * (bq - dq) - (bp - dp) * (aq - dq) AS det FROM mh))", _MESH_HITS),
+    _mesh_zeros,
+)
+
+
+def _mesh_curve_sizes(spark: SparkSession) -> DataFrame:
+    from .queries import QUERIES
+
+    return QUERIES["mesh_curves"](spark, "").groupBy("root").agg(F.count("*").alias("points")).select("points")
+
+
+_add("mesh_curve_sizes", _mesh("SELECT COUNT(*) AS points FROM mh", _MESH_HITS), _mesh_curve_sizes)

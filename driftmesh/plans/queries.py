@@ -293,9 +293,6 @@ def _abc(spark: SparkSession) -> DataFrame:
     return S.abc_flow(spark, 10, 10, 10).withColumn("t", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
 
 
-query("sujudi_haimes")(lambda spark, d: X.sujudi_haimes(_abc(spark), (10, 10, 10), 2))
-query("levy_degani_seginer")(lambda spark, d: X.levy_degani_seginer(S.tornado(spark, (12, 12, 12), 2), (12, 12, 12), 2))
-query("ridge_valley")(lambda spark, d: X.ridge_valley(S.moving_extremum(spark, (10, 10, 10), 2, (4.3, 4.4, 4.6)), (10, 10, 10), 2))
 
 
 @query("phase_vortices")

@@ -44,7 +44,7 @@ def test_woven_has_56_curves(spark):
     assert q.QUERIES["woven_curves"](spark, DATA).count() == 56
 
 
-@pytest.mark.parametrize("name", ["cp3d_hits", "sujudi_haimes", "phase_vortices", "mesh_curves"])
+@pytest.mark.parametrize("name", ["cp3d_hits", "phase_vortices", "mesh_curves"])
 def test_has_rows(spark, name):
     assert q.QUERIES[name](spark, DATA).count() > 0
 

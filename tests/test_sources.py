@@ -62,3 +62,29 @@ def test_step_pairs(spark):
         steps(field.where(cond), n)
     steps(field.where("t > 2"), 3)  # a batch that is tried again
     assert sorted(map(tuple, steps.results(spark).collect())) == [(t, i, i) for t in range(4) for i in range(3)]
+
+
+def test_curves_that_grow(spark, tmp_path):
+    """A streamed field gives the components of the whole field's points, whatever the batches."""
+    from driftmesh.operators import fields as D
+    from driftmesh.operators import graph as G
+    from driftmesh.operators.features import critical_points_2d, domain
+    from driftmesh.sources import synthetic as S
+    from driftmesh.streaming.tracking import track_stream
+
+    field = S.woven_grid(spark, 10, 10, 7)
+    change = lambda df: D.clamp(df, -0.8, 0.8)
+    for n, (lo, hi) in enumerate(((0, 2), (3, 3), (4, 6))):
+        part = field.where(F.col("t").between(lo, hi)).coalesce(1)
+        part.write.parquet(f"{tmp_path}/steps/part={n}")
+    kinds = "t long, j int, i int, f double, part int"
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/steps").drop("part")
+    run, curves = track_stream(stream, (10, 10), 7, f"{tmp_path}/base", f"{tmp_path}/check", change)
+    run.awaitTermination()
+    got = {r.tag: (r.root, r.complete) for r in curves.curves(spark).collect()}
+    lattice = domain((10, 10), 7, 2)
+    hits = critical_points_2d(change(field), (10, 10), 7, bits=21)
+    want = {r.node: r.root for r in G.components(G.point_graph(hits, lattice, 2), hits.select(F.col("tag").alias("node"))).collect()}
+    assert set(got) == set(want) and {t: r for t, (r, _) in got.items()} == want
+    assert {c for _, c in got.values()} <= {True, False}
+    assert spark.read.parquet(f"{tmp_path}/base/sliced").count() == hits.where("ordinal").count()
