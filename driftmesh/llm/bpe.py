@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put_at
+from .common import bounded_batches, put_at
 
 SPACE = "▁"
 OWN_SPACE = "\ud800"  # stands for U+2581 of a text itself; no text holds half a surrogate pair
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 BLOCK_CHARS = 1_000_000
 LONG_WORD = 48
 WIDTHS = (4, 6, 8, 10, 13, 20, LONG_WORD)
@@ -434,6 +434,7 @@ def encode(docs: DataFrame, model_path: str, dropout: Dropout = Dropout(), id_co
                     }
                 )
 
+    bounded_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return picked.mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, lossless boolean")
 

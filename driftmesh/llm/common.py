@@ -27,6 +27,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/driftmesh/{tag}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of at most ``BATCH_ROWS`` rows: Spark's own 10,000 hold tens of megabytes of text several times over.
+
+    A session that asks for fewer keeps its number.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 GRAM = 3
 MIN_WORDS = 5
 RARE_SHARE = 0.75
@@ -188,6 +190,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 
 def _prepared(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str) -> list:
     """A broadcast ``Items`` with its rare seeds for each block of the test set."""
+    bounded_batches(docs.sparkSession)
     out = []
     for rows in _blocks(items, item_id, item_text):
         block = Items(rows)

@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .crf import emissions, forward_backward, hashed, train
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 150  # expected labelled documents a language
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 BLOCK_CHARS = 700_000  # of texts that are scored together
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -154,6 +155,7 @@ def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col:
     if clash := {"lang_pred", "score", "__text"}.intersection(keep):
         raise ValueError(f"columns that the result has itself: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

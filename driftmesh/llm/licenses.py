@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Notice wordings of common public licenses, one entry a wording.
 TEMPLATES = {
     "Apache-2.0": [
@@ -193,6 +195,7 @@ def scan(
     so others can't clash; a text of any length is looked through as a whole.
     """
     table = templates or TEMPLATES
+    bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scanner(table, max_diff)

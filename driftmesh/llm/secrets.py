@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .crf import emissions, hashed, train, viterbi
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -24,7 +25,6 @@ BUCKETS = 1 << 14
 MIN_TOKEN = 12
 MIN_LED = 6
 SAMPLE_DOCS = 400  # texts that lend their words and lines to the training chains
-SAMPLE_CHARS = 2000
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -209,7 +209,7 @@ def fit(texts: list[str], seed: int = 5, n_made: int = 3000) -> SecretModel:
     key-like words (begin, or begin and inside where broken in two), made plain tokens stand among common words.
     """
     rng = np.random.default_rng(seed)
-    words = [w for t in texts for w in t.split()[:60] if w.isalpha()] or ["the", "of", "and"]
+    words = [w for t in texts for w in t.split() if w.isalpha()] or ["the", "of", "and"]
     feats: list[list[list[int]]] = []
     tags: list[list[int]] = []
     for t in texts:
@@ -245,8 +245,8 @@ def fit(texts: list[str], seed: int = 5, n_made: int = 3000) -> SecretModel:
 
 
 def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
-    """Fit on at most ``SAMPLE_DOCS`` texts, the first by a hash of their ids, ``SAMPLE_CHARS`` of each."""
-    picked = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).where("t <> ''")
+    """Fit on at most ``SAMPLE_DOCS`` whole texts, the first by a hash of their ids."""
+    picked = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t")).where("t <> ''")
     # the bound first, from hashes alone: else each task would send as many texts as are wanted in all
     least = picked.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()
     rows = picked.where(F.col("h") <= least[-1].h).orderBy("h", "t").limit(SAMPLE_DOCS).collect() if least else []
@@ -265,9 +265,14 @@ def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col:
     """Per row ``doc_id``, the spans found, and with ``redact`` the text with each span replaced.
 
     Spans are in code points, end exclusive, over the whole text; a null text counts as empty (and stays null
-    when redacted). One pass without a shuffle; other columns come along only if named in ``keep``.
+    when redacted). One pass without a shuffle; other columns come along only if named in ``keep``, and can't be called as a
+    column of the result is: that is a ValueError. Null ids keep their rows, repeated rows are scanned each.
     """
+    own = {"__text", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"}
+    if clash := own.intersection(keep):
+        raise ValueError(f"columns that the result has itself: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

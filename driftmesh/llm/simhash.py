@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, shuffle_parts
+from .common import bounded_batches, components, cut, shuffle_parts
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 MAX_BITS = 4
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t, n_words) for t in pdf["t"]), np.uint64, len(pdf))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": pdf["x"], "fp": fps.view(np.int64)})
 
+    bounded_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("t"))
     return picked.mapInPandas(run, "doc_id long, x long, fp long")
 

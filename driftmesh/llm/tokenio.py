@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, put_at, shuffle_parts
+from .common import bounded_batches, new_path, put_at, shuffle_parts
 
 MAGIC = b"WMX1"
 SHARD_TOKENS = 1 << 18
@@ -399,6 +399,7 @@ def write_token_shards(
     A special token's string in a text becomes that token's id, as the library does it, unless ``special_as_text``.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
