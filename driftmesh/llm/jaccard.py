@@ -6,8 +6,10 @@ which is 0.99993 at 0.8. Texts of equal sets are one node. Candidate pairs becom
 themselves have at least the similarity asked for; groups are the components of these links.
 
 A bucket of n nodes has n * n / 2 pairs, most of which say nothing new. Each node is first compared with one pivot
-of its buckets, then with the pivots of all its buckets (twice, by other orders); only pairs of a bucket that still lie in
-different components are then compared one by one, so all pairs that could join components are.
+of its buckets, then with the pivots of all its buckets (twice, by other orders). Buckets that still hold several components
+are then gone through whole: each is one run of rows (of blocks of ``BLOCK_BYTES``, if its sets are larger, each pair of
+blocks one run), and within a run nodes of different components are compared without a row per pair.
+So all pairs of a bucket that could join components are compared.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.ui
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _NODE = "xxhash64(doc_id, x)"
 SLICE = 256  # rows whose sets are held at once
+BLOCK_BYTES = 4 << 20  # of the sets of a bucket that are compared in one run
 
 
 def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,6 +103,66 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def cross_links(fp: np.ndarray, root: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges that connect what all pairs of at least ``least`` similarity and with different roots (and sides, if given) connect.
+
+    Any such pair has an end outside the most frequent root, so the nodes outside are each compared with all others. Sets are not empty.
+    """
+    label = np.unique(root, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held, out = np.zeros(int(ids.max()) + 1, bool), []
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        other = label != label[i]
+        if side is not None:
+            other &= side != side[i]
+        if not other.any():
+            continue
+        mine = ids[starts[i] : starts[i] + sizes[i]]
+        held[mine] = True
+        both = np.add.reduceat(held[ids], starts, dtype=np.int64)
+        held[mine] = False
+        for j in np.flatnonzero(other & (both / (sizes[i] + sizes - both) >= least)).tolist():
+            if label[j] != label[i]:
+                out.append((int(fp[i]), int(fp[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _crossed(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified edges ``(a, b)`` between different roots of a bucket ``(key, fp, root)``, enough to connect what all such pairs connect.
+
+    A bucket of k blocks makes k rows of each of its own.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        of = None
+
+        def end() -> pd.DataFrame:
+            fp, root, side = np.array([x[:3] for x in held], np.int64).T
+            sets = [np.frombuffer(x[3], np.uint64) for x in held]
+            return pd.DataFrame(cross_links(fp, root, side if of[1] < of[2] else None, sets, least), columns=["a", "b"], dtype="int64")
+
+        for pdf in frames:
+            for key, i, j, *row in pdf[["key", "i", "j", "fp", "root", "side", "s"]].itertuples(index=False, name=None):
+                if of != (key, i, j):
+                    if held:
+                        yield end()
+                    held, of = [], (key, i, j)
+                held.append(tuple(row))
+        if held:
+            yield end()
+
+    sized = rows.join(sets.select("fp", F.octet_length("s").alias("n")), "fp")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_BYTES).cast("int").alias("k"))
+    dealt = rows.join(blocks, "key").select("key", "fp", "root", F.expr("cast(pmod(xxhash64(fp), k) as int)").alias("own"), F.explode(F.expr("sequence(0, k - 1)")).alias("beside"))
+    dealt = dealt.select("key", F.least("own", "beside").alias("i"), F.greatest("own", "beside").alias("j"), "fp", "root", F.expr("int(own > beside)").alias("side"))
+    dealt = dealt.join(sets, "fp").select("key", "i", "j", "fp", "root", "side", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
 def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Verified edges ``(a, b)`` that connect what all verified pairs of a bucket ``(key, fp)`` connect."""
     low = buckets.groupBy("key").agg(F.min("fp").alias("p"))
@@ -113,12 +176,10 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         open_ = open_.where("lo <> hi").select("key", F.col("p.fp").alias("q"), F.col("p.root").alias("q_root"))
         if step:
             pairs = now.join(open_, "key").where("root <> q_root").select(F.col("fp").alias("a"), F.col("q").alias("b"))
+            more = _verified(_ordered(pairs), sets, least)
         else:
-            left = cut(now.join(open_, "key", "left_semi"), "jaccard")
-            right = left.select("key", F.col("fp").alias("b"), F.col("root").alias("other"))
-            pairs = left.join(right, "key").where("root < other").select(F.col("fp").alias("a"), "b")
-        more = cut(_verified(_ordered(pairs), sets, least), "jaccard")
-        edges = edges.unionByName(more)
+            more = _crossed(cut(now.join(open_, "key", "left_semi"), "jaccard"), sets, least)
+        edges = edges.unionByName(cut(more, "jaccard"))
     return edges
 
 

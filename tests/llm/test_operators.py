@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmesh.llm import ann, bpe, decontam, langid, licenses, queries, repeats, resharding, secrets, simhash, suffixes, tokenio
+from driftmesh.llm import ann, bpe, decontam, jaccard, langid, licenses, queries, repeats, resharding, secrets, simhash, suffixes, tokenio
 from tests.conftest import DATA
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h int, t string, k1 long"
@@ -595,6 +595,46 @@ def test_near_dedup_against_brute_force(spark):
     assert len(far) > 3
 
 
+def test_near_dedup_of_a_large_group(spark, monkeypatch):
+    """Copies of one text, most beyond 0.8 of each other: all that links connect are found, in one block or many, without a row per pair."""
+    rng = random.Random(5)
+    base = words(rng, 120).split()
+    texts = []
+    for _ in range(240):
+        near = list(base)
+        for k in rng.sample(range(120), rng.choice((1, 2, 3, 4, 6, 7, 8))):
+            near[k] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    sets = [jaccard.shingle_set(t, 5) for t in texts]
+    alike = lambda i, j: jaccard.jaccard(sets[i], sets[j]) >= 0.8
+
+    def roots_of(pairs, n):
+        root = list(range(n))
+        for i, j in pairs:
+            if root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+        return root
+
+    n = len(texts)
+    want = roots_of([(i, j) for i in range(n) for j in range(i) if alike(i, j)], n)
+    assert 10 < len(set(want)) < n
+    fp, side = np.arange(n), np.arange(n) % 2
+    assert roots_of(jaccard.cross_links(fp, fp, None, sets, 0.8), n) == want
+    across = [(i, j) for i in range(n) for j in range(i) if i % 2 != j % 2 and alike(i, j)]
+    assert roots_of(jaccard.cross_links(fp, fp, side, sets, 0.8), n) == roots_of(across, n)
+
+    made, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *more: (made.append(pairs.count()), verified(pairs, *more))[1])
+    buckets = spark.createDataFrame([(key, k) for key in (1, 2) for k in range(n)], "key long, fp long")
+    held = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "fp long, s binary")
+    for size in (jaccard.BLOCK_BYTES, 30_000):
+        monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+        got = jaccard.links(buckets, held, 0.8).collect()
+        assert all(alike(r.a, r.b) for r in got) and roots_of([(r.a, r.b) for r in got], n) == want
+    assert max(made) <= 2 * n
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     """Nulls in any column, empty and very long texts, repeated rows and columns of other names: each stage gives its defined rows."""
     import corpus_pipeline as P
