@@ -33,6 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of five-word shingles alike) stays: that with the smallest id.
 
+    Candidates come from SimHashes by Golay keys, and from MinHash keys for near copies beyond their four bits; each is verified.
     Of rows with one id and text one stays. Texts without a word are copies of each other.
     """
     return jaccard.keep_one(docs.select(*COLUMNS), MIN_ALIKE, SHINGLE_WORDS)

@@ -1,8 +1,10 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash keys find candidates, their sets verify them.
+"""Near copies by Jaccard similarity of word shingles: SimHashes with Golay keys and MinHash keys find candidates, their sets verify them.
 
-A text's set holds the hashes of its runs of ``n_words`` words (of all its words, if it has fewer). ``BANDS`` keys of
-``ROWS`` minima each are taken from a set; two sets of similarity s share one with probability 1 - (1 - s**5)**24,
-which is 0.99993 at 0.8. Texts of equal sets are one node. Candidate pairs become links only once the two sets
+A text's set holds the hashes of its runs of ``n_words`` words (of all its words, if it has fewer). Texts of equal sets are one node.
+The SimHash of the same hashes, repeats included, is searched by Golay keys (``simhash``): texts that links of at most ``MAX_BITS`` bits
+connect are one bucket, so no pair within these bits is missed. Near copies at a similarity of 0.8 differ in some ten of 64 bits, which no
+Golay key of a segment reaches; ``BANDS`` keys of ``ROWS`` minima each find those: two sets of similarity s share one with probability
+1 - (1 - s**5)**24, which is 0.99993 at 0.8. Candidate pairs become links only once the two sets
 themselves have at least the similarity asked for; groups are the components of these links.
 
 A bucket of n nodes has n * n / 2 pairs, most of which say nothing new. Each node is first compared with one pivot
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, cut
-from .simhash import shingle_hashes
+from .simhash import fingerprint_roots, majority, shingle_hashes
 
 BANDS, ROWS = 24, 5
 _RNG = np.random.default_rng(24)
@@ -63,16 +65,25 @@ def band_keys(found: np.ndarray) -> list[int]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
-    """``(doc_id, x, fp, keys)`` per row: hashes of the text and of its set, and the set's keys."""
+    """``(doc_id, x, fp, bits, keys)`` per row: hashes of the text and of its set, its SimHash (null without a word), and the set's keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _slices(frames):
-            sets = [shingle_set(t, n_words) for t in pdf["t"]]
+            hashes = [shingle_hashes(t, n_words) for t in pdf["t"]]
+            sets = [np.unique(h) for h in hashes]
+            bits = pd.array(np.array(list(map(majority, hashes)), np.uint64).view(np.int64), "Int64")
+            bits[[not len(h) for h in hashes]] = pd.NA
             fp = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": pdf["x"], "fp": fp, "keys": list(map(band_keys, sets))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "x": pdf["x"], "fp": fp, "bits": bits, "keys": list(map(band_keys, sets))})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("t"))
-    return picked.mapInPandas(run, "doc_id long, x long, fp long, keys array<long>")
+    return picked.mapInPandas(run, "doc_id long, x long, fp long, bits long, keys array<long>")
+
+
+def golay_buckets(nodes: DataFrame) -> DataFrame:
+    """``(key, fp)``: nodes ``(fp, bits)`` whose SimHashes are connected by links of at most ``MAX_BITS`` bits have one key."""
+    roots = fingerprint_roots(nodes.select(F.col("bits").alias("fp"))).select(F.col("fp").alias("bits"), "root")
+    return nodes.join(roots, "bits").select(F.xxhash64(F.lit("golay"), "root").alias("key"), "fp").distinct()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
@@ -195,6 +206,7 @@ def keep_one(docs: DataFrame, least: float = 0.8, n_words: int = 5, id_col: str
     distinct = cut(rows.groupBy("fp").agg(first, F.min(F.expr(_NODE)).alias("node")), "jaccard")
     named = rows.select(F.expr(_NODE).alias("node"), "fp", F.explode("keys").alias("key"))
     buckets = named.join(distinct.select("node", "fp"), ["node", "fp"], "left_semi").select("key", "fp").distinct()
+    buckets = cut(buckets.unionByName(golay_buckets(cut(rows.where("bits is not null").select("fp", "bits").distinct(), "jaccard"))), "jaccard")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = cut(buckets.join(shared, "key", "left_semi"), "jaccard")
     nodes = distinct.select("node", "fp").join(buckets.select("fp").distinct(), "fp", "left_semi")

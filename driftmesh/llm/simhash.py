@@ -44,7 +44,11 @@ def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, n_words: int = 4) -> int:
     """64-bit SimHash of a text's word shingles, repeats included; 0 if it has no word."""
-    got = shingle_hashes(text, n_words)
+    return majority(shingle_hashes(text, n_words))
+
+
+def majority(got: np.ndarray) -> int:
+    """The bits set in over half of some 64-bit hashes; 0 of none."""
     if not len(got):
         return 0
     ones = np.zeros(64, np.int64)
@@ -209,7 +213,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     )
 
 
-def _named(fps: DataFrame, max_bits: int) -> DataFrame:
+def fingerprint_roots(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(fp, root)`` of all distinct fingerprints, root the component's smallest fingerprint."""
     distinct = cut(fps.groupBy("fp").agg(F.count("*").alias("n")), "simhash").select("fp")
     comp = components(fingerprint_links(distinct, max_bits)).withColumnRenamed("node", "fp")
@@ -226,7 +230,7 @@ def near_duplicates(
     columns are read, so other columns can't clash.
     """
     fps = cut(fingerprints(docs, id_col, text_col, n_words).select("doc_id", "fp"), "simhash")
-    named = cut(_named(fps, max_bits), "simhash")
+    named = cut(fingerprint_roots(fps, max_bits), "simhash")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     lowest = first.join(named, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     mapped = cut(named.join(lowest, "root").select("fp", "component_id"), "simhash")
@@ -239,7 +243,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     Of rows with equal id and text one stays. All columns are kept; they may have any names but ``__id`` and ``__x``.
     """
     fps = cut(fingerprints(docs, id_col, text_col, n_words), "simhash")
-    named = _named(fps, max_bits)
+    named = fingerprint_roots(fps, max_bits)
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x")
     one = fps.groupBy("fp").agg(F.min(least).alias("one")).join(named, "fp").groupBy("root").agg(F.min("one").alias("one"))
     kept = cut(one.select(F.col("one.doc_id").alias("__id"), F.col("one.x").alias("__x")), "simhash")

@@ -595,6 +595,37 @@ def test_near_dedup_against_brute_force(spark):
     assert len(far) > 3
 
 
+def test_near_dedup_by_golay_keys(spark, monkeypatch):
+    """SimHashes alone find every near copy within four bits; what they find beyond the similarity stays apart."""
+    rng = random.Random(8)
+    texts = [None, " ", "one"]
+    for _ in range(8):
+        base = words(rng, 150)
+        texts += [base, base + " tail", "head " + base, words(rng, 20) + base[60:]]
+    texts += ["a " * 300 + words(rng, 40) for _ in range(4)]  # one shingle decides all bits
+    fps, sets = [simhash.fingerprint(t, 5) for t in texts], [jaccard.shingle_set(t, 5) for t in texts]
+    linked, near = list(range(len(texts))), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i]) and (fps[i] ^ fps[j]).bit_count() <= 4:
+                linked = [linked[j] if r == linked[i] else r for r in linked]
+    apart = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if linked[i] == linked[j] or not len(sets[i]) + len(sets[j]):
+                if jaccard.jaccard(sets[i], sets[j]) >= 0.8:
+                    near = [min(near[i], near[j]) if r in (near[i], near[j]) else r for r in near]
+                else:
+                    apart += 1
+    nodes = [(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps) if len(sets[k])]
+    got = {r.fp: r.key for r in jaccard.golay_buckets(spark.createDataFrame(nodes, "fp long, bits long")).collect()}
+    assert {(i, j) for i in got for j in got if got[i] == got[j]} == {(i, j) for i in got for j in got if linked[i] == linked[j]}
+    monkeypatch.setattr(jaccard, "band_keys", lambda found: [])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == sorted(set(near))
+    assert apart >= 6 and len(set(near)) < len(texts) - 8
+
+
 def test_near_dedup_of_a_large_group(spark, monkeypatch):
     """Copies of one text, most beyond 0.8 of each other: all that links connect are found, in one block or many, without a row per pair."""
     rng = random.Random(5)
