@@ -176,11 +176,16 @@ def _crossed(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Verified edges ``(a, b)`` that connect what all verified pairs of a bucket ``(key, fp)`` connect."""
+    return _grown(buckets, sets, least)[0]
+
+
+def _grown(buckets: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """``links``, and fewer edges that connect the same: from nodes to the roots of earlier components, and the last links."""
     low = buckets.groupBy("key").agg(F.min("fp").alias("p"))
     one = buckets.join(low, "key").groupBy("fp").agg(F.min("p").alias("p"))
-    edges = cut(_verified(_ordered(one.select(F.col("fp").alias("a"), F.col("p").alias("b"))), sets, least), "jaccard")
+    edges = stars = cut(_verified(_ordered(one.select(F.col("fp").alias("a"), F.col("p").alias("b"))), sets, least), "jaccard")
     for step in (1, 2, None):
-        roots = cut(components(edges), "jaccard")
+        roots = cut(components(stars), "jaccard")
         now = buckets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
         # buckets that lie in one component have nothing to add
         open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.lit(step or 0)).alias("h"), "fp", "root")).alias("p"))
@@ -190,8 +195,9 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             more = _verified(_ordered(pairs), sets, least)
         else:
             more = _crossed(cut(now.join(open_, "key", "left_semi"), "jaccard"), sets, least)
-        edges = edges.unionByName(cut(more, "jaccard"))
-    return edges
+        more = cut(more, "jaccard")
+        edges, stars = edges.unionByName(more), roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return edges, stars
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +217,7 @@ def keep_one(docs: DataFrame, least: float = 0.8, n_words: int = 5, id_col: str
     buckets = cut(buckets.join(shared, "key", "left_semi"), "jaccard")
     nodes = distinct.select("node", "fp").join(buckets.select("fp").distinct(), "fp", "left_semi")
     sets = cut(_sets(docs, nodes, id_col, text_col, n_words), "jaccard")
-    roots = components(links(buckets, sets, least)).withColumnRenamed("node", "fp")
+    roots = components(_grown(buckets, sets, least)[1]).withColumnRenamed("node", "fp")
     one = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("one").alias("one"))
     kept = cut(one.select(F.col("one.doc_id").alias("__id"), F.col("one.x").alias("__x")), "jaccard")
     out = docs.withColumn("__x", F.xxhash64(text_col))

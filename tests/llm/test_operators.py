@@ -564,6 +564,20 @@ def test_pipeline_stages(spark, none):
     assert out.count() == len(texts) and all(r.lossless for r in out.collect())
 
 
+def test_components_take_few_jobs(spark):
+    """A round is one query of three shuffles: the driver starts few jobs, and no table reaches it to be broadcast."""
+    from driftmesh.llm.common import components
+
+    for kind, most, edges in (("path", 40, [(k + 1, k) for k in range(60)]), ("star", 11, [(0, k) for k in range(1, 40)]), ("none", 5, [(None, 1), (2, 2)])):
+        nodes = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+        spark.sparkContext.setJobGroup(f"components of a {kind}", kind)
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components of a {kind}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted((r.node, r.root) for r in got) == [(k, 0) for k in sorted(nodes)]
+        assert len(jobs) <= most
+
+
 def test_near_dedup_against_brute_force(spark):
     import corpus_pipeline as P
 
