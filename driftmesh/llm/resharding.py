@@ -5,7 +5,8 @@ byte costs one. Its solution says how many bytes of each old shard go to each ne
 shard stand in one hashed order, and the flow cuts that line into intervals. One flow decides over all bytes; of
 two cheapest ones it takes that which moves fewer bytes of large documents. As documents are whole, the large ones of a
 shard miss their bytes a little. The smallest documents are therefore dealt after them: their part of the flow is
-solved again for what the large ones really left of each capacity, so sizes end up nearly equal. Only per-shard sums reach the driver.
+solved again for what the large ones really left of each capacity, so sizes end up nearly equal. Where they left less than nothing, the
+large ones are dealt again, with so much of that shard kept for the small. Only per-shard sums reach the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import cut, new_path, shuffle_parts
 
 BLOCK_ROWS = 2_000_000 // 64
 ROW_BYTES = 8
+ROUNDS = 8  # at most, of dealing the large documents
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -84,12 +86,15 @@ def _moves(supply: dict[int, int], room: list[int], n_old: int) -> list[list[int
     return min_cost_flow(have, room, [[int(i != j) for j in range(len(room))] for i in range(n_old)])
 
 
-def _cheapest(supply: list[dict[int, int]], capacity: list[int], n_old: int) -> list[list[int]]:
-    """Flow of all bytes, with rows for each old shard's large documents, then for its filler."""
+def _cheapest(supply: list[dict[int, int]], capacity: list[int], spare: list[int], n_old: int) -> list[list[int]]:
+    """Flow of all bytes, with rows for each old shard's large documents, then for its filler; only filler goes into the ``spare`` part of a capacity."""
+    n_new = len(capacity)
     have = [kind.get(i, 0) for kind in supply for i in range(n_old)]
     moved = sum(have) + 1  # a byte that moves costs more than all that the choice between kinds can save
-    cost = [[(i != j) * (moved + (kind == 0)) for j in range(len(capacity))] for kind in (0, 1) for i in range(n_old)]
-    return min_cost_flow(have, capacity, cost)
+    never = (moved + 1) ** 2
+    cost = [[(i != j % n_new) * (moved + (kind == 0)) + (kind == 0 and j >= n_new) * never for j in range(2 * n_new)] for kind in (0, 1) for i in range(n_old)]
+    flow = min_cost_flow(have, [c - s for c, s in zip(capacity, spare)] + spare, cost)
+    return [[x + y for x, y in zip(row[:n_new], row[n_new:])] for row in flow]
 
 
 def _intervals(flow: list[list[int]], filler: int, at: Column) -> list[tuple[Column, int]]:
@@ -152,9 +157,17 @@ def reshard(
     for r in sums.groupBy("old", "filler").agg(F.sum("s").alias("s")).collect():
         supply[r.filler][r.old] = r.s
     capacity = _equal(total, n_new)
-    first = _cheapest(supply, capacity, n_old)[:n_old]
-    chain = _intervals(first, 0, F.col("mid"))
-    got = {r.shard: r.s for r in placed.where("filler = 0").groupBy(_cases(chain).alias("shard")).agg(F.sum("size").alias("s")).collect()}
+    more = [0] * n_new
+    for _ in range(ROUNDS):
+        spare = more
+        first = _cheapest(supply, capacity, spare, n_old)[:n_old]
+        chain = _intervals(first, 0, F.col("mid"))
+        got = {r.shard: r.s for r in placed.where("filler = 0").groupBy(_cases(chain).alias("shard")).agg(F.sum("size").alias("s")).collect()}
+        # whole large documents can exceed a shard that has no filler to give up: it keeps so much for filler alone
+        over = [max(0, got.get(j, 0) - c) for j, c in enumerate(capacity)]
+        more = [min(c, 2 * s + o if o else s) for c, s, o in zip(capacity, spare, over)]
+        if not any(over) or more == spare or sum(more) > sum(supply[1].values()):
+            break
     second = _moves(supply[1], [max(0, c - got.get(j, 0)) for j, c in enumerate(capacity)], n_old)
     shard = _cases(chain + _intervals(second, 1, F.col("mid"))).cast("int")
     flow = [[a + b for a, b in zip(x, y)] for x, y in zip(first, second)]

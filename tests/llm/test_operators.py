@@ -432,6 +432,15 @@ def moved(flow):
     return sum(x for i, r in enumerate(flow) for j, x in enumerate(r) if i != j)
 
 
+def test_resharding_keeps_room_for_filler():
+    """Large documents of one old shard leave the spare part of a new one to its filler; without spare parts they may take it."""
+    supply = [{0: 100}, {0: 20}]
+    large, filler = resharding._cheapest(supply, [60, 60], [10, 5], 1)
+    assert sum(large) == 100 and sum(filler) == 20 and large[0] <= 50 and large[1] <= 55 and [a + b for a, b in zip(large, filler)] == [60, 60]
+    large, filler = resharding._cheapest(supply, [60, 60], [0, 0], 1)
+    assert [a + b for a, b in zip(large, filler)] == [60, 60] and large[0] == 60
+
+
 def test_resharding_moves_the_fewest_bytes(spark):
     """A unit-cost transport moves what each old shard holds beyond its new capacity, and no byte more."""
     kinds = "doc_id long, text string, old int"
