@@ -18,6 +18,7 @@ from ..functions import numeric as N
 from ..functions.robust import fixed_point, point_in_simplex
 from ..sources.storage import materialize
 from .graph import components
+from .kd import CELL, nearest_to_places
 from .order import numbered_by
 
 
@@ -235,44 +236,22 @@ def evaluate(located: DataFrame, triangles: DataFrame, field: DataFrame, col: st
     return long.select("pid", "e.*").join(field, "vid").groupBy("t", "pid").agg(F.sum(F.col("m") * F.col(col)).alias(col))
 
 
-def nearest(points: DataFrame, targets: DataFrame, bucket: float, grow: int = 4) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, bucket: float | None = None, cell: int = CELL) -> DataFrame:
     """``(pid, vid, d2)``: the nearest of ``targets (vid, x, y)`` to ``points (pid, px, py)``, ties to the smaller id.
 
-    A point looks in its own grid bucket and the eight around it. If its best lies within one bucket's side it is sure;
-    the others go on with buckets ``grow`` times as large, until nine of them hold all targets. So each round handles only what is
-    still open, whatever the distances. Rows with a null or non-finite coordinate take no part; without targets nothing is found.
+    One row a ``pid``; rows that share one count as one point with the nearest of all. Targets are dealt into cells of about ``cell``
+    targets wherever they lie, each with a k-d tree, so neither crowded nor far points meet more than a few leaves. ``bucket``, the side
+    of a fixed grid's cells, is no longer used. Rows with a null or non-finite coordinate, and targets without an id, take no part;
+    without targets nothing is found.
     """
 
     def usable(df: DataFrame, *cols: str) -> DataFrame:
-        ok = F.lit(True)
-        for c in cols:
-            ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
-        return df.where(ok)
-
-    t = usable(targets.select("vid", "x", "y"), "x", "y")
-    open_ = materialize(usable(points.select("pid", "px", "py"), "px", "py"), "nearest")
-    ends = t.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    done, size, d2 = None, float(bucket), (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    if ends.lox is None:
-        return open_.where("false").select("pid", F.lit(0).cast("long").alias("vid"), F.lit(0.0).alias("d2"))
-    span = open_.agg(*[f(c).alias(f"{n}{c}") for c in ("px", "py") for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    reach = max(max(h, g) - min(lo, k) for lo, h, k, g in ((ends.lox, ends.hix, span.lopx or 0, span.hipx or 0), (ends.loy, ends.hiy, span.lopy or 0, span.hipy or 0)))
-    while True:
-        grid = t.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
-        p = open_.withColumn("bx", F.explode(F.transform(around, lambda d: F.floor(F.col("px") / size) + d)))
-        p = p.withColumn("by", F.explode(F.transform(around, lambda d: F.floor(F.col("py") / size) + d)))
-        best = p.join(grid, ["bx", "by"]).groupBy("pid", "px", "py").agg(F.min(F.struct(d2.alias("d2"), "vid")).alias("s")).select("pid", "px", "py", "s.vid", "s.d2")
-        last = size > reach
-        best = materialize(best if last else best.where(F.col("d2") <= size * size), "nearest")
-        found = best.select("pid", "vid", "d2")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        open_ = materialize(open_.join(best.select("pid", "px", "py"), ["pid", "px", "py"], "left_anti"), "nearest")
-        if open_.isEmpty():
-            return done
-        size *= grow
+        df = df.withColumns({c: F.col(c).cast("double") for c in cols})
+        return df.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('inf')" for c in cols))
+
+    p = usable(points.select("pid", "px", "py"), "px", "py")
+    best = nearest_to_places(p, usable(targets.select("vid", "x", "y").where("vid is not null"), "x", "y"), cell)
+    return p.join(best, ["px", "py"]).groupBy("pid").agg(F.min(F.struct("d2", "vid")).alias("s")).select("pid", "s.vid", "s.d2")
 
 
 def lerp_lookup(keys: DataFrame, table: DataFrame) -> DataFrame:
