@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
@@ -38,8 +38,6 @@ def label_components(df: DataFrame, shape: tuple[int, ...], level: float, mode:
     roots = components(edges, on.select(F.col("cell").alias("node")))
     out = on.join(roots, on.cell == roots.node).select("t", *reversed(axes), F.col("root").alias("label"))
     if numbered:
-        from pyspark.sql import Window
-
         out = out.withColumn("label", F.dense_rank().over(Window.partitionBy("t").orderBy("label")).cast("long"))
     return out
 
@@ -52,10 +50,46 @@ def overlap(labels: DataFrame, differ: bool = False) -> DataFrame:
     return out.where("l0 <> l1") if differ else out
 
 
+#: Sets of either side in a block of pairs, about; copies of rows that a task deals out; pairs and number of tasks that make them.
+BLOCK, TASK_ROWS, TASK_PAIRS, MOST_TASKS = 4096, 1 << 20, 1 << 26, 20_000
+
+
 def set_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(ca, cb)`` of sets ``(component, member)`` that have a member in common: one equi-join on the member."""
-    x, y = a.select(F.col("component").alias("ca"), "member"), b.select(F.col("component").alias("cb"), "member")
-    return x.join(y, "member").select("ca", "cb").distinct()
+    """``(ca, cb)`` of sets ``(component, member)`` that have a member in common, each pair once.
+
+    A pair with a set of one member comes from that member alone, so only pairs of larger sets are shuffled to tell repeated ones.
+    There are as many rows as pairs, up to the product of both tables.
+    """
+    x, y = _members(a, "ca"), _members(b, "cb")
+    out, more = _pairs(x.where("one"), y), x.where("not one")
+    if more.isEmpty():
+        return out
+    return out.unionByName(_pairs(more, y.where("one"))).unionByName(_pairs(more, y.where("not one")).distinct())
+
+
+def _members(sets: DataFrame, name: str) -> DataFrame:
+    """``(name, member, one)``, each once; ``one``: the set has no other member."""
+    rows = sets.where("member is not null").select(F.col("component").alias(name), "member").distinct()
+    return materialize(rows.withColumn("one", F.count("*").over(Window.partitionBy(name)) == 1), "sets")
+
+
+def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """``(ca, cb)`` for each member that both have. A member of many sets has its pairs dealt out in blocks of some ``BLOCK`` by ``BLOCK``."""
+    nx, ny = (t.groupBy("member").agg(F.count("*").alias(n)) for t, n in ((x, "nx"), (y, "ny")))
+    both = materialize(nx.join(ny, "member"), "sets")
+    n_pairs = both.agg(F.sum(F.col("nx").cast("double") * F.col("ny"))).first()[0] or 0
+    least = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, n_dealing = (max(least, min(int(tasks) + 1, MOST_TASKS)) for tasks in (n_pairs / TASK_PAIRS, n_pairs / BLOCK / TASK_ROWS))
+    cuts = [F.ceil(F.col(c) / BLOCK).cast("int").alias(f"k{c[1]}") for c in ("nx", "ny")]
+    many = F.broadcast(both.where((F.col("nx") > BLOCK) | (F.col("ny") > BLOCK)).select("member", *cuts))  # fewer than a row for each BLOCK rows of x and y
+
+    def dealt(t: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        block = F.coalesce(F.pmod(F.xxhash64(name), F.col(f"k{own}")).cast("int"), F.lit(0))
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(f"k{other}", F.lit(1)) - 1))
+        t = t.repartition(n_dealing, name, "member").join(many, "member", "left")
+        return t.select(name, "member", block.alias(f"b{own}"), copies.alias(f"b{other}")).repartition(n, "member", "bx", "by")
+
+    return dealt(x, "ca", "x", "y").hint("merge").join(dealt(y, "cb", "y", "x"), ["member", "bx", "by"]).select("ca", "cb")
 
 
 def has_node(edges: DataFrame, nodes: DataFrame) -> DataFrame:

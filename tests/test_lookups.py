@@ -1,10 +1,9 @@
 """Nearest targets and sets with common members, where many rows lie close together or far away."""
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
 
 from driftmesh.operators import kd
+from driftmesh.operators import tracking as K
 from driftmesh.operators import unstructured as U
 
 POINTS, TARGETS = "pid long, px double, py double", "vid long, x double, y double"
@@ -42,3 +41,22 @@ def test_a_far_place_meets_few_targets():
     for k in range(0, 500, 50):
         all_d2 = (px[k] - xy[:, 0]) ** 2 + (py[k] - xy[:, 1]) ** 2
         assert (found[k], d2[k]) == (all_d2.argmin(), all_d2.min())
+
+
+def test_set_overlap_makes_each_pair_once(spark, monkeypatch):
+    """Sets of one and of several members, a member of many sets, repeated rows and nulls; pairs of one-member sets are not shuffled."""
+    monkeypatch.setattr(K, "BLOCK", 16)
+    monkeypatch.setattr(K, "TASK_PAIRS", 500)
+    rng = np.random.default_rng(7)
+
+    def sets(n: int, several: bool) -> list:
+        rows = [(int(c), int(m)) for c, m in zip(range(n), rng.choice([0, 0, 0, 1, 2, 3], n))]
+        rows += [(int(c), int(m)) for c, m in zip(rng.integers(0, n, n // 2), rng.integers(0, 4, n // 2))] if several else []
+        return [*rows, *rows[:20], (None, 1), (n, None)]
+
+    for one_a, one_b in ((True, True), (True, False), (False, False)):
+        a, b = sets(90, not one_a), sets(120, not one_b)
+        got = K.set_overlap(*(spark.createDataFrame(s, "component long, member long") for s in (a, b)))
+        rows = [(r.ca, r.cb) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == {(ca, cb) for ca, ma in a for cb, mb in b if ma is not None and ma == mb}
+        assert ("Aggregate" in got._jdf.queryExecution().executedPlan().toString()) == (not (one_a or one_b))
