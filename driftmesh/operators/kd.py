@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,22 +94,22 @@ class Tree:
         dx, dy = np.maximum(np.maximum(x0 - px, px - x1), 0.0), np.maximum(np.maximum(y0 - py, py - y1), 0.0)
         return dx * dx + dy * dy
 
-    def descend(self, px: np.ndarray, py: np.ndarray, at_leaf: Callable) -> None:
-        """Each place goes down to one leaf, by the nearer box."""
+    def descend(self, px: np.ndarray, py: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaves as (rows, places): each place goes down to one, by the nearer box."""
         stack = [(0, np.arange(len(px)))]
         while stack:
             node, places = stack.pop()
             if not len(places):
                 continue
             if self.rows[node] is not None:
-                at_leaf(self.rows[node], places)
+                yield self.rows[node], places
                 continue
             a, b = self.kids[node]
             near = self.apart(a, px[places], py[places]) <= self.apart(b, px[places], py[places])
             stack += [(b, places[~near]), (a, places[near])]
 
-    def visit(self, px: np.ndarray, py: np.ndarray, best: np.ndarray, at_leaf: Callable) -> None:
-        """Each place goes to all leaves whose boxes lie no farther than its ``best``, which may shrink meanwhile."""
+    def visit(self, px: np.ndarray, py: np.ndarray, best: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaves as (rows, places): each place goes to all whose boxes lie no farther than its ``best``, which may shrink meanwhile."""
         stack = [(0, np.arange(len(px)))]
         while stack:
             node, places = stack.pop()
@@ -116,7 +117,7 @@ class Tree:
             if not len(places):
                 continue
             if self.rows[node] is not None:
-                at_leaf(self.rows[node], places)
+                yield self.rows[node], places
             else:
                 stack += [(k, places) for k in reversed(self.kids[node])]
 
@@ -124,20 +125,16 @@ class Tree:
 def nearest_of(tree: Tree, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number and squared distance of the nearest of ``x, y`` no farther than ``best``: the first of several, -1 if none."""
     found, best = np.full(len(px), -1), best.copy()
-
-    def look(rows: np.ndarray, places: np.ndarray) -> None:
-        for at in range(0, len(places), AT_ONCE // LEAF):
-            p = places[at : at + AT_ONCE // LEAF]
-            dx, dy = x[rows] - px[p, None], y[rows] - py[p, None]
-            d2 = dx * dx + dy * dy
-            k = d2.argmin(axis=1)
-            d2, k = d2[np.arange(len(p)), k], rows[k]
-            better = (d2 < best[p]) | (d2 == best[p]) & ((found[p] < 0) | (k < found[p]))
-            best[p[better]], found[p[better]] = d2[better], k[better]
-
     with np.errstate(over="ignore"):
-        tree.descend(px, py, look)
-        tree.visit(px, py, best, look)
+        for rows, places in chain(tree.descend(px, py), tree.visit(px, py, best)):
+            for at in range(0, len(places), AT_ONCE // LEAF):
+                p = places[at : at + AT_ONCE // LEAF]
+                dx, dy = x[rows] - px[p, None], y[rows] - py[p, None]
+                d2 = dx * dx + dy * dy
+                k = d2.argmin(axis=1)
+                d2, k = d2[np.arange(len(p)), k], rows[k]
+                better = (d2 < best[p]) | (d2 == best[p]) & ((found[p] < 0) | (k < found[p]))
+                best[p[better]], found[p[better]] = d2[better], k[better]
     return found, best
 
 
@@ -227,28 +224,19 @@ def nearest_to_places(places: DataFrame, targets: DataFrame, cell: int = CELL) -
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             px, py, at = b.column(0).to_numpy(), b.column(1).to_numpy(), np.zeros(b.num_rows, np.int32)
-
-            def enter(rows: np.ndarray, ask: np.ndarray) -> None:
-                at[ask] = own[rows[0]]
-
             with np.errstate(over="ignore"):
-                tree.descend(px, py, enter)
+                for rows, ask in tree.descend(px, py):
+                    at[ask] = own[rows[0]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, px, py, np.full(len(px), np.inf))], columns)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, px, py, d2 = (b.column(k).to_numpy() for k in range(4))
-            held = []
-
-            def enter(rows: np.ndarray, ask: np.ndarray) -> None:
-                ask = ask[at[ask] != own[rows[0]]]
-                if len(ask):
-                    held.append((own[rows[0]], ask))
-
             with np.errstate(over="ignore"):
-                tree.visit(px, py, d2, enter)
-            for cell, ask in held:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(ask), cell, np.int32), px[ask], py[ask], d2[ask])], columns)
+                for rows, ask in tree.visit(px, py, d2):
+                    ask = ask[at[ask] != own[rows[0]]]
+                    if len(ask):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(ask), own[rows[0]], np.int32), px[ask], py[ask], d2[ask])], columns)
 
     found = materialize(_search(filed, materialize(places.mapInArrow(home, asked), "nearest")), "nearest")
     best = found.select("px", "py", "d2", "vid")

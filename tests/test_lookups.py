@@ -34,15 +34,28 @@ def test_a_far_place_meets_few_targets():
     """By the grid's last bucket each of them met all targets."""
     rng = np.random.default_rng(6)
     xy, px, py = rng.random((20_000, 2)), 1e3 * (1 + rng.random(500)), rng.random(500)
-    met, tree = [], kd.Tree(xy, xy, kd.LEAF)
+    tree = kd.Tree(xy, xy, kd.LEAF)
     found, d2 = kd.nearest_of(tree, xy[:, 0], xy[:, 1], px, py, np.full(500, np.inf))
-    tree.visit(px, py, d2, lambda rows, places: met.append(len(rows) * len(places)))
-    assert sum(met) < 20 * kd.LEAF * 500
+    assert sum(len(rows) * len(places) for rows, places in tree.visit(px, py, d2)) < 20 * kd.LEAF * 500
     for k in range(0, 500, 50):
         all_d2 = (px[k] - xy[:, 0]) ** 2 + (py[k] - xy[:, 1]) ** 2
         assert (found[k], d2[k]) == (all_d2.argmin(), all_d2.min())
 
 
+def test_nearest_among_crowded_targets(spark, monkeypatch):
+    """All targets and points in one bucket of the former grid: cells hold few of them, wherever they lie, and a crowded cell is there more than once."""
+    monkeypatch.setattr(kd, "PASSING", 40)
+    rng = np.random.default_rng(8)
+    targets = [(k, float(x), 100.0 * (k % 5)) for k, x in enumerate(np.round(rng.normal(0, 3, 1200) ** 3, 2))]
+    points = [(k, float(x), 100.0 * (k % 5) + 40 * (k % 2)) for k, x in enumerate(np.round(rng.normal(0, 2, 400) ** 3, 2))]
+    got = U.nearest(spark.createDataFrame(points, POINTS), spark.createDataFrame(targets, TARGETS), 1e6, cell=100)
+    assert {r.pid: (r.vid, r.d2) for r in got.collect()} == brute(points, targets)
+    x, y = np.concatenate([rng.normal(0, 1e-6, 30_000), rng.random(30_000) * 1e6]), 100.0 * rng.integers(0, 25, 60_000)
+    picked = rng.choice(60_000, 64 * 60, replace=False)
+    cells = kd.Cells(x[picked], y[picked], 64)
+    assert np.bincount(cells.of(x, y)).max() < 2000 and 60 <= cells.n <= 130
+
+
 def test_set_overlap_makes_each_pair_once(spark, monkeypatch):
     """Sets of one and of several members, a member of many sets, repeated rows and nulls; pairs of one-member sets are not shuffled."""
     monkeypatch.setattr(K, "BLOCK", 16)
